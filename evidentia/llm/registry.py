@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import licenses, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_license_scan": licenses.op2_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.oracle_sql(),
+}
