@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import licenses, simhash
+from . import decontaminate, licenses, quality, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_license_scan": licenses.op2_license_scan,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.oracle_sql(),
+    "op9_decontaminate": decontaminate.oracle_sql(),
 }
