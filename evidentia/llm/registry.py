@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality, simhash
+from . import decontaminate, licenses, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_license_scan": licenses.op2_license_scan,
+    "op6_lpt_sharding": sharding.op6_lpt_sharding,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
