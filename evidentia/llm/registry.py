@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality, sharding, simhash
+from . import decontaminate, licenses, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_license_scan": licenses.op2_license_scan,
+    "op5_warc_normaliser": warc.op5_warc_normaliser,
     "op6_lpt_sharding": sharding.op6_lpt_sharding,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.oracle_sql(),
+    "op5_warc_normaliser": warc.oracle_sql(),
     "op9_decontaminate": decontaminate.oracle_sql(),
 }
