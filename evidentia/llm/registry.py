@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality, sharding, simhash, warc
+from . import decontaminate, licenses, packing, quality, sharding, simhash, substrings, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_license_scan": licenses.op2_license_scan,
     "op5_warc_normaliser": warc.op5_warc_normaliser,
     "op6_lpt_sharding": sharding.op6_lpt_sharding,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.oracle_sql(),
     "op5_warc_normaliser": warc.oracle_sql(),
+    "op7_substring_dedup": substrings.oracle_sql(),
     "op9_decontaminate": decontaminate.oracle_sql(),
 }
