@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality, sharding, simhash, substrings, warc
+from . import decontaminate, licenses, media, packing, quality, sharding, simhash, substrings, tokencounts, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_token_counts": tokencounts.op3_token_counts,
+    "op4_iso_media": media.op4_iso_media,
     "op5_warc_normaliser": warc.op5_warc_normaliser,
     "op6_lpt_sharding": sharding.op6_lpt_sharding,
     "op7_substring_dedup": substrings.op7_substring_dedup,
