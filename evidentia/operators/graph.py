@@ -60,7 +60,8 @@ def traverse(edges: DataFrame, starts: DataFrame, sinks: list[str], most: int =
     ``most`` edges away. Levels carry parent edges, not paths; each level is
     a written table, so plans stay small and a lost executor costs a level.
     """
-    steps = edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line")
+    steps = written(edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line"), "edges")
+    starts = written(starts.select("source", "seed"), "seeds")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("from_symbol", "string"), ("edge_kind", "string"), ("file_path", "string"), ("line", "int"))]
     reached = frontier = starts.select("source", "seed", F.col("seed").alias("symbol"), F.lit(0).alias("hops"), F.lit(False).alias("is_sink"), *none)
     for level in range(1, most + 1):
