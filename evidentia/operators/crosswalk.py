@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import risk_priority
@@ -53,6 +53,9 @@ def unmapped(findings: DataFrame) -> DataFrame:
 
 def payloads(findings: DataFrame) -> DataFrame:
     """One JSON document for each mapped finding: the risk and the tags of its controls."""
-    tags = F.flatten(F.array(*(F.transform(f, lambda c, f=f: F.concat(F.lit(f"{f}:"), c)) for f in FRAMEWORKS)))
+    def tagged(framework: str) -> Column:
+        return F.transform(framework, lambda c: F.concat(F.lit(f"{framework}:"), c))
+
+    tags = F.flatten(F.array(*map(tagged, FRAMEWORKS)))
     body = F.struct(F.col("id").alias("external_id"), F.col("title"), F.col("risk"), F.col("priority"), F.array_join(tags, ",").alias("tags"), F.col("cwe"), F.col("cwe_title"))
     return mapped(findings).select("id", F.to_json(body).alias("payload"))

@@ -80,7 +80,7 @@ def const(value: str):
 
 def lines(raw: Column) -> Column:
     """Trimmed lines that are not blank; null for a text without any."""
-    all_ = F.filter(F.transform(F.split(raw, "\r?\n"), F.trim), lambda v: v != "")
+    all_ = F.filter(F.transform(F.split(raw, "\r?\n"), lambda v: F.trim(v)), lambda v: v != "")
     return F.when(F.size(all_) > 0, all_)
 
 

@@ -41,7 +41,7 @@ def import_lines(text: Column, prefixes: tuple[str, ...] = IMPORTS) -> Column:
             out = out | F.ltrim(line).startswith(p)
         return out
 
-    return F.transform(F.filter(lines_of(text), begins), F.trim)
+    return F.transform(F.filter(lines_of(text), begins), lambda v: F.trim(v))
 
 
 def symbols_named(symbols: DataFrame, name: str) -> DataFrame:
@@ -68,5 +68,5 @@ def chunks(files: DataFrame, symbols: DataFrame, by_symbol: tuple[str, ...] = ("
     out = own.select(
         "path", F.when(whole, 1).otherwise(F.col("line_start")).alias("line_start"), F.when(whole, n).otherwise(F.col("line_end")).alias("line_end"), "symbol_name", "language",
         cut_bytes(F.when(whole, F.col("text")).otherwise(body(F.col("text"), F.col("line_start"), F.col("line_end"))), most_bytes).alias("text"),
-    ).where(F.trim("text") != "")
+    ).where(F.col("text").rlike(r"\S"))
     return out.select(F.concat("path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string")).alias("id"), F.col("path").alias("file_path"), "line_start", "line_end", "symbol_name", "language", "text")

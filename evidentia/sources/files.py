@@ -42,12 +42,30 @@ IAC_NAMES = [
 IAC_FOLDERS = r"^(k8s|kubernetes|helm|manifests|\.github/workflows)/|/(k8s|kubernetes|helm)/"
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a root: ``path`` (relative), ``content``, ``length``. Ignored folders are pruned."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.removeprefix("file://").rstrip("/")
-    relative = F.regexp_replace("path", f"^[a-z0-9]+:/*{base if base.startswith('/') else '/' + base}/", "")
-    return pruned(raw.select(relative.alias("path"), "content", "length"))
+def scan(spark: SparkSession, root: str, bytes_a_task: int = 64 << 20) -> DataFrame:
+    """Files below a root (a path or URI): ``path`` (relative), ``content``, ``length``.
+
+    Ignored folders are pruned. Spark's own file sources hide names that begin
+    with ``_`` or ``.``, which source trees need, so names are listed here and
+    tasks read the files of their share."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    store, base = fs.FileSystem.from_uri(uri)
+    base = base.rstrip("/")
+    listed = [(f.path[len(base) + 1 :], f.size) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
+    names = pruned(spark.createDataFrame(listed, "path string, length long"))
+    tasks = max(1, min(len(listed), -(-sum(n for _, n in listed) // bytes_a_task)))
+
+    def read(batches):
+        own, at = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with own.open_input_stream(f"{at.rstrip('/')}/{path}", compression=None) as f:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "content": [f.read()], "length": [length]})
+
+    return names.repartition(tasks).mapInArrow(read, "path string, content binary, length long")
 
 
 def pruned(files: DataFrame) -> DataFrame:
@@ -101,7 +119,10 @@ def overview(files: DataFrame, by: list[str] | None = None) -> DataFrame:
 def facts(overviews: DataFrame, engagement_id: str) -> DataFrame:
     """Overview rows as repo_facts: one fact for each name."""
     kinds = {"language": "languages", "framework": "frameworks", "package_manager": "package_managers", "entrypoint": "entrypoints"}
-    every = F.flatten(F.array(*(F.transform(c, lambda v, k=k: F.struct(F.lit(k).alias("kind"), F.to_json(F.struct(v.alias("name"))).alias("json"))) for k, c in kinds.items())))
+    def each(kind: str, column: str) -> Column:
+        return F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), F.to_json(F.struct(v.alias("name"))).alias("json")))
+
+    every = F.flatten(F.array(*(each(k, c) for k, c in kinds.items())))
     return overviews.select(F.explode(every).alias("f")).select(F.lit(engagement_id).alias("engagement_id"), "f.kind", "f.json")
 
 
