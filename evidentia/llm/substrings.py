@@ -2,9 +2,10 @@
 
 A window is ``LENGTH`` consecutive words. Within every window of a text, the
 k-gram with the smallest hash is its anchor (winnowing), so equal windows have
-equal anchors at equal places and share a seed. Windows next to each other
-mostly have the same anchor: an anchor stands for a run of windows, and the
-words that these cover are its context, extended both ways from the seed.
+equal anchors and share a seed. Windows next to each other mostly have the same
+smallest hash: an anchor stands for a run of windows, and the words that these
+cover are its context, extended both ways from the seed. Text that repeats
+itself, a word over and over, is one run.
 
 1. Anchors join on the hash of their k-gram; those of one document alone go.
 2. Among anchors of equal k-gram, equal contexts mean that all their windows
@@ -88,16 +89,10 @@ def anchors(words: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         return empty, empty, empty, empty
     hashes = Hashes(words)
     starts = np.arange(n - gram + 1)
-    grams = hashes.of(starts, starts + gram)
-    # the hash first, then the place from the right: equal windows choose alike
-    keys = (grams & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - starts.astype(np.uint64))
-    chosen = (np.uint64(0xFFFFFFFF) - (_least(keys, length - gram + 1) & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(chosen)) + 1])
-    last = np.concatenate([first[1:] - 1, [len(chosen) - 1]])
-    at = chosen[first]
-    context = hashes.of(first, last + length)
-    context = _mix(context ^ ((at - first).astype(np.uint64) << np.uint64(32)) ^ (last - first).astype(np.uint64))
-    return grams[at].view(np.int64), context.view(np.int64), first, last
+    least = _least(hashes.of(starts, starts + gram), length - gram + 1)
+    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    last = np.concatenate([first[1:] - 1, [len(least) - 1]])
+    return least[first].view(np.int64), hashes.of(first, last + length).view(np.int64), first, last
 
 
 def _digest(length: int, gram: int):
@@ -129,22 +124,19 @@ def _unpacked(packed: bytes) -> list[bytes]:
 
 
 def _windows(length: int):
-    """Hashes of the single windows of runs of a text."""
+    """Hashes of the single windows of runs of a text, each once with its places."""
 
-    @arrow_udf("array<struct<gram:bigint,hash:bigint,first:bigint>>")
+    @arrow_udf("array<struct<gram:bigint,hash:bigint,places:array<bigint>>>")
     def of(packed: pa.Array, runs: pa.Array) -> pa.Array:
-        gram, hashed, first, ends = [], [], [], [0]
+        rows = []
         for at in range(len(packed)):
-            hashes = Hashes(_unpacked(packed[at].as_py()))
+            hashes, found = Hashes(_unpacked(packed[at].as_py())), {}
             for r in runs[at].as_py():
                 some = np.arange(r["first"], r["last"] + 1)
-                gram.append(np.full(len(some), r["gram"], np.int64))
-                hashed.append(hashes.of(some, some + length).view(np.int64))
-                first.append(some)
-            ends.append(sum(map(len, first[len(first) - len(runs[at]) :])) + ends[-1])
-        both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, hashed, first)]
-        inner = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in both], names=["gram", "hash", "first"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+                for h, place in zip(hashes.of(some, some + length).view(np.int64).tolist(), some.tolist()):
+                    found.setdefault((r["gram"], h), []).append(place)
+            rows.append([{"gram": g, "hash": h, "places": p} for (g, h), p in found.items()])
+        return pa.array(rows, pa.list_(pa.struct([("gram", pa.int64()), ("hash", pa.int64()), ("places", pa.list_(pa.int64()))])))
 
     return of.asNondeterministic()
 
@@ -193,9 +185,16 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     met = scratch.keep(seeds.join(shared, "gram"), "met")
     plain = met.where(~F.col("mixed") & (F.col("doc") > F.col("least"))).select("row_id", "first", "last")
 
-    mixed = met.where("mixed").drop("least", "mixed")
-    owners = mixed.groupBy("gram", "context").agg(F.min("doc").alias("owner"))
-    owned = scratch.keep(mixed.join(owners, ["gram", "context"]), "owned")
+    # Members of one class within one input partition travel as one row, so that a
+    # hot context costs as many rows as there are partitions, not documents.
+    mixed = met.where("mixed").withColumn("part", F.shiftright("row_id", 33))
+    classes = mixed.groupBy("gram", "context", "part").agg(
+        F.min("doc").alias("least"), F.collect_list(F.struct("row_id", "doc", "first", "last")).alias("members")
+    )
+    classes = scratch.keep(classes, "classes")
+    owners = classes.groupBy("gram", "context").agg(F.min("least").alias("owner"))
+    owned = classes.join(owners, ["gram", "context"]).select("gram", "owner", F.explode("members").alias("m")).select("gram", "owner", "m.*")
+    owned = scratch.keep(owned, "owned")
     copied = owned.where("doc > owner").select("row_id", "first", "last")
 
     runs = owned.where("doc = owner").groupBy("row_id", "doc").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))
@@ -203,9 +202,10 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     single = texts.join(runs, "row_id").select("row_id", "doc", F.explode(_windows(length)(F.col("packed"), F.col("runs"))).alias("w"))
     single = scratch.keep(single.select("row_id", "doc", "w.*"), "windows")
     seen = single.groupBy("gram", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    again = single.join(seen, ["gram", "hash"]).where("doc > least").select("row_id", "first", F.col("first").alias("last"))
+    again = single.join(seen, ["gram", "hash"]).where("doc > least").select("row_id", F.explode("places").alias("first"))
+    again = again.select("row_id", "first", F.col("first").alias("last"))
     found = scratch.keep(plain.unionByName(copied).unionByName(again), "found")
-    scratch.free("met", "owned", "windows")
+    scratch.free("met", "classes", "owned", "windows")
     return digests, found
 
 
