@@ -86,7 +86,7 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str,
     before it are added. A bucket of the largest group has about
     ``rows_a_bucket`` rows, or a thousandth of all rows where that is less.
     ``order`` must tell rows apart for a number that does not depend on the
-    run; rows equal in it are numbered in any order. Nulls group together.
+    run; rows equal in it are numbered in any order. Groups are not null.
     ``df`` is read three times, so it should be a written table.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
@@ -102,8 +102,9 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str,
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     numbered = dealt.withColumn("_at", F.row_number().over(inside) - 1)
-    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys))
-    found = numbered.join(starts, on, "left").withColumn(name, F.col("_at") + F.col("_start"))
+    on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_s_{k}") for k in keys))
+    # the starts grow with the rows, so they are merged, along the windows' partitioning, not broadcast
+    found = numbered.join(starts.hint("merge"), on).withColumn(name, F.col("_at") + F.col("_start"))
     return found.drop("_bucket", "_at", "_start", *(f"_s_{k}" for k in keys))
 
 
