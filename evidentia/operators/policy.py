@@ -52,6 +52,7 @@ STORE, HANDOFF, ADVOCATE, TOOL, WRITE = "store_finding", "emit_to_seed", "advoca
 PROOFS = ["analyzer", "code", "hypothesis"]
 WITNESSES = ["envelope", "sanitizer", "closed_set", "constant_caller", "wrong_library"]
 FACT_TABLES = ["repo_facts", "symbol_index", "routes"]
+JOURNAL_PATHS = "%/audit/%"  # where the controller keeps its journals; set it to the folder in use
 TOOL_TYPES = {
     "cartographer": ["Audit::RepoIntel", "Audit::Journal"], "specifier": ["Audit::Specifier"], "static_hunter": ["Audit::StaticHunter"],
     "pattern_scout": ["Audit::PatternScout"], "hypothesis_repl": ["Audit::HypothesisRepl"], "chain_builder": ["Audit::ChainBuilder"],
@@ -87,7 +88,7 @@ RULES = [
         for who, kinds in TOOL_TYPES.items()
     ),
     Rule("facts-permit-cartographer", True, lambda of: of("table").isin(*FACT_TABLES), ("cartographer",), (WRITE,)),
-    Rule("journal-permits-controller", True, lambda of: of("path").like(".symbiont/audit/%"), ("audit-controller",), (WRITE,)),
+    Rule("journal-permits-controller", True, lambda of: of("path").like(JOURNAL_PATHS), ("audit-controller",), (WRITE,)),
     Rule("orchestrate-permits-controller", True, lambda of: of("resource") == "engagement", ("audit-controller",), ("orchestrate",)),
     Rule("reflector-permits-own", True, always, ("reflector",), REFLECTOR_ACTIONS),
     Rule("reflector-bounded", False, lambda of: ~F.coalesce(of("action").isin(*REFLECTOR_ACTIONS), F.lit(False)), ("reflector",)),

@@ -80,10 +80,10 @@ REQUIRED = ["name", "version", "description"]
 NAME = re.compile(r"^[a-z][a-z0-9_]*$")
 
 
-def tool_manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """Tool manifests of a folder (``*.clad.toml``), sorted by path; an invalid one raises ValueError."""
+def tool_manifests(spark: SparkSession, folder: str, suffix: str = ".toml") -> DataFrame:
+    """Tool manifests of a folder, sorted by path; an invalid one raises ValueError."""
     rows = []
-    for file in sorted(f for f in os.listdir(folder) if f.endswith(".clad.toml")):
+    for file in sorted(f for f in os.listdir(folder) if f.endswith(suffix)):
         with open(os.path.join(folder, file), "rb") as f:
             data = tomllib.load(f)
         tool = data.get("tool", data)

@@ -67,12 +67,12 @@ def test_threat_model(spark):
 
 
 def test_tool_manifests_and_scope(spark, tmp_path):
-    (tmp_path / "b.clad.toml").write_text('[tool]\nname = "b_tool"\nversion = "1"\ndescription = "d"\n[tool.cedar]\nresource = "R"\naction = "execute_tool"\n[args.x]\ntype = "string"\n')
-    (tmp_path / "a.clad.toml").write_text('[tool]\nname = "a"\nversion = "1"\ndescription = "d"\n')
-    assert [(r.name, r.resource, r.args) for r in manifests.tool_manifests(spark, str(tmp_path)).collect()] == [("a", None, []), ("b_tool", "R", ["x"])]
-    (tmp_path / "c.clad.toml").write_text('[tool]\nname = "Bad Name"\nversion = "1"\ndescription = "d"\n')
+    (tmp_path / "b.tool.toml").write_text('[tool]\nname = "b_tool"\nversion = "1"\ndescription = "d"\n[tool.cedar]\nresource = "R"\naction = "execute_tool"\n[args.x]\ntype = "string"\n')
+    (tmp_path / "a.tool.toml").write_text('[tool]\nname = "a"\nversion = "1"\ndescription = "d"\n')
+    assert [(r.name, r.resource, r.args) for r in manifests.tool_manifests(spark, str(tmp_path), ".tool.toml").collect()] == [("a", None, []), ("b_tool", "R", ["x"])]
+    (tmp_path / "c.tool.toml").write_text('[tool]\nname = "Bad Name"\nversion = "1"\ndescription = "d"\n')
     with pytest.raises(ValueError):
-        manifests.tool_manifests(spark, str(tmp_path))
+        manifests.tool_manifests(spark, str(tmp_path), ".tool.toml")
     (tmp_path / "scope.toml").write_text('sources = ["s"]\n')
     assert manifests.scope_overrides(str(tmp_path / "scope.toml"))["sources"] == ["s"]
 
