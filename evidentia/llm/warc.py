@@ -138,14 +138,18 @@ def deflated(data: bytes) -> bytes:
     return deflate.compress(data) + deflate.flush()
 
 
-def with_roles(pages: DataFrame) -> DataFrame:
+def with_roles(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Pages with ``payload``, ``digest`` and ``refers_to``: of equal payloads of
     at least ``REVISIT_BYTES``, the page of the largest id is the response that
-    the others refer to. Only digests that repeat are joined back."""
+    the others refer to. Only digests that repeat are joined back, from a written
+    table: Spark knows its size and ships it where it is below the session's
+    broadcast threshold, so that payloads stay where they are; beyond it both
+    sides are merged by digest."""
     read = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     read = read.withColumn("digest", F.sha1("payload"))
     long_ = read.where(F.octet_length("payload") >= REVISIT_BYTES)
     repeated = long_.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = scratch.keep(repeated, "repeated")
     return read.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
@@ -271,7 +275,7 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     if "://" not in folder:
         folder = "file://" + folder.removeprefix("file:")
     scratch = Scratch(spark, "warc")
-    written = [r.archive for r in write_archives(with_roles(pages), folder).collect()]  # names of files
+    written = [r.archive for r in write_archives(with_roles(pages, scratch), folder).collect()]  # names of files
     scheme = folder.split("://", 1)[0]
     names = [(f"{scheme}://{w}" if "://" not in w else w,) for w in sorted(written)]
     table = spark.createDataFrame(names, "archive string")
