@@ -164,7 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
 
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most_rows ids at most
     got = found.select("doc_id", "quality", vector(F.col("text")).alias("v")).toArrow().sort_by("doc_id")
-    rows = [(np.array(v["at"], np.int32), np.array(v["x"])) for v in got.column("v").to_pylist()]
+    vectors = got.column("v").combine_chunks()
+    at, x = vectors.field("at"), vectors.field("x")
+    ends = at.offsets.to_numpy()  # numbers stay in Arrow's buffers: no Python object for each of them
+    features_, values = at.values.to_numpy(), x.values.to_numpy()
+    rows = [(features_[a:b], values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     return learn(rows, np.array(got.column("quality").to_pylist(), np.float64))
 
 
