@@ -188,14 +188,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, longest: int = 64) -> Dat
     )
 
 
+def keep_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component, whatever its id.
+
+    The row of the smallest doc_id stays, of rows that repeat it the first by
+    number; a row of null doc_id only where a component has no other. Rows are
+    numbered once, in a written table, and kept by number: rows that have no id,
+    or share one, and are not linked all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    numbered = docs.withColumn("_fp", fingerprints(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
+    rows = scratch.keep(numbered, "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    nodes = scratch.keep(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(place).alias("least")), "nodes")
+    roots = scratch.keep(smallest_reachable(links(nodes.select("fp"), scratch), scratch), "roots")
+    each = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
+    return rows.join(each.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, that of the
-    smallest doc_id. Of rows that repeat that doc_id any one stays. A row of
-    null doc_id stays only for a component that has no other."""
-    key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
-    found = near_duplicates(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key("doc_id")).join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """:func:`keep_rows` with each doc_id once: where components that are not
+    linked have the same smallest doc_id, one of their rows stays. Rows of null
+    doc_id are not compared by it."""
+    kept = keep_rows(docs)
+    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

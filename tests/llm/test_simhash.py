@@ -98,3 +98,16 @@ def test_empty_and_keep_one(spark):
     assert kept.columns == ["doc_id", "text", "fp", "n_chars"]
     want = {c for _, _, c in brute_components(rows)}
     assert {r.doc_id for r in kept.collect()} == want and kept.count() == len(want)
+
+
+def test_rows_without_id_or_with_the_same_id_stay(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    say = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (8, a), (9, e), (5, e)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert kept.columns == ["doc_id", "text", "fp", "n_chars"]
+    got = sorted((str(x.doc_id), x.text) for x in kept.collect())
+    assert got == sorted([("None", b), ("7", c), ("7", d), ("8", a), ("5", e)])
