@@ -216,9 +216,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     runs of anything but ASCII white space, unchanged; a window is ``length``
     consecutive ones; all are judged on the input. Returns, for every row,
     ``row_id``, ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` (of the
-    kept words joined by one space), ``repeats`` (removed ranges of words) and
-    ``packed`` (Zstandard of the kept words joined; null where nothing was
-    removed). Null, empty and short texts lose nothing. Rows of the same doc_id
+    kept words joined by one space), ``sha`` (of all words joined so),
+    ``repeats`` (removed ranges of words) and ``packed`` (Zstandard of the kept
+    words joined; null where nothing was removed). Null, empty and short texts lose nothing. Rows of the same doc_id
     are no source for each other; null ids count as the smallest. An empty
     table gives no rows.
     """
@@ -231,10 +231,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     return both.select(
         "row_id", "doc_id", "n_words", F.coalesce("c.n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("c.sha", "sha").alias("kept_sha256"), F.coalesce("c.repeats", F.array().cast("array<struct<first:bigint,end:bigint>>")).alias("repeats"),
-        F.col("c.packed").alias("packed"),
+        "sha", F.col("c.packed").alias("packed"),
     )
 
 
+@arrow_udf(StringType())
+def _sha(column: pa.Array) -> pa.Array:
+    """SHA-256 of a text's words joined by one space, as in :func:`_digest`."""
+    return pa.array([hashlib.sha256(b" ".join(utf8(t).split())).hexdigest() for some in texts_of(column) for t in some], pa.string())
+
+
 @arrow_udf(StringType())
 def _text(packed: pa.Array) -> pa.Array:
     return pa.array([None if p is None else zstandard.decompress(p).decode("utf-8", "replace") for p in packed.to_pylist()], pa.string())
@@ -245,13 +251,15 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     A text that lost words becomes its kept words joined by one space, with
     ``n_chars`` to match; a row that lost all of them goes; other rows stay as
-    they are. Rows that share a doc_id (or have none) and differ are told apart
-    by the words they have.
+    they are. What a row loses follows from its doc_id and its words, so rows
+    that share a doc_id are told apart by a digest of their words; rows of null
+    doc_id are the smallest and lose nothing.
     """
     found = dedup(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("packed").alias("_packed"), (F.col("n_removed") == F.col("n_words")).alias("_gone")
-    ).dropDuplicates(["_id"])
-    both = docs.join(found, docs.doc_id == found._id, "left").where(~F.coalesce("_gone", F.lit(False)))
+        F.col("doc_id").alias("_id"), F.col("sha").alias("_cut"), F.col("packed").alias("_packed"), (F.col("n_removed") == F.col("n_words")).alias("_gone")
+    ).dropDuplicates(["_id", "_cut"])
+    words = docs.withColumn("_words", _sha(F.col("text")))
+    both = words.join(found, (words.doc_id == found._id) & (words._words == found._cut), "left").where(~F.coalesce("_gone", F.lit(False)))
     text = F.when(F.col("_packed").isNull(), F.col("text")).otherwise(_text(F.col("_packed")))
     changed = both.withColumn("text", text)
     if "n_chars" in docs.columns:

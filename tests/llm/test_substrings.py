@@ -79,3 +79,11 @@ def test_drop_repeats_and_empty(spark):
     assert set(got) == {1, 2, 4, 5, None} and got[2].text == "lead in out" and got[2].n_chars == 11
     assert got[1].text == rows[0][1] and got[5].text == "two  spaces" and got[5].n_chars == 7 and got[4].text is None
     assert s.dedup(docs.limit(0)).collect() == []
+
+
+def test_drop_repeats_of_rows_with_the_same_id(spark):
+    say = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, say(0, 100)), (2, "a " + say(10, 80) + " z"), (2, "b  " + say(0, 60) + " y"), (2, say(0, 100)), (2, "not  cut"), (2, "b " + say(0, 60) + " y")]
+    docs = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, n_chars long")
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in s.drop_repeats(docs).collect())
+    assert got == sorted([(1, rows[0][1], 7), (2, "a z", 3), (2, "b y", 3), (2, "b y", 3), (2, "not  cut", 7)])
