@@ -4,8 +4,9 @@ A byte-level BPE tokenizer first splits a text into pre-tokens and merges only
 within them, so the count of a text is the sum over its pre-tokens. A document
 keeps them as the leaves of a segment tree whose nodes hold sums. An edit
 touches the pre-tokens it overlaps and those whose split could look at it: the
-split matches from left to right and looks at most one character past a
-pre-token, so matching starts again at the first pre-token that ends at the
+split matches from left to right and looks at most two characters past a
+pre-token (blanks step back from a letter, a quote may begin a contraction), so
+matching starts again at the first pre-token that ends one character before the
 edit or later, and stops where it meets a border of the old split behind the
 edit. Only those leaves are encoded anew, and only the sums above them change.
 """
@@ -151,7 +152,7 @@ class TokenTree:
         borders, changes = [], []
         taken = shift = i = 0  # leaves dealt with, growth before them, edits dealt with
         while i < len(edits):
-            first = max(taken, int(np.searchsorted(ends, edits[i][0])))
+            first = max(taken, int(np.searchsorted(ends, edits[i][0] - 1)))
             place = (int(ends[first - 1]) if first else 0) + shift
             borders.append(ends[taken:first] + shift)
             fresh, new = [], []

@@ -84,3 +84,13 @@ def test_column(spark):
     assert got == sorted(want)
     assert [e[2] for e in tc.scrubs(texts[2])] == ["<EMAIL>", "<IP>", "<NUMBER>"]
     assert tc.count(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "edit"),
+    [("  a", (2, 3, "")), ("'r1", (2, 3, "e")), ("  a", (2, 2, "  ")), ("b'l1 c", (3, 4, "l"))],
+)
+def test_edits_two_characters_past_a_pretoken(text, edit):
+    tree = tc.TokenTree(text, KNOWN)
+    tree.apply([edit])
+    same(tree, text[: edit[0]] + edit[2] + text[edit[1] :])
