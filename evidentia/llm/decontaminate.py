@@ -7,8 +7,9 @@ mapped from its place in the normalised text to words, and to bytes of the
 original text. Documents without a match cost the scan alone.
 
 The automaton travels to the executors, so its size is checked: items are
-dealt to automata of at most ``most_windows`` windows, and a benchmark that
-needs several is scanned with one after the other.
+dealt to automata of at most ``most_windows`` windows, which scan one after the
+other. Every Python worker holds all of them at once, so its memory grows with
+the benchmark; a benchmark over the bound of :func:`scanner_of` is refused.
 """
 
 from __future__ import annotations
@@ -104,8 +105,8 @@ def scanner_of(benchmark: DataFrame, window: int = WINDOW, most_windows: int = 2
     """Automata blocks for a benchmark table (``item_id``, ``text``).
 
     The table is read to the driver, so its size is checked first: a table
-    with more than ``50 * most_windows`` words is refused, which no collection
-    of test questions comes near. Items of null text have no words; an item of
+    with more than ``50 * most_windows * 8`` bytes of text is refused with a
+    ValueError. Items of null text have no words; an item of
     null id has windows, but is in no list of items.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text")
