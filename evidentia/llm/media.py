@@ -4,7 +4,8 @@ Texts are stored as 8-bit samples: 64 bytes are one 8 by 8 grey frame of an
 uncompressed video track. The reader is general: it walks nested boxes of any
 ISO media file, decodes the sample tables (durations, sizes, chunks, offsets,
 sync samples) and returns codec, duration and the byte ranges of keyframes
-without touching the payloads.
+without touching the payloads. Samples in movie fragments are not decoded: a
+file with fragments is an error, not a file with fewer samples.
 """
 
 from __future__ import annotations
@@ -147,11 +148,13 @@ def sample_ranges(data: memoryview, table: dict[bytes, tuple[int, int]]) -> tupl
 
 
 def describe(file: bytes) -> list[dict]:
-    """Tracks of an ISO media file; raises ValueError where it is malformed."""
+    """Tracks of an ISO media file; raises ValueError where it is malformed or fragmented."""
     data = memoryview(file)
     tracks: dict[tuple, dict[bytes, tuple[int, int]]] = {}
     try:
         for path, a, b in walk(data, 0, len(data)):
+            if path[-1][0] == b"moof":
+                raise ValueError("fragmented: samples in moof boxes are not decoded")
             if len(path) > 2 and path[0][0] == b"moov" and path[1][0] == b"trak":
                 tracks.setdefault(path[:2], {})[path[-1][0]] = (a, b)
         out = []
@@ -197,8 +200,8 @@ def media(text: Column) -> Column:
 
 
 def tracks(file: Column) -> Column:
-    """Struct of ``tracks`` and ``error`` for a column of ISO media files. A null
-    or malformed file has no tracks and an error that says why."""
+    """Struct of ``tracks`` and ``error`` for a column of ISO media files. A null,
+    malformed or fragmented file has no tracks and an error that says why."""
 
     @arrow_udf(f"struct<tracks:array<{TRACK}>,error:string>")
     def of(column: pa.Array) -> pa.Array:

@@ -59,3 +59,14 @@ def test_columns(spark):
     bad = spark.createDataFrame([(None,), (b"",), (b"junk" * 9,), (media.encode(b"x")[:-1],)], "f binary").select(media.tracks("f").alias("t")).collect()
     assert all(r.t.tracks is None and r.t.error for r in bad)
     assert media.catalogue(media.store(docs.limit(0), Scratch(spark, "t"))).collect() == []
+
+
+def test_fragmented_files_are_an_error(spark):
+    import struct
+
+    box = lambda kind, body=b"": struct.pack(">I4s", 8 + len(body), kind) + body
+    fragment = box(b"moof", box(b"traf")) + box(b"mdat", b"x" * 64)
+    files = [(media.encode(b""), "empty"), (media.encode(b"") + fragment, "cut"), (media.encode(b"y" * 640) + fragment, "cut")]
+    got = spark.createDataFrame(files, "file binary, kind string").select("kind", media.tracks("file").alias("t")).collect()
+    for r in got:
+        assert (r.t.error is None) == (r.kind == "empty") and (r.kind == "empty" or r.t.tracks is None and "fragmented" in r.t.error)
