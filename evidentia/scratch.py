@@ -1,4 +1,9 @@
-"""Tables written between steps, in the folder that the cluster shares."""
+"""Tables written between steps, in the folder that the cluster shares.
+
+A written table survives lost executors, pins what a non-deterministic step
+returned and keeps plans small. Every run of an operator writes below a folder
+of its own; :func:`release` deletes what this process has written so far.
+"""
 
 from __future__ import annotations
 
@@ -9,20 +14,68 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_roots: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder that is set and later removed."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset in local mode (tests), a temporary folder is made and
+    set; it goes when the process ends. On a cluster an unset folder is an
+    error, since a machine's own folder would hold only its own parts.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        own = tempfile.mkdtemp(prefix="evidence-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The written tables of one run of an operator. ``free`` deletes tables
+    that no later step reads, ``close`` all of them."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and return a reader of what was written."""
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.read(name, df)
+
+    def read(self, name: str, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
+
+    def free(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")
+
+    def close(self) -> None:
+        _delete(self.spark, self.root)
+        if self.root in _roots:
+            _roots.remove(self.root)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a written table of its own."""
+    return Scratch(df.sparkSession, name).keep(df, "rows")
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this process has written; results that still read
+    them are lost. Returns the number of folders deleted."""
+    done = len(_roots)
+    while _roots:
+        _delete(spark, _roots.pop())
+    return done
