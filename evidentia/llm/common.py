@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia import scratch
+
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 4 << 20
+
 #: bytes.translate table: A-Z to a-z, everything else unchanged.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -37,45 +38,55 @@ def texts_of(column: pa.Array, rows: int = 128) -> Iterator[list[str | None]]:
         yield column.slice(at, rows).to_pylist()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests, local mode), a temporary folder is made and set;
-    it goes when the process ends.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, at, True)
-        spark.sparkContext.setCheckpointDir(f"file://{at}")
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage between steps.
-
-    A written table survives lost executors and pins what a non-deterministic
-    step returned. ``free`` deletes tables that no later step reads.
-    """
+class Scratch(scratch.Scratch):
+    """The core's written tables, for operators that run Python on the rows: an
+    Arrow batch is bounded in bytes, so that long texts don't fill a worker."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return a reader of what was written."""
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
-
-    def free(self, *names: str) -> None:
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(hadoop).delete(path, True)
+        super().__init__(spark, name)
+        bound_batches(spark)
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let an Arrow batch have ``most`` bytes at most, or one row, where the session has set no bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(most))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_by_count(rows: DataFrame, keyed: DataFrame, key: list[str], total: int | None = None, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row a key and the
+    number of ``rows`` that have it, ``n``.
+
+    A key with more than ``1 / share`` of the ``total`` rows is joined by
+    broadcast: there are fewer than ``share`` of them, whatever the input. Its
+    rows then take the second join with a salt that matches nothing, so that
+    no task of it gets a hot key. Keys are not null. ``keyed`` is read twice,
+    three times where ``total`` is not given, so it should be a written table."""
+    if total is None:
+        total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    values = [c for c in keyed.columns if c not in (*key, "n")]
+    hot = F.col("n") * share > total
+    heavy = keyed.where(hot).select(*(F.col(k).alias(f"_h_{k}") for k in key), F.struct(*values).alias("_heavy"))
+    light = keyed.where(~hot).select(*(F.col(k).alias(f"_l_{k}") for k in key), F.struct(*values).alias("_light"), F.lit(0).cast("long").alias("_l_salt"))
+    same = lambda p: reduce(lambda a, b: a & b, (F.col(k) == F.col(f"{p}{k}") for k in key))
+    first = rows.join(F.broadcast(heavy), same("_h_"), "left")  # fewer than ``share`` rows
+    salted = first.withColumn("_salt", F.when(F.col("_heavy").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
+    both = salted.join(light, same("_l_") & (F.col("_salt") == F.col("_l_salt")), "left")
+    if how == "inner":
+        both = both.where(F.col("_heavy").isNotNull() | F.col("_light").isNotNull())
+    return both.select(*rows.columns, *(F.coalesce(f"_heavy.{v}", f"_light.{v}").alias(v) for v in values))
 
 
 def number_within(df: DataFrame, group: list[str], order: list[str], name: str, scratch: Scratch, rows_a_bucket: int = 50_000) -> DataFrame:
@@ -109,6 +120,7 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str,
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

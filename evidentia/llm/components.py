@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_by_count
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,17 +16,19 @@ def _state(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Every larger neighbour of u is linked to the smallest of u and its neighbours.
+    A star's centre is a hot key: it is joined apart from the others."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_by_count(both, least, ["u"], 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
+    # after a large star, u has few smaller neighbours: its own component's smallest and ties of this round
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -46,7 +48,7 @@ def smallest_reachable(edges: DataFrame, scratch: Scratch, most_rounds: int = 60
     for turn in range(1, most_rounds + 1):
         if not state[0]:
             break
-        new = scratch.keep(_small_star(_large_star(now).distinct()).where("u <> v").distinct(), f"links_{turn}")
+        new = scratch.keep(_small_star(_large_star(now, state[0]).distinct()).where("u <> v").distinct(), f"links_{turn}")
         scratch.free(f"links_{turn - 1}")
         now, before, state = new, state, _state(new)
         if state == before:

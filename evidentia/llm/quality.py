@@ -193,9 +193,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted 0, columns as they were."""
-    return docs.withColumn("_score", quality(F.col("text"), train(docs, labels))).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    """``docs`` without the rows predicted 0; columns are as they were, whatever
+    their names. Null and empty texts are judged like any other, rows that
+    repeat each for themselves; empty tables give no rows, and without labels
+    the score is one half for all."""
+    scored = docs.select(F.struct(*docs.columns).alias("doc"), quality(F.col("text"), train(docs, labels)).alias("score"))
+    return scored.where(F.col("score") >= THRESHOLD).select("doc.*")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` scored by what was learnt from ``labels``: ``doc_id``,
+    ``held_out``, ``score``, ``predicted``. Null and empty texts have a score;
+    repeated rows stay as often as they are; an empty table gives no rows."""
     return classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import ASCII_LOWER, Scratch, documents, texts_of, utf8
+from .common import ASCII_LOWER, Scratch, documents, join_by_count, texts_of, utf8
 from .components import smallest_reachable
 
 #: Fixed by the fingerprint: bits, positional bytes, most differing bits.
@@ -101,10 +101,11 @@ def _postings(fps: DataFrame, subsets: list[tuple[int, ...]], kept: str | None =
     return fps.select("fp", F.explode(listed).alias("p")).select("p.slot", "p.bytes", "fp").distinct()
 
 
-def _lists(postings: DataFrame) -> DataFrame:
-    """Postings of lists with company, with the length of the list as ``n``."""
+def _lists(postings: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Postings of lists with company, with the length of the list as ``length``; written."""
     lengths = postings.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return postings.join(lengths, ["slot", "bytes"])
+    lengths = scratch.keep(lengths.withColumn("length", F.col("n")), f"lengths_{name}")
+    return scratch.keep(join_by_count(postings, lengths, ["slot", "bytes"]), f"lists_{name}")
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
@@ -139,53 +140,54 @@ def _stars(lists: DataFrame, subsets: list[tuple[int, ...]]) -> DataFrame:
 
 
 def links(fps: DataFrame, scratch: Scratch, longest: int = 64) -> DataFrame:
-    """Links (u, v) among distinct fingerprints ``fp``: every pair at three or
-    fewer differing bits is linked, directly or through links that are
-    themselves at most three bits long. ``longest`` is the length of posting
-    list above which members are keyed again instead of paired; it changes the
-    work, not the result."""
-    lists = scratch.keep(_lists(_postings(fps, TRIPLES)), "lists_3")
-    short, long_ = lists.where(F.col("n") <= longest), lists.where(F.col("n") > longest)
+    """Links (u, v), u < v, each once, among distinct fingerprints ``fp``: every
+    pair at three or fewer differing bits is linked, directly or through links
+    that are themselves at most three bits long. ``longest`` is the length of
+    posting list above which members are keyed again instead of paired; it
+    changes the work and which links stand for the others, not what can be
+    reached."""
+    lists = _lists(_postings(fps, TRIPLES), scratch, "3")
+    short, long_ = lists.where(F.col("length") <= longest), lists.where(F.col("length") > longest)
     found = _pairs(short)
     if not long_.isEmpty():
         fives = list(combinations(range(BYTES), LEAST_SHARED))
         keyed = _postings(long_.select("fp", F.col("slot").alias("triple")).distinct(), fives, "triple")
-        deeper = scratch.keep(_lists(keyed), "lists_5")
-        found = found.unionByName(_pairs(deeper.where(F.col("n") <= longest)))
-        rest = deeper.where(F.col("n") > longest)
+        deeper = _lists(keyed, scratch, "5")
+        found = found.unionByName(_pairs(deeper.where(F.col("length") <= longest)))
+        rest = deeper.where(F.col("length") > longest)
         if not rest.isEmpty():
             found = found.unionByName(_stars(rest, fives))
-    return scratch.keep(found.distinct(), "links")
+    ordered = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return scratch.keep(ordered.distinct(), "links")
+
+
+def _named(nodes: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Nodes (``fp``, ``least``, ``n``) with the smallest ``least`` of their component."""
+    roots = scratch.keep(smallest_reachable(found, scratch), "roots")
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.keep(rooted, "rooted")
+    label = rooted.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n"))
+    label = scratch.keep(label, "labels")
+    return join_by_count(rooted.select("fp", F.col("n").alias("rows"), "root"), label, ["root"])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, longest: int = 64) -> DataFrame:
     """Component of near-duplicate texts for every row of ``docs``.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Returns
-    ``doc_id``, ``fp`` (signed), ``fingerprint`` (16 hex digits),
+    ``doc_id``, ``fp`` (signed), ``fingerprint`` (16 hex digits) and
     ``component_id`` (smallest doc_id reachable over links of at most three
-    differing bits, itself included) and ``links`` (other fingerprints that it
-    is linked to by the index). Equal fingerprints are one node, so copies cost
-    one row, not pairs. Repeated rows come back as often as they came in; a
-    null doc_id takes part but is never a component_id unless a component has
-    no other. Empty tables give empty tables.
+    differing bits, itself included). Equal fingerprints are one node, so
+    copies cost one row, not pairs. Repeated rows come back as often as they
+    came in; a null doc_id takes part but is never a component_id unless a
+    component has no other. Empty tables give empty tables.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "prints")
-    nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = links(nodes.select("fp"), scratch, longest)
-    roots = scratch.keep(smallest_reachable(found, scratch), "roots")
-    label = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = found.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
-    linked = scratch.keep(
-        roots.join(label, "root").join(degree, roots.node == degree.fp).select("node", "component_id", "links"), "linked"
-    )
-    named = nodes.join(linked, nodes.fp == linked.node, "left").select(
-        nodes.fp, F.coalesce("component_id", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")
-    )
-    return prints.join(named, "fp").select(
-        "doc_id", "fp", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", "links"
-    )
+    nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    named = _named(nodes, links(nodes.select("fp"), scratch, longest), scratch)
+    named = scratch.keep(named.select("fp", F.col("rows").alias("n"), F.col("least").alias("component_id")), "named")
+    return join_by_count(prints, named, ["fp"]).select("doc_id", "fp", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
@@ -194,25 +196,22 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     The row of the smallest doc_id stays, of rows that repeat it the first by
     number; a row of null doc_id only where a component has no other. Rows are
     numbered once, in a written table, and kept by number: rows that have no id,
-    or share one, and are not linked all stay.
+    or share one, and are not linked all stay. Null, empty and blank texts have
+    one fingerprint, so one of them stays. Columns are as they were, whatever
+    their names; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    numbered = docs.withColumn("_fp", fingerprints(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    numbered = whole.withColumn("fp", fingerprints(F.col("doc.text"))).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.keep(numbered, "rows")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    nodes = scratch.keep(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(place).alias("least")), "nodes")
-    roots = scratch.keep(smallest_reachable(links(nodes.select("fp"), scratch), scratch), "roots")
-    each = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
-    return rows.join(each.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """:func:`keep_rows` with each doc_id once: where components that are not
-    linked have the same smallest doc_id, one of their rows stays. Rows of null
-    doc_id are not compared by it."""
-    kept = keep_rows(docs)
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    place = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "row")
+    nodes = scratch.keep(rows.groupBy("fp").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    stay = _named(nodes, links(nodes.select("fp"), scratch), scratch).select(F.col("least.row").alias("row")).distinct()
+    return rows.join(stay, "row", "left_semi").select("doc.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id", "links")
+    """Whole ``documents``: ``doc_id``, ``fingerprint``, ``component_id``. Null, empty and
+    blank texts have fingerprint zero and are linked like any other; repeated
+    rows stay as often as they are; an empty table gives no rows."""
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")

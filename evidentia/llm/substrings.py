@@ -23,6 +23,7 @@ again.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from .common import Scratch, documents, texts_of, utf8
+from .common import Scratch, documents, join_by_count, texts_of, utf8
 
 LENGTH, GRAM = 50, 12
 SEED = 20
@@ -123,22 +124,39 @@ def _unpacked(packed: bytes) -> list[bytes]:
     return zstandard.decompress(packed).split(b" ") if packed else []
 
 
-def _windows(length: int):
-    """Hashes of the single windows of runs of a text, each once with its places."""
+WINDOWS = "row_id bigint, doc bigint, gram bigint, hash bigint, places array<bigint>"
 
-    @arrow_udf("array<struct<gram:bigint,hash:bigint,places:array<bigint>>>")
-    def of(packed: pa.Array, runs: pa.Array) -> pa.Array:
-        rows = []
-        for at in range(len(packed)):
-            hashes, found = Hashes(_unpacked(packed[at].as_py())), {}
-            for r in runs[at].as_py():
-                some = np.arange(r["first"], r["last"] + 1)
-                for h, place in zip(hashes.of(some, some + length).view(np.int64).tolist(), some.tolist()):
-                    found.setdefault((r["gram"], h), []).append(place)
-            rows.append([{"gram": g, "hash": h, "places": p} for (g, h), p in found.items()])
-        return pa.array(rows, pa.list_(pa.struct([("gram", pa.int64()), ("hash", pa.int64()), ("places", pa.list_(pa.int64()))])))
 
-    return of.asNondeterministic()
+def _windows(length: int):
+    """Rows of single windows: for rows (row_id, doc, packed, runs), each hash
+    within a text and gram once, with its places. A batch goes out a text at a
+    time, so memory is that of one text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row_id, doc, packed, runs = batch.columns
+            for at in range(batch.num_rows):
+                hashes = Hashes(_unpacked(packed[at].as_py()))
+                inner = runs[at].values
+                first, last = (inner.field(c).to_numpy() for c in ("first", "last"))
+                size = last - first + 1
+                place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                gram = np.repeat(inner.field("gram").to_numpy(), size)
+                hash_ = hashes.of(place, place + length).view(np.int64)
+                order = np.lexsort((place, hash_, gram))
+                gram, hash_, place = gram[order], hash_[order], place[order]
+                begins = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (hash_[1:] != hash_[:-1])])) if len(gram) else np.zeros(0, np.int64)
+                ends = np.concatenate([begins, [len(gram)]]).astype(np.int32)
+                n = len(begins)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, row_id[at].as_py())), pa.array(np.full(n, doc[at].as_py())), pa.array(gram[begins]), pa.array(hash_[begins]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(place, pa.int64())),
+                    ],
+                    names=["row_id", "doc", "gram", "hash", "places"],
+                )
+
+    return of
 
 
 def _cut(length: int):
@@ -180,9 +198,9 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     seeds = digests.select("row_id", order.alias("doc"), F.explode("anchors").alias("a")).select("row_id", "doc", "a.*")
     shared = seeds.groupBy("gram").agg(
-        F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("context").alias("c1"), F.max("context").alias("c2")
-    ).where("least < most").select("gram", "least", (F.col("c1") < F.col("c2")).alias("mixed"))
-    met = scratch.keep(seeds.join(shared, "gram"), "met")
+        F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("context").alias("c1"), F.max("context").alias("c2"), F.count(F.lit(1)).alias("n")
+    ).where("least < most").select("gram", "n", "least", (F.col("c1") < F.col("c2")).alias("mixed"))
+    met = scratch.keep(join_by_count(seeds, scratch.keep(shared, "shared"), ["gram"]), "met")
     plain = met.where(~F.col("mixed") & (F.col("doc") > F.col("least"))).select("row_id", "first", "last")
 
     # Members of one class within one input partition travel as one row, so that a
@@ -199,13 +217,14 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
 
     runs = owned.where("doc = owner").groupBy("row_id", "doc").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))
     texts = digests.select("row_id", "packed")
-    single = texts.join(runs, "row_id").select("row_id", "doc", F.explode(_windows(length)(F.col("packed"), F.col("runs"))).alias("w"))
-    single = scratch.keep(single.select("row_id", "doc", "w.*"), "windows")
-    seen = single.groupBy("gram", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    again = single.join(seen, ["gram", "hash"]).where("doc > least").select("row_id", F.explode("places").alias("first"))
+    single = texts.join(runs, "row_id").select("row_id", "doc", "packed", "runs").mapInArrow(_windows(length), WINDOWS)
+    single = scratch.keep(single, "windows")
+    seen = single.groupBy("gram", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    seen = scratch.keep(seen.drop("most"), "seen")
+    again = join_by_count(single, seen, ["gram", "hash"]).where("doc > least").select("row_id", F.explode("places").alias("first"))
     again = again.select("row_id", "first", F.col("first").alias("last"))
     found = scratch.keep(plain.unionByName(copied).unionByName(again), "found")
-    scratch.free("met", "classes", "owned", "windows")
+    scratch.free("shared", "met", "classes", "owned", "windows", "seen")
     return digests, found
 
 
@@ -253,21 +272,25 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     ``n_chars`` to match; a row that lost all of them goes; other rows stay as
     they are. What a row loses follows from its doc_id and its words, so rows
     that share a doc_id are told apart by a digest of their words; rows of null
-    doc_id are the smallest and lose nothing.
+    doc_id are the smallest and lose nothing. Columns may have any names and
+    keep their types; null and empty texts stay; an empty table gives no rows.
     """
     found = dedup(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("sha").alias("_cut"), F.col("packed").alias("_packed"), (F.col("n_removed") == F.col("n_words")).alias("_gone")
-    ).dropDuplicates(["_id", "_cut"])
-    words = docs.withColumn("_words", _sha(F.col("text")))
-    both = words.join(found, (words.doc_id == found._id) & (words._words == found._cut), "left").where(~F.coalesce("_gone", F.lit(False)))
-    text = F.when(F.col("_packed").isNull(), F.col("text")).otherwise(_text(F.col("_packed")))
-    changed = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_packed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return changed.select(*docs.columns)
+        F.col("doc_id").alias("id"), F.col("sha").alias("cut"), "packed", (F.col("n_removed") == F.col("n_words")).alias("gone")
+    ).dropDuplicates(["id", "cut"])
+    words = docs.select(F.struct(*docs.columns).alias("doc"), _sha(F.col("text")).alias("words"))
+    both = words.join(found, (F.col("doc.doc_id") == F.col("id")) & (F.col("words") == F.col("cut")), "left").where(~F.coalesce("gone", F.lit(False)))
+    both = both.withColumn("kept", F.when(F.col("packed").isNotNull(), _text(F.col("packed"))))
+    text = F.when(F.col("packed").isNull(), F.col("doc.text")).otherwise(F.col("kept"))
+    new = {"text": text, "n_chars": F.when(F.col("packed").isNull(), F.col("doc.n_chars")).otherwise(F.length("kept"))} if "n_chars" in docs.columns else {"text": text}
+    kinds = dict(docs.dtypes)
+    return both.select(*((new[c].cast(kinds[c]) if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``. Null,
+    empty and short texts lose nothing; repeated rows stay as often as they
+    are; an empty table gives no rows."""
     return dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -91,13 +91,54 @@ def test_long_lists_lose_no_link(spark):
     assert roots[0] == roots[1] and roots[0]
 
 
-def test_empty_and_keep_one(spark):
+def test_empty_and_keep_rows(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
-    rows = corpus(2, 30)
-    kept = simhash.keep_one(frame(spark, rows))
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(2, 30))]
+    kept = simhash.keep_rows(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "fp", "n_chars"]
-    want = {c for _, _, c in brute_components(rows)}
-    assert {r.doc_id for r in kept.collect()} == want and kept.count() == len(want)
+    want = sorted({c for _, _, c in brute_components(rows)})
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert simhash.keep_rows(frame(spark, [])).collect() == []
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = corpus(3, 20)
+    names = ["_fp", "row", "doc", "_key", "least", "fp"]
+    docs = spark.createDataFrame([(d, t, *names) for d, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.keep_rows(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert all([r[n] for n in names] == names for r in got)
+    parts = {}
+    for (d, t), p in zip(rows, map(brute_print, (t for _, t in rows))):
+        parts.setdefault(p, []).append((d is None, d or 0, t or ""))
+    groups = []
+    for p, members in parts.items():
+        near = [g for g in groups if any((p ^ q).bit_count() <= 3 for q in g[0])]
+        groups = [g for g in groups if g not in near] + [({p}.union(*(g[0] for g in near)), sum((g[1] for g in near), members))]
+    ids = lambda ms: sorted(ms)[0][:2]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(ids(m) for _, m in groups)
+    assert len(got) == len(groups)
+
+
+def test_hot_keys_without_adaptive_plans(spark):
+    """A third of all rows has one key; no task of the second join gets it."""
+    from evidentia.llm.common import join_by_count
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+        keyed = rows.where("id % 5 > 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+        got = sorted(map(tuple, join_by_count(rows, keyed, ["k"]).collect()))
+        assert got == sorted(map(tuple, rows.join(keyed.drop("n"), "k").select("k", "id", "least").collect()))
+        whole = join_by_count(rows, keyed, ["k"], how="left").collect()
+        assert len(whole) == 9000 and sum(r.least is not None for r in whole) == len(got)
+        copies = corpus(6, 20) + [(1000 + i, "one text that many rows have, word by word") for i in range(400)]
+        out = simhash.near_duplicates(frame(spark, copies)).collect()
+        assert sorted(map(str, ((r.doc_id, r.fingerprint, r.component_id) for r in out))) == sorted(map(str, brute_components(copies)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_rows_without_id_or_with_the_same_id_stay(spark):

@@ -87,3 +87,16 @@ def test_drop_repeats_of_rows_with_the_same_id(spark):
     docs = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, n_chars long")
     got = sorted((r.doc_id, r.text, r.n_chars) for r in s.drop_repeats(docs).collect())
     assert got == sorted([(1, rows[0][1], 7), (2, "a z", 3), (2, "b y", 3), (2, "b y", 3), (2, "not  cut", 7)])
+
+
+def test_drop_repeats_with_clashing_names(spark):
+    say = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    names = ["_id", "_packed", "_gone", "id", "cut", "packed", "gone", "words", "doc", "kept"]
+    rows = [(1, say(0, 100)), (2, "a " + say(10, 80)), (2, None), (None, ""), (3, say(0, 100))]
+    docs = spark.createDataFrame([(d, t, 7, *names) for d, t in rows], "doc_id long, text string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    out = s.drop_repeats(docs)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    got = out.collect()
+    assert all([r[n] for n in names] == names for r in got)
+    assert sorted(((str(r.doc_id), r.text or "", r.n_chars) for r in got)) == sorted([("1", rows[0][1], 7), ("2", "a", 1), ("2", "", 7), ("None", "", 7)])
+    assert s.drop_repeats(docs.limit(0)).collect() == []
