@@ -15,27 +15,33 @@ from evidentia.llm.common import Scratch, documents
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts are judged
+    like any other, rows that repeat each for themselves."""
     return quality.keep_good(docs, documents(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest doc_id of each near-duplicate group stays."""
+    """The row of the smallest doc_id of each near-duplicate group stays, of rows
+    that repeat it one; empty texts are one group; rows of null doc_id stay
+    where their group has no other."""
     return simhash.keep_rows(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document has go from the text."""
+    """Passages of 50 words or more that an earlier document has go from the text, and
+    rows that lose all of their words; null, empty and short texts stay as they
+    are, rows of one doc_id are no source for each other."""
     return substrings.drop_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
+    """Documents contaminated by the benchmark go; texts without words stay."""
     return decontaminate.keep_clean(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is tokenised and packed."""
+    """What is left is tokenised and packed, null and empty texts as a separator each,
+    rows that repeat each for themselves."""
     return packing.pack(docs)
 
 
@@ -52,7 +58,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage; the stages before it are written tables."""
+    """Rows of the last stage; the stages before it are written tables. Tables
+    without rows give none."""
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
