@@ -1,25 +1,31 @@
 """Best-fit packing of token sequences, bulk-synchronously.
 
 Pieces of documents are tokenised and cut where they are longer than a
-sequence. Packing then runs in rounds over two sorted lists, pieces by length
-and sequences by the room they have left. In a round the longest pieces not yet
-placed sweep to their successor, the tightest gap that holds them; pieces of
-equal length that want gaps of equal size are told apart by rank, each gap
-takes as many as fit, and gaps move to their new size. Pieces without a gap
-open sequences.
-
-Lengths and gaps are whole numbers up to the capacity, so both lists are kept
-run-length encoded: a round moves runs of equal pieces into runs of equal gaps.
-The lists have at most ``capacity`` and a few times ``capacity`` runs whatever
-the input, so the sweeps cost no shuffle; all that grows with the input, the
+sequence. Packing then runs in rounds over documents and gaps (the room that
+open sequences have left), both kept in runs of equal size, sorted by size:
+
+1. Runs are dealt to ranges of size. Each range is swept from its largest size
+   down: gaps are laid on a stack, so that pieces of a length meet the tightest
+   gap that still holds them, their successor. A gap takes as many pieces of a
+   length as fit.
+2. What a range could not match, pieces that are longer than its gaps and gaps
+   that it had no piece for, is swept once more over all ranges.
+3. Pieces of one length that want gaps of one size are told apart by rank: a
+   run of ranks goes to a run of sequences.
+4. Gaps get their new size, and the next round begins. Where no piece fits any
+   gap, sequences are opened, as many as what is left would fill.
+
+Lengths and gaps are whole numbers up to the capacity, so a round's table has
+as many runs as there are sizes and splits, whatever the input; it is a written
+table, and the driver sees four numbers a round. What grows with the input, the
 tokens, the counts, the ranks within a length and the placing of pieces by
-rank, is distributed.
+rank, is distributed, too.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,6 @@ from .wordpiece import public_path, word_bpe
 
 CAPACITY = 2048
 SEPARATOR = b"\0\0\0\0"
-SHIFT = 1 << 40  # ranks within a length stay below
 
 
 def pieces(text: Column, path: str, capacity: int = CAPACITY) -> Column:
@@ -64,67 +69,95 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY) -> Column:
     return of(text)
 
 
-class Gaps:
-    """Open sequences by room left, as runs (first sequence, count)."""
-
-    def __init__(self) -> None:
-        self.runs: dict[int, list[tuple[int, int]]] = {}
-        self.sizes: list[int] = []
-
-    def put(self, room: int, first: int, count: int) -> None:
-        if room and count:
-            if room not in self.runs:
-                self.runs[room] = []
-                at = np.searchsorted(self.sizes, room)
-                self.sizes.insert(int(at), room)
-            heapq.heappush(self.runs[room], (first, count))
-
-    def successor(self, length: int) -> tuple[int, int, int] | None:
-        """The tightest run of gaps that hold ``length``, taken out."""
-        at = int(np.searchsorted(self.sizes, length))
-        if at == len(self.sizes):
-            return None
-        room = self.sizes[at]
-        first, count = heapq.heappop(self.runs[room])
-        if not self.runs[room]:
-            del self.runs[room], self.sizes[at]
-        return room, first, count
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Placement of pieces by (length, rank within the length).
-
-    ``counts`` is the number of pieces of each length. Returns arrays sorted by
-    the first: key ``length * SHIFT + first rank``, sequence of that rank
-    (following ranks take the following sequences) and offset there.
+#: A run: pieces of a length (ranks from ``first``), gaps of a size (sequences
+#: from ``first``), gaps made in this round, or placed pieces (``first`` rank
+#: of ``size``, in sequences from ``sequence`` at ``offset``).
+RUN = "kind string, size int, first long, count long, sequence long, offset long"
+Run = tuple[str, int, int, int, int, int]
+
+
+def sweep(runs: list[Run], capacity: int = CAPACITY) -> list[Run]:
+    """One sweep from the largest size down; see the module. Runs that are
+    placed or made in this round go through."""
+    out = [r for r in runs if r[0] in ("made", "placed")]
+    open_ = sorted((r for r in runs if r[0] in ("gap", "piece")), key=lambda r: (-r[1], r[0], -r[2]))
+    stack: list[list[int]] = []  # [size, first sequence, count], the tightest on top
+    for kind, size, first, count, _, _ in open_:
+        if kind == "gap":
+            stack.append([size, first, count])
+            continue
+        while count and stack:
+            room, at, n = stack[-1]
+            fits = room // size
+            used = min(n, count // fits) or 1
+            taken = min(fits, count)  # pieces in each of the ``used`` gaps
+            for layer in range(taken):
+                out.append(("placed", size, first + layer * used, used, at, capacity - room + layer * size))
+            if room > taken * size:
+                out.append(("made", room - taken * size, at, used, 0, 0))
+            first, count = first + taken * used, count - taken * used
+            if used == n:
+                stack.pop()
+            else:
+                stack[-1][1:] = at + used, n - used
+        if count:
+            out.append(("piece", size, first, count, 0, 0))
+    return out + [("gap", size, at, n, 0, 0) for size, at, n in stack]
+
+
+def _swept(runs: DataFrame, by: Column, capacity: int) -> DataFrame:
+    """:func:`sweep` for the runs of each ``by``."""
+
+    def of(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in names)))
+        done = list(zip(*sweep(rows, capacity))) or [[]] * len(names)
+        return pa.table([pa.array(c, t.type) for c, t in zip(done, kinds)], names=names)
+
+    names = [c.split()[0] for c in RUN.split(", ")]
+    kinds = [pa.field(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for n, c in zip(names, RUN.split(", "))]
+    return runs.select(by.alias("range"), *names).groupBy("range").applyInArrow(of, RUN)
+
+
+def plan(counts: DataFrame, scratch: Scratch, capacity: int = CAPACITY, ranges: int = 4) -> DataFrame:
+    """Placement of pieces by (``length``, ``rank`` within the length).
+
+    ``counts`` has ``length`` and ``n``. Returns ``length``, ``rank``, ``count``,
+    ``sequence`` and ``offset``: ``count`` ranks from ``rank`` take sequences
+    from ``sequence``, each at ``offset``.
     """
-    gaps, opened, placed = Gaps(), 0, []
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            gap = gaps.successor(length)
-            if gap is None:
-                count = -(-left // (capacity // length))
-                gap = capacity, opened, count
-                opened += count
-            room, first, count = gap
-            fits = room // length
-            used = min(count, -(-left // fits))  # gaps that get pieces: all but the last get ``fits``
-            full = used if used * fits <= left else used - 1
-            for layer in range(fits):
-                taking = min(used if layer < left - full * fits else full, left) if full < used else full
-                if taking:
-                    placed.append((length * SHIFT + rank, first, capacity - room + layer * length))
-                    rank += taking
-            if full < used:
-                partly = left - full * fits
-                gaps.put(room - partly * length, first + full, 1)
-            gaps.put(room - fits * length, first, full)
-            gaps.put(room, first + used, count - used)
-            left = counts[length] - rank
-    placed.sort()
-    key, sequence, offset = (np.array(x, np.int64) for x in zip(*placed)) if placed else (np.zeros(0, np.int64),) * 3
-    return key, sequence, offset
+    pieces_ = counts.select(F.lit("piece").alias("kind"), F.col("length").cast("int").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").alias("count"), F.lit(0).cast("long").alias("sequence"), F.lit(0).cast("long").alias("offset"))
+    spark, half = counts.sparkSession, F.col("length") * 2 > capacity
+    row = counts.agg(F.sum("n").alias("left"), F.sum(F.when(half, F.col("n"))).alias("large"), F.sum(F.col("n") * F.col("length")).alias("volume")).first()
+    left, volume, opened = row.left or 0, row.volume or 0, 0
+    runs, turn, placed = pieces_, 0, []
+    more = row.large or -(-volume // capacity)
+    while left:
+        if more:
+            opened_ = spark.createDataFrame([("gap", capacity, opened, more, 0, 0)], RUN)
+            runs, opened = runs.unionByName(opened_), opened + more
+        ranged = _swept(runs, F.floor(F.col("size") * ranges / (capacity + 1)), capacity)
+        done = scratch.keep(_swept(ranged, F.lit(0), capacity), f"round_{turn}")
+        fresh = F.col("kind") == "placed"
+        rest = F.col("kind") == "piece"
+        row = done.agg(F.sum(F.when(rest, F.col("count"))).alias("left"), F.sum(F.when(rest, F.col("count") * F.col("size"))).alias("volume"), F.count_if(fresh).alias("n")).first()
+        left, volume = row.left or 0, row.volume or 0
+        more = 0 if row.n else max(1, volume // capacity)
+        placed.append(done.where(fresh))
+        runs = done.where(~fresh).withColumn("kind", F.regexp_replace("kind", "^made$", "gap"))
+        turn += 1
+    all_ = reduce(DataFrame.unionByName, placed) if placed else pieces_.limit(0)
+    return all_.select(F.col("size").cast("long").alias("length"), F.col("first").alias("rank"), "count", "sequence", "offset")
+
+
+def placed_by_rank(ranked: DataFrame, placement: DataFrame, block: int = 4096) -> DataFrame:
+    """``ranked`` (``length``, ``rank``, ...) with ``sequence_id`` and ``offset``: runs
+    of ranks are cut at multiples of ``block``, so that this is an equi-join on
+    (length, block of ranks) and no key has more than ``block`` rows."""
+    cut = placement.select("*", F.explode(F.sequence(F.floor(F.col("rank") / block), F.floor((F.col("rank") + F.col("count") - 1) / block))).alias("_block"))
+    cut = cut.select(F.col("length").alias("_length"), "_block", F.col("rank").alias("_first"), (F.col("rank") + F.col("count")).alias("_end"), "sequence", F.col("offset").alias("_offset"))
+    inside = (F.col("length") == F.col("_length")) & (F.floor(F.col("rank") / block) == F.col("_block")) & (F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_end"))
+    both = ranked.join(cut, inside)
+    return both.select(*ranked.columns, (F.col("sequence") + F.col("rank") - F.col("_first")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -139,24 +172,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     scratch = Scratch(docs.sparkSession, "packing")
     cut = docs.select("doc_id", F.explode(pieces(F.col("text"), path or public_path(), capacity)).alias("p"))
     cut = scratch.keep(cut.select("doc_id", "p.*"), "pieces")
-    counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    key, sequence, offset = plan(counts, capacity)
+    counts = scratch.keep(cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    placement = scratch.keep(plan(counts, scratch, capacity), "placement")
     ranked = number_within(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", scratch)
-    shared = docs.sparkSession.sparkContext.broadcast((key, sequence, offset))  # a few times ``capacity`` rows
-
-    @arrow_udf("struct<sequence_id:bigint,offset:bigint>")
-    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
-        key, sequence, offset = shared.value
-        wanted = length.to_numpy(zero_copy_only=False) * SHIFT + rank.to_numpy(zero_copy_only=False)
-        at = np.searchsorted(key, wanted, "right") - 1
-        return pa.StructArray.from_arrays(
-            [pa.array(sequence[at] + wanted - key[at]), pa.array(offset[at])], names=["sequence_id", "offset"]
-        )
-
-    return ranked.withColumn("_at", place("length", "rank")).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset"
-    )
+    return placed_by_rank(ranked, placement).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, a row a piece. Null and empty texts are one piece each,
+    repeated rows are packed each for themselves, an empty table gives no rows."""
     return pack(documents(spark, sf_dir))

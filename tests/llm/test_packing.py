@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 from evidentia.llm import packing
+from evidentia.llm.common import Scratch
 from evidentia.llm.wordpiece import public_path, word_bpe
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,14 +31,31 @@ def test_ids_equal_the_tokenizer_on_any_text(text):
     assert np.frombuffer(bpe.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def laid_out(counts, capacity):
-    key, sequence, offset = packing.plan(counts, capacity)
-    rooms = defaultdict(list)
-    for length, n in counts.items():
-        for rank in range(n):
-            at = np.searchsorted(key, length * packing.SHIFT + rank, "right") - 1
-            rooms[sequence[at] + length * packing.SHIFT + rank - key[at]].append((offset[at], length))
-    return rooms
+def laid_out(counts, capacity, ranges=3):
+    """Rooms by the sweeps of packing.plan, without Spark; and the rounds."""
+    runs = [("piece", k, 0, n, 0, 0) for k, n in counts.items() if n]
+    left = sum(counts.values())
+    volume = sum(k * n for k, n in counts.items())
+    opened, rounds, rooms = 0, 0, defaultdict(list)
+    more = sum(n for k, n in counts.items() if 2 * k > capacity) or -(-volume // capacity)
+    while left:
+        if more:
+            runs.append(("gap", capacity, opened, more, 0, 0))
+            opened += more
+        by = defaultdict(list)
+        for r in runs:
+            by[r[1] * ranges // (capacity + 1)].append(r)
+        done = packing.sweep(sum((packing.sweep(x, capacity) for x in by.values()), []), capacity)
+        placed = [r for r in done if r[0] == "placed"]
+        for _, length, rank, n, sequence, offset in placed:
+            for i in range(n):
+                rooms[sequence + i].append((offset, length, rank + i))
+        rest = [r for r in done if r[0] == "piece"]
+        left, volume = sum(r[3] for r in rest), sum(r[1] * r[3] for r in rest)
+        more = 0 if placed else max(1, volume // capacity)
+        runs = [("gap" if r[0] == "made" else r[0], *r[1:]) for r in done if r[0] != "placed"]
+        rounds += 1
+    return rooms, rounds
 
 
 def one_by_one(counts, capacity):
@@ -57,16 +75,17 @@ def one_by_one(counts, capacity):
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=12))
 def test_plan_is_gapless_and_near_the_bound(counts):
-    rooms = laid_out(counts, 32)
+    rooms, _ = laid_out(counts, 32)
     total = sum(k * n for k, n in counts.items())
-    assert sum(len(x) for x in rooms.values()) == sum(counts.values())
+    ranks = sorted((length, rank) for x in rooms.values() for _, length, rank in x)
+    assert ranks == sorted((k, i) for k, n in counts.items() for i in range(n))
     for x in rooms.values():
         at = 0
-        for o, length in sorted(x):
+        for o, length, _ in sorted(x):
             assert o == at
             at += length
         assert at <= 32
-    assert -(-total // 32) <= len(rooms) <= one_by_one(counts, 32) + 1
+    assert -(-total // 32) <= len(rooms) <= one_by_one(counts, 32) * 1.1 + 1
 
 
 def test_plan_fills_sequences():
@@ -75,7 +94,25 @@ def test_plan_fills_sequences():
     for _ in range(20_000):
         counts[min(2048, int(r.expovariate(1 / 500)) + 1)] += 1
     total = sum(k * n for k, n in counts.items())
-    assert len(laid_out(dict(counts), 2048)) <= -(-total // 2048) * 1.002 + 1
+    rooms, rounds = laid_out(dict(counts), 2048)
+    assert len(rooms) <= -(-total // 2048) * 1.002 + 1 and rounds < 40
+
+
+def test_plan_is_that_of_the_sweeps(spark):
+    """The Spark rounds place every rank once, as the sweeps do without Spark."""
+    r = random.Random(7)
+    counts = defaultdict(int)
+    for _ in range(3000):
+        counts[min(64, int(r.expovariate(1 / 15)) + 1)] += 1
+    counts[64] += 9000  # a third of all and more have one length
+    table = spark.createDataFrame(list(counts.items()), "length long, n long")
+    placed = packing.plan(table, Scratch(spark, "t"), 64)
+    ranked = spark.createDataFrame([(k, i) for k, n in counts.items() for i in range(n)], "length long, rank long")
+    got = defaultdict(list)
+    for x in packing.placed_by_rank(ranked, placed, 100).collect():
+        got[x.sequence_id].append((x.offset, x.length, x["rank"]))
+    want, _ = laid_out(dict(counts), 64, 4)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 def test_pack_round_trip(spark):
