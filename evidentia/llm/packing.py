@@ -8,16 +8,16 @@ open sequences have left), both kept in runs of equal size, sorted by size:
    down: gaps are laid on a stack, so that pieces of a length meet the tightest
    gap that still holds them, their successor. A gap takes as many pieces of a
    length as fit.
-2. What a range could not match, pieces that are longer than its gaps and gaps
-   that it had no piece for, is swept once more over all ranges.
-3. Pieces of one length that want gaps of one size are told apart by rank: a
-   run of ranks goes to a run of sequences.
-4. Gaps get their new size, and the next round begins. Where no piece fits any
-   gap, sequences are opened, as many as what is left would fill.
+2. Pieces of one length that want gaps of one size are told apart by rank: a
+   run of ranks goes to a run of sequences. Gaps get their new size.
+3. What the ranges could not match, pieces longer than a range's gaps and gaps
+   that it had no piece for, is swept over all ranges, until no piece fits.
+4. Sequences are opened, as many as what is left would fill, and the next round
+   begins.
 
 Lengths and gaps are whole numbers up to the capacity, so a round's table has
 as many runs as there are sizes and splits, whatever the input; it is a written
-table, and the driver sees four numbers a round. What grows with the input, the
+table, and the driver sees two numbers a round. What grows with the input, the
 tokens, the counts, the ranks within a length and the placing of pieces by
 rank, is distributed, too.
 """
@@ -25,11 +25,12 @@ rank, is distributed, too.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
@@ -105,16 +106,26 @@ def sweep(runs: list[Run], capacity: int = CAPACITY) -> list[Run]:
     return out + [("gap", size, at, n, 0, 0) for size, at, n in stack]
 
 
-def _swept(runs: DataFrame, by: Column, capacity: int) -> DataFrame:
-    """:func:`sweep` for the runs of each ``by``."""
+def settle(runs: list[Run], capacity: int = CAPACITY) -> list[Run]:
+    """Sweeps, each over the gaps that the one before has made, until nothing fits."""
+    placed: list[Run] = []
+    while True:
+        done = sweep([r if r[0] != "made" else ("gap", *r[1:]) for r in runs if r[0] != "placed"], capacity)
+        placed += [r for r in runs if r[0] == "placed"]
+        if not any(r[0] == "placed" for r in done):
+            return placed + done
+        runs = done
+
+
+def _swept(runs: DataFrame, by: Column, how: Callable[[list[Run], int], list[Run]], capacity: int) -> DataFrame:
+    """:func:`sweep` or :func:`settle` for the runs of each ``by``."""
+    names, types = zip(*(c.split() for c in RUN.split(", ")))
+    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in zip(names, types)])
 
     def of(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in names)))
-        done = list(zip(*sweep(rows, capacity))) or [[]] * len(names)
-        return pa.table([pa.array(c, t.type) for c, t in zip(done, kinds)], names=names)
+        return pa.table(list(map(list, zip(*how(rows, capacity)))), schema=schema)
 
-    names = [c.split()[0] for c in RUN.split(", ")]
-    kinds = [pa.field(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for n, c in zip(names, RUN.split(", "))]
     return runs.select(by.alias("range"), *names).groupBy("range").applyInArrow(of, RUN)
 
 
@@ -135,15 +146,16 @@ def plan(counts: DataFrame, scratch: Scratch, capacity: int = CAPACITY, ranges:
         if more:
             opened_ = spark.createDataFrame([("gap", capacity, opened, more, 0, 0)], RUN)
             runs, opened = runs.unionByName(opened_), opened + more
-        ranged = _swept(runs, F.floor(F.col("size") * ranges / (capacity + 1)), capacity)
-        done = scratch.keep(_swept(ranged, F.lit(0), capacity), f"round_{turn}")
-        fresh = F.col("kind") == "placed"
-        rest = F.col("kind") == "piece"
-        row = done.agg(F.sum(F.when(rest, F.col("count"))).alias("left"), F.sum(F.when(rest, F.col("count") * F.col("size"))).alias("volume"), F.count_if(fresh).alias("n")).first()
-        left, volume = row.left or 0, row.volume or 0
-        more = 0 if row.n else max(1, volume // capacity)
+        ranged = _swept(runs, F.floor(F.col("size") * ranges / (capacity + 1)), sweep, capacity)
+        rest, told = F.col("kind") == "piece", Observation()
+        settled = _swept(ranged, F.lit(0), settle, capacity).observe(
+            told, F.sum(F.when(rest, F.col("count"))).alias("left"), F.sum(F.when(rest, F.col("count") * F.col("size"))).alias("volume")
+        )
+        done, fresh = scratch.keep(settled, f"round_{turn}"), F.col("kind") == "placed"
+        left, volume = told.get["left"] or 0, told.get["volume"] or 0
+        more = max(1, volume // capacity)
         placed.append(done.where(fresh))
-        runs = done.where(~fresh).withColumn("kind", F.regexp_replace("kind", "^made$", "gap"))
+        runs = done.where(~fresh)
         turn += 1
     all_ = reduce(DataFrame.unionByName, placed) if placed else pieces_.limit(0)
     return all_.select(F.col("size").cast("long").alias("length"), F.col("first").alias("rank"), "count", "sequence", "offset")

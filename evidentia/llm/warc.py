@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, shared_dir
+from .common import Scratch, documents, join_by_count
 
 REVISIT_BYTES = 1000
 CHUNK = 1 << 20
@@ -142,15 +142,15 @@ def with_roles(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Pages with ``payload``, ``digest`` and ``refers_to``: of equal payloads of
     at least ``REVISIT_BYTES``, the page of the largest id is the response that
     the others refer to. Only digests that repeat are joined back, from a written
-    table: Spark knows its size and ships it where it is below the session's
-    broadcast threshold, so that payloads stay where they are; beyond it both
-    sides are merged by digest."""
+    table, the most frequent ones by broadcast. Spark knows the size of the rest
+    and ships it where it is below the session's broadcast threshold, so that
+    payloads stay where they are; beyond it both sides are merged by digest."""
     read = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     read = read.withColumn("digest", F.sha1("payload"))
     long_ = read.where(F.octet_length("payload") >= REVISIT_BYTES)
-    repeated = long_.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = long_.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = scratch.keep(repeated, "repeated")
-    return read.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", "refers_to")
+    return join_by_count(read, repeated, ["digest"], how="left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -270,19 +270,20 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     only, all are responses. Other columns are ignored; an empty table makes no
     archive.
     """
-    spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    scratch = Scratch(pages.sparkSession, "warc")
+    folder = folder or f"{scratch.root}/archives"
     if "://" not in folder:
         folder = "file://" + folder.removeprefix("file:")
-    scratch = Scratch(spark, "warc")
-    written = [r.archive for r in write_archives(with_roles(pages, scratch), folder).collect()]  # names of files
-    scheme = folder.split("://", 1)[0]
-    names = [(f"{scheme}://{w}" if "://" not in w else w,) for w in sorted(written)]
-    table = spark.createDataFrame(names, "archive string")
-    return scratch.keep(normalise(table.repartitionByRange(max(1, len(names)), "archive"), folder), "index")
+    scheme, at = folder.split("://", 1)[0], F.col("archive")
+    whole = scratch.keep(write_archives(with_roles(pages, scratch), folder), "whole")
+    named = whole.select(F.when(at.contains("://"), at).otherwise(F.concat(F.lit(f"{scheme}://"), at)).alias("archive"))
+    return scratch.keep(normalise(named.repartitionByRange(max(1, whole.count()), "archive"), folder), "index")  # an archive is a task
 
 
 def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``pages`` written, normalised and read back, a row a page. Null html is an
+    empty payload; repeated rows are records of their own; an empty table gives
+    no rows."""
     index = archive(documents(spark, sf_dir, "pages"))
     found = read_records(index, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -45,15 +45,14 @@ def laid_out(counts, capacity, ranges=3):
         by = defaultdict(list)
         for r in runs:
             by[r[1] * ranges // (capacity + 1)].append(r)
-        done = packing.sweep(sum((packing.sweep(x, capacity) for x in by.values()), []), capacity)
-        placed = [r for r in done if r[0] == "placed"]
-        for _, length, rank, n, sequence, offset in placed:
+        done = packing.settle(sum((packing.sweep(x, capacity) for x in by.values()), []), capacity)
+        for _, length, rank, n, sequence, offset in (r for r in done if r[0] == "placed"):
             for i in range(n):
                 rooms[sequence + i].append((offset, length, rank + i))
         rest = [r for r in done if r[0] == "piece"]
         left, volume = sum(r[3] for r in rest), sum(r[1] * r[3] for r in rest)
-        more = 0 if placed else max(1, volume // capacity)
-        runs = [("gap" if r[0] == "made" else r[0], *r[1:]) for r in done if r[0] != "placed"]
+        more = max(1, volume // capacity)
+        runs = [r for r in done if r[0] != "placed"]
         rounds += 1
     return rooms, rounds
 
