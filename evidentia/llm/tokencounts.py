@@ -9,6 +9,11 @@ pre-token (blanks step back from a letter, a quote may begin a contraction), so
 matching starts again at the first pre-token that ends one character before the
 edit or later, and stops where it meets a border of the old split behind the
 edit. Only those leaves are encoded anew, and only the sums above them change.
+
+Trees are kept: :func:`grow` tokenises a table once and writes a row a document
+with its text, its leaves and the nodes above them; :func:`edit` takes a table
+of edits to a table of trees and gives the next one. A document without an edit
+is handed on as it is; of others the stored tree is read, never built anew.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import documents, texts_of
+from .common import Scratch, documents, texts_of
 
 BLOCK = 256  # leaves of one block; a block is a leaf of the tree of sums
 CACHE = 250_000
@@ -79,6 +84,27 @@ class TokenTree:
         self.ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         self._build(list(map(counts.__getitem__, pieces)))
 
+    @classmethod
+    def stored(cls, text: str, leaves: bytes, nodes: bytes, counts: Pretokens) -> TokenTree:
+        """The tree that :meth:`packed` wrote: nothing is split, encoded or summed."""
+        tree = cls.__new__(cls)
+        tree.counts, tree.text, tree.encoded = counts, text, 0
+        lengths, tokens = np.frombuffer(leaves, "<u4").reshape(2, -1)
+        tree.ends = np.cumsum(lengths, dtype=np.int64)
+        tree.nodes = np.frombuffer(nodes, "<i8").reshape(-1, 2).copy()
+        tree.width = len(tree.nodes) // 2
+        sizes = tree.nodes[tree.width :, 1]
+        at = [0, *np.cumsum(sizes[: max(1, np.count_nonzero(np.cumsum(sizes[::-1])[::-1]))]).tolist()]
+        flat = tokens.tolist()
+        tree.blocks = [flat[a:b] for a, b in zip(at, at[1:])]
+        return tree
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """Leaves (lengths and tokens) and nodes, as little-endian numbers."""
+        tokens = np.fromiter((n for b in self.blocks for n in b), np.uint32, len(self.ends))
+        lengths = np.diff(self.ends, prepend=0).astype("<u4")
+        return np.concatenate([lengths, tokens]).astype("<u4").tobytes(), self.nodes.astype("<i8").tobytes()
+
     def _build(self, leaves: list[int]) -> None:
         self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
         self.width = 1 << (len(self.blocks) - 1).bit_length()
@@ -200,34 +226,107 @@ def public_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-def counted(text: Column, path: str, edits_of: Callable[[str], list[Edit]] = scrubs) -> Column:
-    """Token counts of whole texts before and after their edits, as a struct.
+TREE = "struct<leaves:binary,nodes:binary,n_tokens:bigint,n_pretokens:bigint>"
+EDITS = "array<struct<start:bigint,end:bigint,put:string>>"
+EDITED = "struct<text:string,leaves:binary,nodes:binary,n_tokens:bigint,n_pretokens:bigint,n_encoded:bigint>"
 
-    ``edits_of`` gives the edits of a text. Null is an empty text without edits.
-    """
 
-    @arrow_udf("struct<n_tokens:bigint,n_pretokens:bigint,n_edits:bigint,n_tokens_edited:bigint,n_encoded_again:bigint,n_chars_edited:bigint>")
+def trees(text: Column, path: str) -> Column:
+    """Trees of whole texts, packed. Null is an empty text."""
+
+    @arrow_udf(TREE)
     def of(column: pa.Array) -> pa.Array:
         known, rows = pretokens(path), []
         for some in texts_of(column):
             for t in some:
                 tree = TokenTree(t or "", known)
-                before, leaves, edits = tree.total, tree.leaves, edits_of(tree.text)
-                tree.apply(edits)
-                rows.append((before, leaves, len(edits), tree.total, tree.encoded, len(tree.text)))
-        names = ["n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_encoded_again", "n_chars_edited"]
-        columns = np.array(rows, np.int64).reshape(-1, len(names)).T
-        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names)
+                rows.append((*tree.packed(), tree.total, tree.leaves))
+        return _structs(rows, [("leaves", pa.binary()), ("nodes", pa.binary()), ("n_tokens", pa.int64()), ("n_pretokens", pa.int64())])
+
+    return of.asNondeterministic()(text)
+
+
+def _structs(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def scrubbed(text: Column, edits_of: Callable[[str], list[Edit]] = scrubs) -> Column:
+    """Edits of whole texts, as an array of (start, end, put) in characters."""
+
+    @arrow_udf(EDITS)
+    def of(column: pa.Array) -> pa.Array:
+        begins, flat = [0], []
+        for some in texts_of(column):
+            for t in some:
+                flat += edits_of(t or "")
+                begins.append(len(flat))
+        inner = _structs(flat, [("start", pa.int64()), ("end", pa.int64()), ("put", pa.string())])
+        return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), inner)
 
     return of.asNondeterministic()(text)
 
 
-def count(docs: DataFrame, path: str | None = None) -> DataFrame:
+def grow(docs: DataFrame, scratch: Scratch, path: str | None = None, edits_of: Callable[[str], list[Edit]] | None = None) -> DataFrame:
+    """The written table of trees for every row of ``docs`` (``doc_id``, ``text``;
+    other columns are ignored): ``row_id``, ``doc_id``, ``text``, ``leaves``,
+    ``nodes``, ``n_tokens``, ``n_pretokens``, and ``edits``, those that wait to be
+    applied (null without ``edits_of``). A null text is an empty one; rows that
+    repeat have a tree each; an empty table gives none."""
+    grown = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    edits = scrubbed(F.col("text"), edits_of) if edits_of else F.lit(None).cast(EDITS)
+    grown = grown.withColumn("t", trees(F.col("text"), path or public_path())).withColumn("edits", edits)
+    return scratch.keep(grown.select("row_id", "doc_id", "text", "t.*", "edits"), "trees")
+
+
+def applied(waiting: DataFrame, path: str | None = None) -> DataFrame:
+    """The next table of trees: those with ``edits`` get them, the others are handed
+    on as they are and not read by Python. ``n_encoded`` is the number of
+    pre-tokens that were encoded anew, 0 without an edit. Edits of one tree must
+    not overlap; null and empty arrays change nothing."""
+    known_path = path or public_path()
+
+    @arrow_udf(EDITED)
+    def of(text: pa.Array, leaves: pa.Array, nodes: pa.Array, edits: pa.Array) -> pa.Array:
+        known, rows = pretokens(known_path), []
+        for at in range(len(text)):
+            tree = TokenTree.stored(text[at].as_py(), leaves[at].as_py(), nodes[at].as_py(), known)
+            tree.apply([(e["start"], e["end"], e["put"] or "") for e in edits[at].as_py()])
+            rows.append((tree.text, *tree.packed(), tree.total, tree.leaves, tree.encoded))
+        return _structs(rows, [("text", pa.string()), ("leaves", pa.binary()), ("nodes", pa.binary()), *((n, pa.int64()) for n in ("n_tokens", "n_pretokens", "n_encoded"))])
+
+    some = F.coalesce(F.size("edits") > 0, F.lit(False))
+    kept = [c for c in waiting.columns if c not in ("text", "leaves", "nodes", "n_tokens", "n_pretokens", "n_encoded", "edits")]
+    touched = waiting.where(some).select(*kept, of.asNondeterministic()("text", "leaves", "nodes", "edits").alias("t")).select(*kept, "t.*")
+    left = waiting.where(~some).select(*kept, "text", "leaves", "nodes", "n_tokens", "n_pretokens", F.lit(0).cast("long").alias("n_encoded"))
+    return touched.unionByName(left).withColumn("edits", F.lit(None).cast(EDITS))
+
+
+def edit(grown: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """The next table of trees after a table of ``edits`` (``row_id``, ``edits``: an
+    array of (start, end, put) in characters; at most one row a tree); see
+    :func:`applied`."""
+    own = edits.select(F.col("row_id").alias("_row"), F.col("edits").alias("_edits"))
+    both = grown.drop("edits").join(own, grown.row_id == own._row, "left").withColumnRenamed("_edits", "edits")
+    return applied(both.drop("_row"), path)
+
+
+def count(docs: DataFrame, path: str | None = None, edits_of: Callable[[str], list[Edit]] = scrubs) -> DataFrame:
     """Counts for every row of ``docs`` (``doc_id``, ``text``; other columns are
-    ignored), with the scrubbing edits applied to its tree; see :func:`counted`.
-    Repeated rows are counted each for themselves; an empty table gives none."""
-    return docs.select("doc_id", counted(F.col("text"), path or public_path()).alias("c")).select("doc_id", "c.*")
+    ignored), before and after its edits, by default those that scrub it. Trees
+    are grown once, as a written table with the edits that wait; only trees with
+    edits are read for the second count, and nothing is shuffled. Repeated rows
+    are counted each for themselves; an empty table gives none."""
+    grown = grow(docs, Scratch(docs.sparkSession, "tokens"), path, edits_of)
+    n = F.size("edits").cast("long")
+    after = applied(grown.select("*", F.col("n_tokens").alias("was"), F.col("n_pretokens").alias("had"), n.alias("n_edits")), path)
+    return after.select(
+        "doc_id", F.col("was").alias("n_tokens"), F.col("had").alias("n_pretokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"),
+        F.col("n_encoded").alias("n_encoded_again"), F.length("text").cast("long").alias("n_chars_edited"),
+    )
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``: counts of tokens before and after edits, a row a row of the
+    table; null and empty texts have none; an empty table gives no rows."""
     return count(documents(spark, sf_dir))

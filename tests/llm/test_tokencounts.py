@@ -39,7 +39,11 @@ def test_edits_equal_reading_again(text, raw):
         at = end
     tree = tc.TokenTree(text, KNOWN)
     same(tree, text)
+    again = tc.TokenTree.stored(text, *tree.packed(), KNOWN)
+    same(again, text)
     tree.apply(edits)
+    again.apply(edits)
+    assert again.packed() == tree.packed() and again.encoded == tree.encoded
     want, at = "", 0
     for s, e, new in sorted(edits):
         want += text[at:s] + new
@@ -94,3 +98,39 @@ def test_edits_two_characters_past_a_pretoken(text, edit):
     tree = tc.TokenTree(text, KNOWN)
     tree.apply([edit])
     same(tree, text[: edit[0]] + edit[2] + text[edit[1] :])
+
+
+def test_rounds_of_edits_on_kept_trees(spark):
+    """Several tables of edits, one after the other, equal growing the trees of the final texts."""
+    from evidentia.llm.common import Scratch
+
+    r = random.Random(11)
+    say = lambda n: "".join(r.choice(["ab ", "'ll ", "\n", " ", "é1", "word", "<x>"]) for _ in range(n))
+    texts = [say(r.choice([0, 1, 5, 40, 3000])) for _ in range(40)] + [None, "same", "same"]
+    docs = spark.createDataFrame([(i if i != 7 else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, row_id int")
+    scratch = Scratch(spark, "t")
+    now = tc.grow(docs, scratch)
+    held = {x.row_id: x.text for x in now.collect()}
+    assert sorted(held.values()) == sorted(t or "" for t in texts)
+    for turn in range(3):
+        table = []
+        for row, text in held.items():
+            edits, at = [], 0
+            while r.random() < 0.6 and at < len(text):
+                a = r.randint(at, len(text))
+                b = min(len(text), a + r.choice([0, 1, 6]))
+                edits.append((a, b, say(r.choice([0, 1, 3]))))
+                at = b + 1
+            if edits or r.random() < 0.3:
+                table.append((row, edits))
+            for a, b, new in reversed(edits):
+                text = text[:a] + new + text[b:]
+            held[row] = text
+        table = spark.createDataFrame(table, f"row_id long, edits {tc.EDITS}")
+        now = scratch.keep(tc.edit(now.drop("n_encoded"), table), f"turn_{turn}")
+    got = {x.row_id: x for x in now.collect()}
+    assert {k: v.text for k, v in got.items()} == held
+    for row, x in got.items():
+        leaves = whole(held[row])
+        assert x.n_tokens == sum(leaves) and x.n_pretokens == len(leaves)
+        same(tc.TokenTree.stored(x.text, bytes(x.leaves), bytes(x.nodes), KNOWN), held[row])
