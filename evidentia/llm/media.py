@@ -199,9 +199,26 @@ def media(text: Column) -> Column:
     return of(text)
 
 
+KEYFRAMES = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+TRACK_ARROW = pa.struct([
+    ("handler", pa.string()), ("codec", pa.string()), *((k, pa.int64()) for k in ("timescale", "duration", "samples", "sample_bytes")),
+    ("keyframes", KEYFRAMES),
+])
+READ = f"struct<tracks:array<{TRACK}>,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,error:string>"
+READ_ARROW = pa.struct([
+    ("tracks", pa.list_(TRACK_ARROW)), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("error", pa.string()),
+])
+
+
+def _tables(found: list[dict]) -> list[dict]:
+    return [{k: v for k, v in t.items() if k not in ("offsets", "lengths")} for t in found]
+
+
 def tracks(file: Column) -> Column:
     """Struct of ``tracks`` and ``error`` for a column of ISO media files. A null,
-    malformed or fragmented file has no tracks and an error that says why."""
+    malformed or fragmented file, and one without a track, has no tracks and an
+    error that says why. Payloads are not touched."""
 
     @arrow_udf(f"struct<tracks:array<{TRACK}>,error:string>")
     def of(column: pa.Array) -> pa.Array:
@@ -211,33 +228,41 @@ def tracks(file: Column) -> Column:
                 found = describe(value.as_py() or b"")
                 if not found:
                     raise ValueError("no track")
-                rows.append({"tracks": [{k: v for k, v in t.items() if k not in ("offsets", "lengths")} for t in found], "error": None})
+                rows.append({"tracks": _tables(found), "error": None})
             except ValueError as e:
                 rows.append({"tracks": None, "error": str(e)})
-        key = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-        track = pa.struct([("handler", pa.string()), ("codec", pa.string()), *((k, pa.int64()) for k in ("timescale", "duration", "samples", "sample_bytes")), ("keyframes", key)])
-        return pa.array(rows, pa.struct([("tracks", pa.list_(track)), ("error", pa.string())]))
+        return pa.array(rows, pa.struct([("tracks", pa.list_(TRACK_ARROW)), ("error", pa.string())]))
 
     return of.asNondeterministic()(file)
 
 
 def contents(file: Column) -> Column:
-    """Struct of digests of the payload read back from the sample tables."""
+    """Struct of :func:`tracks` and of digests of the first track's payload, read back
+    by its sample tables; each file is parsed once. Of a file with an error all
+    but ``error`` and, where it is not null, ``media_bytes`` and
+    ``media_sha256`` is null."""
 
-    @arrow_udf("struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string>")
+    @arrow_udf(READ)
     def of(column: pa.Array) -> pa.Array:
         rows = []
         for value in column:
-            data = value.as_py()
-            payload = payload_of(data, describe(data)[0])
-            rows.append({
-                "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-FRAME:]),
-                "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(),
-            })
-        return pa.array(rows, pa.struct([
-            ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
-            ("media_sha256", pa.string()),
-        ]))
+            data, row = value.as_py(), dict.fromkeys(READ_ARROW.names)
+            try:
+                if data is None:
+                    raise ValueError("null")
+                row |= {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+                found = describe(data)
+                if not found:
+                    raise ValueError("no track")
+                payload = payload_of(data, found[0])
+                row |= {
+                    "tracks": _tables(found), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
+                    "tail_crc32": zlib.crc32(payload[-FRAME:]),
+                }
+            except ValueError as e:
+                row["error"] = str(e)
+            rows.append(row)
+        return pa.array(rows, READ_ARROW)
 
     return of.asNondeterministic()(file)
 
@@ -250,13 +275,18 @@ def store(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def catalogue(stored: DataFrame) -> DataFrame:
-    """Codec, duration and keyframe ranges of the first track of each stored file,
-    and digests of its payload; rows as often as they are in the table."""
-    read = stored.select("doc_id", "n_bytes", tracks(F.col("media")).alias("t"), contents(F.col("media")).alias("c"))
-    return read.select("doc_id", "n_bytes", "c.*", F.get("t.tracks", 0).alias("track"))
+    """Codec, duration and keyframe ranges of the first track of each stored file
+    (``doc_id``, ``n_bytes``, ``media``), and digests of its payload; rows as often
+    as they are in the table. A file that is null or can't be read is a row with
+    an ``error`` and no ``track``; an empty table gives no rows."""
+    read = stored.select("doc_id", "n_bytes", contents(F.col("media")).alias("c"))
+    digests = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "error"]
+    return read.select("doc_id", "n_bytes", *(f"c.{d}" for d in digests), F.get("c.tracks", 0).alias("track"))
 
 
 def op4_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` stored and read back, a row a row of the table; null and empty
+    texts are one frame of zeros; an empty table gives no rows."""
     found = catalogue(store(documents(spark, sf_dir), Scratch(spark, "media")))
     keys = F.col("track.keyframes")
     ends = lambda k: F.concat(k["offset"].cast("string"), F.lit("+"), k["length"].cast("string"))

@@ -16,9 +16,9 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, number_within
+from .common import Scratch, documents, join_by_count, number_within
 
-FINENESS = 2048
+FINENESS = 512
 OVERHEAD = 8  # bytes that a document costs besides its text
 
 
@@ -34,10 +34,10 @@ def schedule(bundles: list[tuple[int, int]], shards: int) -> dict[int, int]:
     return placed
 
 
-def _bundled(groups: DataFrame, shards: int, fineness: int, scratch: Scratch) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Groups (``digest``, ``bytes``) with their ``bundle``, and the size of each bundle."""
+def _bundled(groups: DataFrame, shards: int, fineness: int, scratch: Scratch) -> tuple[DataFrame, list[tuple], int]:
+    """Groups (``digest``, ``bytes``, ``n``) with their ``bundle``, the size of each bundle, and the number of rows."""
     spark = groups.sparkSession
-    n, total = groups.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    n, total, n_rows = groups.agg(F.count(F.lit(1)), F.sum("bytes"), F.sum("n")).first()
     limit = max(1, (total or 0) // (shards * fineness))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Groups of over ``limit`` bytes are fewer than shards * fineness; each is a bundle.
@@ -53,11 +53,11 @@ def _bundled(groups: DataFrame, shards: int, fineness: int, scratch: Scratch) ->
     starts = spark.createDataFrame(starts or [(0, 0)], "part int, start long")
     along = Window.partitionBy("part").orderBy(F.desc("bytes"), "digest").rowsBetween(Window.unboundedPreceding, -1)
     cumulated = sorted_.join(F.broadcast(starts), "part").withColumn("at", F.coalesce(F.sum("bytes").over(along), F.lit(0)) + F.col("start"))
-    cut = cumulated.select("digest", "bytes", F.floor(F.col("at") / limit).cast("long").alias("bundle"))
-    both = cut.withColumn("large", F.lit(False)).unionByName(large.select("digest", "bytes", "bundle", F.lit(True).alias("large")))
+    cut = cumulated.select("digest", "bytes", "n", F.floor(F.col("at") / limit).cast("long").alias("bundle"))
+    both = cut.withColumn("large", F.lit(False)).unionByName(large.select("digest", "bytes", "n", "bundle", F.lit(True).alias("large")))
     both = scratch.keep(both, "bundled")
     sizes = both.groupBy("large", "bundle").agg(F.sum("bytes").alias("bytes")).collect()  # bounded; see the module
-    return both, [((r.large, r.bundle), r.bytes) for r in sizes]
+    return both, [((r.large, r.bundle), r.bytes) for r in sizes], n_rows or 0
 
 
 def shard(docs: DataFrame, shards: int = 24, fineness: int = FINENESS) -> DataFrame:
@@ -77,18 +77,20 @@ def shard(docs: DataFrame, shards: int = 24, fineness: int = FINENESS) -> DataFr
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.sha2(data, 256)).alias("digest"))
     rows = scratch.keep(rows, "rows")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    bundled, sizes = _bundled(groups, shards, fineness, scratch)
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    bundled, sizes, n_rows = _bundled(groups, shards, fineness, scratch)
     placed = schedule(sizes, shards)
     table = spark.createDataFrame([(*b, s) for b, s in placed.items()] or [(False, 0, 0)], "large boolean, bundle long, shard int")
-    homes = bundled.join(F.broadcast(table), ["large", "bundle"]).select("digest", "shard")  # bounded; see the module
-    homed = scratch.keep(rows.join(homes, "digest"), "homed")
+    homes = bundled.join(F.broadcast(table), ["large", "bundle"]).select("digest", "n", "shard")  # bounded; see the module
+    homed = scratch.keep(join_by_count(rows, homes, ["digest"], n_rows), "homed")
     scratch.free("sorted", "bundled", "rows")
     slotted = number_within(homed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", scratch)
     return slotted.select("doc_id", "size", "text_crc32", "shard", "slot", F.lower(F.hex("digest")).alias("group_id"))
 
 
 def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` in 24 shards by the law ``bytes``, a row a row of the table; null
+    texts are grouped with empty ones; an empty table gives no rows."""
     return shard(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -70,3 +70,16 @@ def test_fragmented_files_are_an_error(spark):
     got = spark.createDataFrame(files, "file binary, kind string").select("kind", media.tracks("file").alias("t")).collect()
     for r in got:
         assert (r.t.error is None) == (r.kind == "empty") and (r.kind == "empty" or r.t.tracks is None and "fragmented" in r.t.error)
+
+
+def test_catalogue_of_bad_files(spark):
+    files = [(1, None), (2, b""), (3, b"junk" * 9), (4, media.encode(b"x")[:-1]), (5, media.encode(b"y" * 100)), (5, media.encode(b"y" * 100)), (None, media.box(b"moov"))]
+    stored = spark.createDataFrame([(d, 0, f, "clash") for d, f in files], "doc_id long, n_bytes long, media binary, error string")
+    got = media.catalogue(stored).collect()
+    assert len(got) == len(files)
+    for r in got:
+        if r.doc_id == 5:
+            assert r.error is None and r.track.samples == 2 and r.payload_sha256 == hashlib.sha256(b"y" * 100 + bytes(28)).hexdigest()
+        else:
+            assert r.error and r.track is None and r.payload_sha256 is None and r.tail_crc32 is None
+            assert (r.media_sha256 is None) == (r.doc_id == 1)

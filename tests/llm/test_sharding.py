@@ -50,3 +50,19 @@ def test_shards_are_even_and_groups_stay_together(spark):
     coarse, _ = check(rows, sharding.shard(docs, 5, fineness=10).collect(), 5)
     assert max(coarse) - min(coarse) <= sum(coarse) / 5 / 10 * 2
     assert sharding.shard(docs.limit(0)).collect() == []
+
+
+def test_imbalance_against_exact_longest_first(spark):
+    """Bundles of small groups cost at most one bundle of balance against one group at a time."""
+    import heapq
+
+    rows = rows_of(4, 4000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    loads, _ = check(rows, sharding.shard(docs, 6).collect(), 6)
+    groups = defaultdict(int)
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 8
+    heap = [0] * 6
+    for size in sorted(groups.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + size)
+    assert max(loads) <= max(heap) + sum(loads) / 6 / sharding.FINENESS
