@@ -4,16 +4,17 @@ Every document and every template is a word sequence. Hashes of all word
 bigrams of a document join the hashes of the template bigrams; a match of
 document position p and template position t votes for the diagonal p - t. A
 run of votes on one diagonal is a verbatim copy, runs on neighbouring
-diagonals are a copy with words put in or left out. Votes are kept as one bit
-for each template position, so a diagonal is one fixed-width row and the whole
-tally is combined before it is shuffled: a document without matches costs one
-row. A hash match counts only if the words are equal.
+diagonals are a copy with words put in or left out. A diagonal's votes are the
+template positions that it met, each once, so its row is no longer than the
+template, and the tally is combined before it is shuffled: a document without
+matches costs one row. Where diagonals are merged, positions are bits of words
+of ``BITS`` bits, so that a text that repeats itself costs no more, either.
+Templates may be of any length: one line or a whole licence. A hash match
+counts only if the words are equal.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,22 @@ PHRASES = [
     ("reserved", "all rights reserved"),
 ]
 
-#: Notices that are found with small differences, too: (label, words).
+BSD_GRANT = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+    "documentation and or other materials provided with the distribution"
+)
+BSD_DISCLAIMER = (
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to "
+    "the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or "
+    "contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement "
+    "of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in "
+    "contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage"
+)
+
+#: Notices and whole licences that are found with small differences, too: (label, words).
 NOTICES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("mit", "released under the mit license"),
@@ -49,6 +65,44 @@ NOTICES = [
     ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("as-is", "the software is provided as is without warranty of any kind express or implied"),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+        "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express "
+        "or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this "
+        "file you can obtain one at https mozilla org mpl 2 0",
+    ),
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+        "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+        "the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to "
+        "the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+        "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or "
+        "in connection with the software or the use or other dealings in the software",
+    ),
+    ("bsd-2-text", f"{BSD_GRANT} {BSD_DISCLAIMER}"),
+    (
+        "bsd-3-text",
+        f"{BSD_GRANT} 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        f"derived from this software without specific prior written permission {BSD_DISCLAIMER}",
+    ),
+    (
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+        "above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all "
+        "warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author "
+        "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or "
+        "profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+    ),
 ]
 
 #: Function words; a bigram of two of them is no seed of a notice.
@@ -56,15 +110,15 @@ COMMON = frozenset("a an and any are as at be by can for from in is it of on or
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MOST_SEEDS = 63
+BITS = 63  # template positions of one word of bits
 
 
 def seeds_of(words: str, exact: bool) -> list[tuple[int, str]]:
     """(position, bigram) for each seed of a template."""
     w = words.split()
     pairs = [(i, f"{a} {b}") for i, (a, b) in enumerate(zip(w, w[1:])) if exact or not {a, b} <= COMMON]
-    if not pairs or len(w) > MOST_SEEDS:
-        raise ValueError(f"a template has 2 to {MOST_SEEDS} words, two of them in a row not function words: {words!r}")
+    if not pairs:
+        raise ValueError(f"a template has two words in a row that are not both function words: {words!r}")
     return pairs
 
 
@@ -83,15 +137,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, SEPARATORS), lambda w: w != "")
 
 
-def _lowest_bit(bits: Column) -> Column:
-    return F.bit_count((bits.bitwiseAND(-bits) - 1).cast("long"))
-
-
-def _highest_bit(bits: Column) -> Column:
-    spread = reduce(lambda b, n: b.bitwiseOR(F.shiftrightunsigned(b, n)), (1, 2, 4, 8, 16, 32), bits)
-    return F.bit_count(spread) - 1
-
-
 def spans(
     docs: DataFrame, phrases: list = PHRASES, notices: list = NOTICES, slack: int = 3, least_votes: int = 2, coverage: float = 0.6
 ) -> DataFrame:
@@ -107,8 +152,8 @@ def spans(
     rows are scanned each for themselves; a null doc_id is kept as it is.
     """
     spark = docs.sparkSession
-    table = [(t, at, 1 << at, gram) for t, _, _, _, at, gram in templates(phrases, notices)]
-    seeds = spark.createDataFrame(table, "template int, at int, bit long, seed string")  # as many rows as template words
+    table = [(t, at, gram) for t, _, _, _, at, gram in templates(phrases, notices)]
+    seeds = spark.createDataFrame(table, "template int, at int, seed string")  # as many rows as template words
     seeds = seeds.withColumn("seed_hash", F.xxhash64("seed"))
 
     words = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words_of(F.col("text")).alias("w"))
@@ -119,31 +164,36 @@ def spans(
     voted = grams.withColumn("gram_hash", F.xxhash64("gram")).join(
         F.broadcast(seeds), (F.col("gram_hash") == F.col("seed_hash")) & (F.col("gram") == F.col("seed")), "left"
     )
+    # a place of a document meets one template position a diagonal: the list has no repeats
     diagonals = voted.groupBy("row_id", "doc_id", "n_words", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or("bit").alias("bits")
+        F.collect_list("at").alias("hits")
     )
 
     kinds = [(r[0], r[1], r[2], r[3]) for r in templates(phrases, notices)]
     kinds = spark.createDataFrame(sorted({*kinds}), "template int, label string, exact boolean, n_seeds int")
     known = diagonals.join(F.broadcast(kinds), "template", "left")
-    votes = F.bit_count("bits")
+    votes = F.size("hits")
     strong = ~F.col("exact") | (votes == F.col("n_seeds"))
     # a row that fails keeps its document: it loses its template
-    for c in ("template", "label", "exact", "diagonal", "bits"):
+    for c in ("template", "label", "exact", "diagonal", "hits"):
         known = known.withColumn(f"_{c}", F.when(strong, F.col(c)))
-    known = known.select("row_id", "doc_id", "n_words", "n_seeds", *(F.col(f"_{c}").alias(c) for c in ("template", "label", "exact", "diagonal", "bits")))
+    known = known.select("row_id", "doc_id", "n_words", "n_seeds", *(F.col(f"_{c}").alias(c) for c in ("template", "label", "exact", "diagonal", "hits")))
 
     along = Window.partitionBy("row_id", "template").orderBy("diagonal")
     apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > slack)
     islands = known.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("island", F.sum("_new").over(along))
-    merged = islands.groupBy("row_id", "doc_id", "n_words", "template", "label", "exact", "n_seeds", "island").agg(
-        F.bit_or("bits").alias("bits"),
-        F.max(F.bit_count("bits")).alias("most"),
-        F.min(F.col("diagonal") + _lowest_bit(F.col("bits"))).alias("start"),
-        F.max(F.col("diagonal") + _highest_bit(F.col("bits")) + 2).alias("end"),
+    # the window has dealt rows by row_id and template; both aggregates below stay within that
+    island = ["row_id", "doc_id", "n_words", "template", "label", "exact", "n_seeds", "island"]
+    met = islands.select(*island, "diagonal", F.size("hits").alias("votes"), F.explode_outer("hits").alias("at"))
+    words_ = met.groupBy(*island, F.floor(F.col("at") / BITS).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % BITS).cast("int"))).alias("bits"),
+        F.max("votes").alias("most"), F.min(F.col("diagonal") + F.col("at")).alias("start"), F.max(F.col("diagonal") + F.col("at") + 2).alias("end"),
+    )
+    merged = words_.groupBy(*island).agg(
+        F.sum(F.bit_count("bits")).alias("n"), F.max("most").alias("most"), F.min("start").alias("start"), F.max("end").alias("end")
     )
-    share = F.bit_count("bits") / F.col("n_seeds")
-    length = F.bit_count("bits") + 1
+    share = F.col("n") / F.col("n_seeds")
+    length = F.col("n") + 1
     holds = F.col("exact") | ((F.col("most") >= F.least("n_seeds", F.lit(least_votes))) & (share >= coverage) & (F.col("end") - F.col("start") <= 2 * F.greatest(length, F.col("n_seeds") + 1)))
     kept = lambda c: F.when(holds, c)
     return merged.select(
@@ -173,6 +223,9 @@ def scan(docs: DataFrame, **options) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, a row a row of the table. Null and empty texts have no words
+    and no labels; repeated rows are scanned each for themselves; an empty table
+    gives no rows."""
     return scan(documents(spark, sf_dir))
 
 

@@ -52,6 +52,21 @@ def test_notices_with_small_differences(spark):
     assert labels[13] == "reserved" and got[0].score == 0.0
 
 
+def test_whole_licences(spark):
+    """Whole texts of any length, with a name put in, words left out, and the half of one."""
+    whole = {label: words for label, words in licenses.NOTICES if label.endswith("-text")}
+    assert max(len(w.split()) for w in whole.values()) > 200
+    mit, bsd = whole["mit-text"].split(), whole["bsd-3-text"].split()
+    texts = {
+        1: " ".join(["Copyright (c) 2020 Some One.", *mit]), 2: " ".join(mit[:60] + ["of", "course"] + mit[60:100] + mit[102:]), 3: " ".join(mit[: len(mit) // 3]),
+        4: " ".join(bsd).upper(), 5: whole["isc-text"], 6: "the software or the use of this software " * 3000, 7: whole["bsd-2-text"],
+    }
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, texts.items())).collect()}
+    assert {"mit-text", "mit", "as-is"} <= {*got[1].labels.split(",")} and "mit-text" in got[2].labels and "mit-text" not in got[3].labels
+    assert "bsd-3-text" in got[4].labels and got[4].score == 1.0 and "isc-text" in got[5].labels and got[6].labels == ""
+    assert "bsd-2-text" in got[7].labels
+
+
 def test_empty(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
 
