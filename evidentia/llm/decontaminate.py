@@ -6,10 +6,12 @@ text. Each document is normalised the same way and scanned once; a match is
 mapped from its place in the normalised text to words, and to bytes of the
 original text. Documents without a match cost the scan alone.
 
-The automaton travels to the executors, so its size is checked: items are
-dealt to automata of at most ``most_windows`` windows, which scan one after the
-other. Every Python worker holds all of them at once, so its memory grows with
-the benchmark; a benchmark over the bound of :func:`scanner_of` is refused.
+The automaton travels to the executors, so its size is bounded: items are dealt
+by hash to blocks of about ``most_windows`` words. A benchmark of one block, the
+usual case, is one pass. A larger one is scanned in passes, a block each: only
+one block is on the driver, and only one automaton in a worker, at a time. A
+pass leaves a row for each document with hits (the first one for each with
+words), and these are merged at the end.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,11 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import ASCII_WORDS, documents, texts_of, utf8
+from .common import ASCII_WORDS, Scratch, documents, texts_of, utf8
 
 WINDOW = 13
 WORD = re.compile(rb"[^ ]+")
-RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+SPANS = "array<struct<start:bigint,end:bigint>>"
+RESULT = f"n_words:bigint,n_hit:bigint,items:array<string>,spans:{SPANS},hits:{SPANS}"
+MOST_WINDOWS = 200_000  # of one automaton: 4.3 kB each
 
 
 def normalise(text: str | None) -> bytes:
@@ -48,25 +55,22 @@ def windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[s
 
 
 class Scanner:
-    """The automata over all windows, built once in each Python worker."""
+    """The automaton over the windows of some items, built once in each Python worker."""
 
-    _built: dict[str, list] = {}
+    _built: dict[str, ahocorasick.Automaton] = {}
 
-    def __init__(self, blocks: list[list[tuple[str, str | None]]], window: int) -> None:
-        self.blocks, self.window = blocks, window
-        self.key = hashlib.sha256(repr((blocks, window)).encode()).hexdigest()
+    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
+        self.items, self.window = items, window
+        self.key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
 
-    def automata(self) -> list:
+    def automaton(self) -> ahocorasick.Automaton:
         if self.key not in self._built:
             self._built.clear()
-            made = []
-            for block in self.blocks:
-                automaton = ahocorasick.Automaton()
-                for text, ids in windows(block, self.window).items():
-                    automaton.add_word(text, (len(text), ids))
-                if len(automaton):
-                    automaton.make_automaton()
-                    made.append(automaton)
+            made = ahocorasick.Automaton()
+            for text, ids in windows(self.items, self.window).items():
+                made.add_word(text, (len(text), ids))
+            if len(made):
+                made.make_automaton()
             self._built[self.key] = made
         return self._built[self.key]
 
@@ -74,23 +78,28 @@ class Scanner:
         """Number of words, merged hit ranges of words, ids of the items that occur."""
         low = normalise(text)
         n = low.count(b" ") - 1 if len(low) > 2 else 0
-        if not n:
-            return 0, [], set()
-        places, ids, chars = [], set(), low.decode("latin-1")
-        for automaton in self.automata():
-            for end, (length, found) in automaton.iter(chars):
-                places.append((end - length + 1, end))
-                ids.update(found)
+        automaton = self.automaton()
+        if not n or not len(automaton):
+            return n, [], set()
+        places, ids = [], set()
+        for end, (length, found) in automaton.iter(low.decode("latin-1")):
+            places.append((end - length + 1, end))
+            ids.update(found)
         if not places:
             return n, [], ids
         spaces = np.flatnonzero(np.frombuffer(low, np.uint8) == 32)
-        ranges: list[list[int]] = []
-        for a, b in sorted((int(np.searchsorted(spaces, s)), int(np.searchsorted(spaces, e))) for s, e in places):
-            if ranges and a <= ranges[-1][1]:
-                ranges[-1][1] = max(ranges[-1][1], b)
-            else:
-                ranges.append([a, b])
-        return n, [(a, b) for a, b in ranges], ids
+        return n, merged((int(np.searchsorted(spaces, s)), int(np.searchsorted(spaces, e))) for s, e in places), ids
+
+
+def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch or overlap as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def original_offsets(text: str | None, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -101,76 +110,99 @@ def original_offsets(text: str | None, ranges: list[tuple[int, int]]) -> list[tu
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def scanner_of(benchmark: DataFrame, window: int = WINDOW, most_windows: int = 200_000) -> Scanner:
-    """Automata blocks for a benchmark table (``item_id``, ``text``).
-
-    The table is read to the driver, so its size is checked first: a table
-    with more than ``50 * most_windows * 8`` bytes of text is refused with a
-    ValueError. Items of null text have no words; an item of
-    null id has windows, but is in no list of items.
-    """
+def scanners(benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> Iterator[Scanner]:
+    """A scanner for each block of a benchmark table (``item_id``, ``text``), one at a
+    time on the driver. A block has about ``most_windows`` words, or one item.
+    Items of null text have no words; an item of null id has windows, but is in
+    no list of items."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > 50 * most_windows * 8:
-        raise ValueError(f"the benchmark has {size} bytes; scan it in parts")
-    blocks, held = [[]], 0
-    for row in sorted(items.collect(), key=lambda r: (r.id is None, r.id or "", r.text or "")):
-        n = len(normalise(row.text).split())
-        if held and held + n > most_windows:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.id, row.text))
-        held += n
-    return Scanner(blocks, window)
+    blocks = max(1, -(-size // (6 * most_windows)))  # a word and what parts it from the next have 6 bytes or so
+    for block in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield Scanner(sorted(((r.id, r.text) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1] or "")), window)
 
 
 def contamination(text: Column, scanner: Scanner) -> Column:
     """Struct of ``n_words``, ``n_hit`` (words inside a window of any item),
-    ``items`` (sorted ids of the items whose windows occur) and ``spans`` (byte
-    ranges of the hits in the original text). Null and empty texts have no
-    words and no hit."""
-    spark = SparkSession.active()
-    shared = spark.sparkContext.broadcast(scanner)
+    ``items`` (sorted ids of the items whose windows occur), ``spans`` (byte
+    ranges of the hits in the original text) and ``hits`` (their words, from 0).
+    Null and empty texts have no words and no hit."""
+    shared = SparkSession.active().sparkContext.broadcast(scanner)  # a block of the benchmark
 
-    @arrow_udf(RESULT)
+    @arrow_udf(f"struct<{RESULT}>")
     def of(column: pa.Array) -> pa.Array:
         scan, rows = shared.value.scan, []
         for some in texts_of(column):
             for t in some:
                 n, ranges, ids = scan(t)
                 rows.append({
-                    "n_words": n, "n_hit": sum(b - a for a, b in ranges),
-                    "items": sorted(i for i in ids if i is not None),
-                    "spans": [{"start": a, "end": b} for a, b in original_offsets(t, ranges)],
+                    "n_words": n, "n_hit": sum(b - a for a, b in ranges), "items": sorted(i for i in ids if i is not None),
+                    "spans": [{"start": a, "end": b} for a, b in original_offsets(t, ranges)], "hits": [{"start": a, "end": b} for a, b in ranges],
                 })
-        return pa.array(rows, pa.struct([
-            ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
-            ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        ]))
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span), ("hits", span)]))
 
     return of.asNondeterministic()(text)
 
 
+def _united(ranges: Column) -> Column:
+    """Merged ranges of an array of ranges, sorted by start."""
+    def put(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))
+        return F.when((F.size(done) > 0) & (r["start"] <= F.try_element_at(done, F.lit(-1))["end"]), joined).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast(SPANS), put)
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """Rows of ``docs`` as a struct ``doc``, with ``found``; see :func:`contamination`."""
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    all_ = iter(scanners(benchmark, window, most_windows))
+    first, second = next(all_), next(all_, None)
+    if second is None:
+        return whole.withColumn("found", contamination(F.col("doc.text"), first))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    rows = scratch.keep(whole.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    parts = []
+    for turn, scanner in enumerate(chain([first, second], all_)):
+        found = rows.select("row_id", contamination(F.col("doc.text"), scanner).alias("f")).where((F.col("f.n_words") > 0) & ((F.col("f.n_hit") > 0) | F.lit(turn == 0)))
+        parts.append(scratch.keep(found.select("row_id", "f.*"), f"pass_{turn}"))
+    met = reduce(DataFrame.unionByName, parts).groupBy("row_id").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        _united(F.flatten(F.collect_list("spans"))).alias("spans"), _united(F.flatten(F.collect_list("hits"))).alias("hits"),
+    )
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    met = met.select(F.col("row_id").alias("_row"), F.struct("n_words", hit.alias("n_hit"), "items", "spans", "hits").alias("found"))
+    none = "named_struct('n_words', 0L, 'n_hit', 0L, 'items', array(), 'spans', array(), 'hits', array())"
+    return rows.join(met, rows.row_id == met._row, "left").select("doc", F.coalesce("found", F.expr(f"CAST({none} AS struct<{RESULT}>)")).alias("found"))
+
+
 def is_contaminated(found: Column) -> Column:
     """At least one hit, and hits are a twentieth of the words or more."""
     return (found["n_hit"] > 0) & (20 * found["n_hit"] >= found["n_words"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_hit``, ``items``, ``spans``, ``contaminated``
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_hit``, ``items``, ``spans``, ``hits``, ``contaminated``
     for every row of ``docs``; rows that repeat are judged each for themselves,
     other columns are ignored, empty tables give no rows or no hits."""
-    found = docs.select("doc_id", contamination(F.col("text"), scanner_of(benchmark, window)).alias("found"))
-    return found.select("doc_id", "found.*", is_contaminated(F.col("found")).alias("contaminated"))
+    found = judged(docs.select("doc_id", "text"), benchmark, window, most_windows)
+    return found.select("doc.doc_id", "found.*", is_contaminated(F.col("found")).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the contaminated rows, columns as they were."""
-    judged = docs.withColumn("_found", contamination(F.col("text"), scanner_of(benchmark, window)))
-    return judged.where(~is_contaminated(F.col("_found"))).select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """``docs`` without the contaminated rows; columns are as they were, whatever
+    their names. Null and empty texts stay; empty tables give no rows or take
+    none away."""
+    return judged(docs, benchmark, window, most_windows).where(~is_contaminated(F.col("found"))).select("doc.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` against whole ``benchmark``, a row a document row; null texts have
+    no words; empty tables give no rows or no hits."""
     found = scan(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -59,12 +59,25 @@ def test_matches_brute_force(spark):
             assert words(part) and part[0] not in " ,." and part[-1] not in " ,."
 
 
-def test_blocks_of_automata_agree(spark):
+def test_passes_agree(spark):
+    """A benchmark of many blocks gives what one automaton gives."""
     docs, items = tables(4)
-    f = frames(spark, docs, items)
-    one, many = d.scanner_of(f[1]), d.scanner_of(f[1], most_windows=20)
-    assert len(one.blocks) == 1 and len(many.blocks) > 3
-    assert [one.scan(t) for _, t in docs] == [many.scan(t) for _, t in docs]
+    a, b = frames(spark, docs, items)
+    assert len(list(d.scanners(b))) == 1 and len(list(d.scanners(b, most_windows=20))) > 3
+    key = lambda r: str((r.doc_id, r.n_words, r.n_hit, r["items"], r.spans, r.hits, r.contaminated))
+    one, many = (sorted(map(key, d.scan(a, b, most_windows=n).collect())) for n in (200_000, 40))
+    assert one == many
+    kept = [sorted(str(r) for r in d.keep_clean(a, b, most_windows=n).collect()) for n in (200_000, 40)]
+    assert kept[0] == kept[1]
+
+
+def test_clashing_names(spark):
+    docs, items = tables(6)
+    names = ["_found", "doc", "found", "row_id", "_row"]
+    a = spark.createDataFrame([(i, t, *names) for i, t in docs], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for n in (200_000, 40):
+        got = d.keep_clean(a, frames(spark, docs, items)[1], most_windows=n)
+        assert got.columns == a.columns and all([r[x] for x in names] == names for r in got.collect())
 
 
 def test_keep_clean_and_empty_tables(spark):

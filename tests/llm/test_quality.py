@@ -42,6 +42,8 @@ def test_edges(spark):
     assert {r.score for r in alone} == {0.5}
     kept = q.keep_good(docs, labels.limit(0))
     assert kept.columns == docs.columns and kept.count() == 7
+    clash = docs.withColumnRenamed("score", "_score").selectExpr("*", "'d' AS doc")
+    assert sorted(str((r._score, r.doc)) for r in q.keep_good(clash, labels).collect()) == sorted(str((r._score, "d")) for r in clash.collect() if (by.get(r.doc_id) or 1) >= 0.3)
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark):
