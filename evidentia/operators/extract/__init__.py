@@ -26,14 +26,20 @@ def facts(files: DataFrame) -> DataFrame:
     """Tagged rows (symbol, edge, route) of source files (``path``, ``language``, ``text``).
 
     Text goes to Python once, in Arrow batches; what is extracted carries the
-    ordinal of its place in the file, so later choices do not depend on the run."""
+    ordinal of its place in the file, so later choices do not depend on the run.
+    A file that an extractor fails on gives one row, tagged ``error``, with what
+    was wrong as ``name``."""
     extractors = dict(EXTRACTORS)
 
     def read(batches):
         for pdf in batches:
             rows = []
             for path, language, text in zip(pdf["path"], pdf["language"], pdf["text"]):
-                symbols, edges, routes = extractors[language](path, text or "")
+                try:
+                    symbols, edges, routes = extractors[language](path, text or "")
+                except Exception as e:  # source is not ours: any file may hold anything
+                    symbols = edges = routes = []
+                    rows.append(("error", path, language, 0, type(e).__name__, str(e)[:200], None, None, None, None, None, None, None))
                 for n, (kind, name, first, last) in enumerate(symbols):
                     rows.append(("symbol", path, language, n, kind, name, first, last, None, None, None, None, None))
                 for n, (source, target, kind, line) in enumerate(edges):
@@ -46,6 +52,12 @@ def facts(files: DataFrame) -> DataFrame:
     return known.mapInPandas(read, FACTS)
 
 
+def errors(found: DataFrame, engagement_id: str) -> DataFrame:
+    """Files that could not be read, and why."""
+    rows = found.where("tag = 'error'")
+    return rows.select(F.lit(engagement_id).alias("engagement_id"), "file_path", "language", F.col("kind").alias("error"), F.col("name").alias("message"))
+
+
 def symbols(found: DataFrame, engagement_id: str) -> DataFrame:
     rows = found.where("tag = 'symbol'")
     return rows.select(F.lit(engagement_id).alias("engagement_id"), "file_path", "line_start", "line_end", "kind", "name", "language")

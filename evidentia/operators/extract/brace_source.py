@@ -12,11 +12,58 @@ from dataclasses import dataclass
 
 from evidentia.operators.extract.python_source import Edge, Symbol, symbol_name
 
-TOKEN = re.compile(
-    r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*')|(?P<number>\d[\w.]*)"""
-    r"""|(?P<name>\$?[A-Za-z_][\w]*)|(?P<op>::|->|\?\.|:=|=>|===|!==|==|!=|<=|>=|\+=|-=|\*=|/=|&&|\|\||\.=|<<|>>|.)""",
-    re.S,
+_SPACE = r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
+_DOUBLE, _SINGLE = r'"(?:\\.|[^"\\])*"', r"'(?:\\.|[^'\\\n])*'"
+_REST = (
+    r"(?P<number>\d[\w.]*)|(?P<name>\$?[A-Za-z_]\w*)"
+    r"|(?P<op>::|\?->|->|\?\.|:=|=>|===|!==|==|!=|<=|>=|\+=|-=|\*=|/=|&&|\|\||\.=|<<|>>|.)"
 )
+
+
+def _grammar(*strings: str, life: str = "") -> re.Pattern:
+    return re.compile("|".join([_SPACE, f"(?P<string>{'|'.join(strings)})", *([f"(?P<life>{life})"] if life else []), _REST]), re.S)
+
+
+#: Strings and comments by language; a lifetime of Rust is no string.
+TOKENS = {
+    "rust": _grammar(r'b?r(?P<fence>#*)".*?"(?P=fence)', _DOUBLE, r"'(?:\\[^\n]*?|[^'\\\n])'", life=r"'[A-Za-z_]\w*"),
+    "go": _grammar(r"`[^`]*`", _DOUBLE, _SINGLE),
+    "java": _grammar(r'"""(?:\\.|.)*?"""', _DOUBLE, _SINGLE),
+    "php": _grammar(r"<<<[ \t]*(?P<quote>['\"]?)(?P<label>\w+)(?P=quote)\r?\n(?:.*?\n)??[ \t]*(?P=label)\b", _DOUBLE, r"'(?:\\.|[^'\\])*'"),
+    "typescript": _grammar(_DOUBLE, _SINGLE),
+}
+#: A regular expression of JavaScript, and what may stand before one.
+REGEX = re.compile(r"/(?![/*])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do await yield".split())
+
+
+def template_end(text: str, at: int) -> int:
+    """Place after the template string that begins at ``at``; what stands in ``${}`` may hold further ones."""
+    depth = [-1]  # -1: inside a template's text, else open braces of the code in it
+    at += 1
+    while at < len(text) and depth:
+        c = text[at]
+        if depth[-1] < 0:
+            if c == "\\":
+                at += 1
+            elif c == "`":
+                depth.pop()
+            elif text.startswith("${", at):
+                depth.append(0)
+                at += 1
+        elif c == "`":
+            depth.append(-1)
+        elif c == "{":
+            depth[-1] += 1
+        elif c == "}":
+            if depth[-1]:
+                depth[-1] -= 1
+            else:
+                depth.pop()
+        at += 1
+    return min(at, len(text))
+
+
 ASSIGN = {"=", ":=", "+=", "-=", "*=", "/=", ".="}
 CLOSING = {"(": ")", "[": "]", "{": "}"}
 
@@ -40,15 +87,23 @@ LANGUAGES = {
     "rust": Language(("::", "."), ("fn",), ("struct", "enum", "trait"), never_method=True),
     "go": Language((".",), ("func",), ("type",), callee_assigns=True, selector_assigns=True, newline_ends=True),
     "java": Language((".",), (), ("class", "interface", "enum", "record"), bare_methods=True),
-    "php": Language(("->", "::", "?."), ("function",), ("class", "interface", "trait"), always_method=True, hash_comments=True),
+    "php": Language(("?->", "->", "::"), ("function",), ("class", "interface", "trait"), always_method=True, hash_comments=True),
     "typescript": Language((".", "?."), ("function",), ("class", "interface", "enum"), bare_methods=True, newline_ends=True),
 }
 LANGUAGES["tsx"] = LANGUAGES["javascript"] = LANGUAGES["typescript"]
-KEYWORDS = frozenset(
-    "if else for while switch case catch do try return new await async yield const let var mut ref throw typeof in of instanceof match loop break continue "
-    "import package use mod pub static final public private protected abstract extends implements fn func function class struct enum interface trait impl type "
-    "range go defer select echo print move unsafe self this null nil None true false super void int long float double boolean char".split()
+# Words that are no names, in all of the languages and by language.
+COMMON_WORDS = (
+    "if else for while switch case catch do try return new const let var throw break continue import package static final public private protected "
+    "abstract extends implements function class struct enum interface type this self null nil None true false super void int long float double boolean char"
 )
+OWN_WORDS = {
+    "rust": "fn mod pub use impl trait mut ref move unsafe match loop where dyn async await in",
+    "go": "func range go defer select chan",
+    "java": "instanceof throws synchronized",
+    "php": "echo print use match fn trait instanceof",
+    "typescript": "await async yield typeof instanceof in of delete",
+}
+KEYWORDS = {name: frozenset(f"{COMMON_WORDS} {own}".split()) for name, own in OWN_WORDS.items()}
 
 
 @dataclass
@@ -59,40 +114,76 @@ class Token:
     fresh: bool  # first on its line
 
 
+def name_of(language: Language) -> str:
+    return next(n for n, known in LANGUAGES.items() if known is language)
+
+
 def tokens(text: str, language: Language) -> list[Token]:
     if language.hash_comments:
         text = re.sub(r"(?m)(^|\s)#(?!\[)[^\n]*", r"\1", text)
-    out, line, fresh = [], 1, True
-    for m in TOKEN.finditer(text):
-        kind = m.lastgroup
+    name = name_of(language)
+    match, script = TOKENS[name].match, name == "typescript"
+    out, line, fresh, at = [], 1, True, 0
+    while at < len(text):
+        kind, end = "", at
+        if script and text[at] == "`":
+            kind, end = "string", template_end(text, at)
+        elif script and text[at] == "/" and (
+            not out or out[-1].kind == "op" and out[-1].text not in (")", "]", "}") or out[-1].kind == "name" and out[-1].text in BEFORE_REGEX
+        ):
+            m = REGEX.match(text, at)
+            if m:
+                kind, end = "string", m.end()
+        if not kind:
+            m = match(text, at)
+            # the named group that took part: quotes and labels of strings are groups, too
+            kind = next(k for k in ("space", "comment", "string", "life", "number", "name", "op") if m.groupdict().get(k) is not None)
+            end = m.end()
+        piece = text[at:end]
         if kind in ("space", "comment"):
-            fresh = fresh or "\n" in m[0]
+            fresh = fresh or "\n" in piece
         else:
-            out.append(Token(kind, m[0], line, fresh))
+            out.append(Token(kind, piece, line, fresh))
             fresh = False
-        line += m[0].count("\n")
+        line += piece.count("\n")
+        at = end
+    return out
+
+
+def closings(found: list[Token]) -> list[int]:
+    """For each token that opens a bracket, the place of the one that closes it; the
+    last place where none does. A brace closes what was left open inside."""
+    out = [len(found) - 1] * len(found)
+    stack: list[tuple[int, str]] = []
+    open_braces = 0
+    for i, t in enumerate(found):
+        if t.kind != "op":
+            continue
+        if t.text in CLOSING:
+            stack.append((i, CLOSING[t.text]))
+            open_braces += t.text == "{"
+        elif stack and (t.text == stack[-1][1] or t.text == "}" and open_braces):
+            while True:
+                at, closer = stack.pop()
+                out[at] = i
+                if closer == t.text:
+                    break
+            open_braces -= t.text == "}"
     return out
 
 
 class Reader:
     def __init__(self, file: str, text: str, language: Language) -> None:
         self.file, self.lang, self.tokens = file, language, tokens(text, language)
+        self.closing = closings(self.tokens)
+        self.words = KEYWORDS[name_of(language)]
         self.symbols: list[Symbol] = []
         self.edges: list[Edge] = []
 
     # --- helpers -----------------------------------------------------------------
     def close(self, at: int) -> int:
         """Place of the token that closes the bracket at ``at``, or of the end."""
-        stack = []
-        for i in range(at, len(self.tokens)):
-            t = self.tokens[i]
-            if t.kind == "op" and t.text in CLOSING:
-                stack.append(CLOSING[t.text])
-            elif t.kind == "op" and stack and t.text == stack[-1]:
-                stack.pop()
-                if not stack:
-                    return i
-        return len(self.tokens) - 1
+        return self.closing[at]
 
     def edge(self, function: str, source: str, target: str, kind: str, line: int) -> None:
         if source != target:
@@ -112,12 +203,16 @@ class Reader:
 
     # --- expressions ----------------------------------------------------------------
     def read(self, first: int, end: int, function: str, targets: list[str]) -> None:
-        """Edges of the expression in a range of tokens; ``targets`` get what it reads."""
-        i = first
-        while i < end:
+        """Edges of the expression in a range of tokens; ``targets`` get what it reads.
+        What stands in brackets is read before what follows, from a stack: source may nest deeply."""
+        open_ = [(first, end, targets)]
+        while open_:
+            i, end, targets = open_.pop()
+            if i >= end:
+                continue
             t = self.tokens[i]
-            if t.kind != "name" or t.text in KEYWORDS and t.text not in ("self", "this"):
-                i += 1
+            if t.kind != "name" or t.text in self.words and t.text not in ("self", "this"):
+                open_.append((i + 1, end, targets))
                 continue
             path, after = self.path(i, end)
             following = self.tokens[after].text if after < end else ""
@@ -130,8 +225,7 @@ class Reader:
                 if self.lang.callee_assigns:
                     for to in targets:
                         self.edge(function, path, to, "assign", t.line)
-                self.read(after + 1, stop, function, [])
-                i = stop + 1
+                open_ += [(stop + 1, end, targets), (after + 1, stop, [])]
                 continue
             for to in targets:
                 if following == "[":
@@ -142,16 +236,16 @@ class Reader:
                     self.edge(function, path, to, "assign", t.line)
             if following == "[":
                 stop = min(self.close(after), end)
-                self.read(after + 1, stop, function, [])
-                after = stop + 1
-            i = after
+                open_ += [(stop + 1, end, targets), (after + 1, stop, [])]
+            else:
+                open_.append((after, end, targets))
 
     def arguments(self, first: int, end: int, function: str, callee: str) -> None:
         """Arguments that are a plain name, or a selector where those are read whole."""
         for a, b in self.parts(first, end):
             while a < b and (self.tokens[a].text in ("&", "*") or self.tokens[a].text == "mut"):
                 a += 1
-            if a < b and self.tokens[a].kind == "name" and self.tokens[a].text not in KEYWORDS:
+            if a < b and self.tokens[a].kind == "name" and self.tokens[a].text not in self.words:
                 path, after = self.path(a, b)
                 if after == b and (path == self.tokens[a].text or self.lang.selector_assigns):
                     self.edge(function, path, callee, "call_arg", self.tokens[a].line)
@@ -177,7 +271,7 @@ class Reader:
                 names = [t for t in self.tokens[a:b] if t.kind == "name" and (t.text.startswith("$") if self.lang.always_method else True)]
                 if (b - a == 1 or self.lang.always_method) and names:
                     for t in names:
-                        if t.text not in KEYWORDS:
+                        if t.text not in self.words:
                             self.edge(function, t.text, "<return>", "return", t.line)
             self.read(first + 1, end, function, [])
             return
@@ -205,7 +299,7 @@ class Reader:
             t = self.tokens[i]
             if t.text == ":" and found:
                 break
-            if t.kind == "name" and t.text not in KEYWORDS:
+            if t.kind == "name" and t.text not in self.words:
                 found, i = self.path(i, end)
                 continue
             i = self.close(i) + 1 if t.kind == "op" and t.text in "[(" else i + 1
@@ -274,7 +368,7 @@ class Reader:
             name, opening = self.tokens[at].text, at + 1
             while opening < len(self.tokens) and self.tokens[opening].text not in "({;":
                 opening += 1  # type parameters
-        elif lang.bare_methods and in_class and t.kind == "name" and t.text not in KEYWORDS and i + 1 < len(self.tokens) and self.tokens[i + 1].text == "(":
+        elif lang.bare_methods and in_class and t.kind == "name" and t.text not in self.words and i + 1 < len(self.tokens) and self.tokens[i + 1].text == "(":
             after = self.close(i + 1) + 1
             while after < len(self.tokens) and (self.tokens[after].kind == "name" or self.tokens[after].text in ":,<>[]|."):
                 after += 1
