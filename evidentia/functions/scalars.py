@@ -114,6 +114,51 @@ def envelope_id(scan: Column, tool: Column, content: Column) -> Column:
     return F.concat_ws("-", scan, tool, F.substring(F.sha2(content, 256), 1, 12))
 
 
+# Languages with a sandbox, by extension.
+SANDBOXES = {
+    "py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript",
+    "cjs": "javascript", "go": "go", "php": "php", "java": "java",
+}
+# Domains of tool arguments; a list of words or a pattern. Paths are
+# relative and stay below their root.
+ARGUMENTS: dict[str, list[str] | str] = {
+    "audit_language": ["python", "typescript", "rust", "go"], "severity_level": ["info", "low", "medium", "high", "critical"],
+    "confidence_level": ["low", "medium", "high"], "semgrep_ruleset": ["auto", "security-audit", "secrets", "owasp-top-ten"],
+    "cwe_id": r"^CWE-[0-9]+\z", "file_path": r"^(?!/)(?!(.*/)?\.\.(/|\z))[A-Za-z0-9_./\-]+\z",
+}
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of the last part of a path, lower-cased; null without one.
+    A name that only begins with a dot has none."""
+    found = F.regexp_extract(F.regexp_extract(path, r"([^/]*)/*$", 1), r"^.+\.([^.]*)$", 1)
+    return F.nullif(F.lower(found), F.lit(""))
+
+
+def sandbox_language(path: Column) -> Column:
+    """The language whose sandbox runs a file; null where there is none."""
+    return cases(extension(path), SANDBOXES, None)
+
+
+def valid_argument(value: Column, kind: str) -> Column:
+    """Whether a tool's argument lies in the domain of its kind; null does not."""
+    domain = ARGUMENTS[kind]
+    return F.coalesce(value.rlike(domain) if isinstance(domain, str) else value.isin(domain), F.lit(False))
+
+
+def from_rfc3339(text: Column) -> Column:
+    """The instant of an RFC 3339 text, null where it is none."""
+    fine = text.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$")
+    return F.when(fine, F.upper(text).try_cast("timestamp"))
+
+
+def to_rfc3339(ts: Column) -> Column:
+    """UTC with microseconds where there are any: ``2026-01-02T03:04:05+00:00``."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    micros = F.date_format(utc, "SSSSSS")
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
+
+
 def path_stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss'Z'")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import minted_id
+from evidentia.numbering import number_in_order
+from evidentia.scratch import Scratch
 
 
 def first_of(df: DataFrame, key: list[Column | str], order: list[Column | str], keep_rest: bool = False) -> DataFrame:
@@ -36,8 +38,13 @@ def with_minted_ids(raw: DataFrame, tool: str = "tool", ordinal: str = "ordinal"
 
 
 def numbered(df: DataFrame, prefix: Column, order: list[Column | str], by: list[str], name: str = "id") -> DataFrame:
-    """Ids minted in ``order`` within each ``by``."""
-    return df.withColumn(name, minted_id(prefix, F.row_number().over(Window.partitionBy(*by).orderBy(*order))))
+    """Ids minted in ``order`` within each ``by``, from 1. An engagement may have most of
+    the rows, so numbers are given by ranges of the order, not by one task."""
+    scratch = Scratch(df.sparkSession, "numbered")
+    keys = [f"_o{i}" for i in range(len(order))]
+    sorted_ = df.select("*", *((F.col(o) if isinstance(o, str) else o).alias(k) for k, o in zip(keys, order)))
+    placed = number_in_order(scratch.keep(sorted_, "rows"), by, keys, "_place", scratch)
+    return placed.withColumn(name, minted_id(prefix, F.col("_place") + 1)).drop("_place", *keys)
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import eng8, leaf
 from evidentia.operators.dedup import numbered
 from evidentia.operators.intervals import contained
-from evidentia.scratch import written
+from evidentia.scratch import Scratch, written
 
 # Edges of a chain at most; lines looked at around a hop; largest file that is read.
 MOST_EDGES = 12
@@ -59,23 +60,34 @@ def traverse(edges: DataFrame, starts: DataFrame, sinks: list[str], most: int =
     tested as sinks, sinks are not left again, and no symbol lies more than
     ``most`` edges away. Levels carry parent edges, not paths; each level is
     a written table, so plans stay small and a lost executor costs a level.
+    Edges are shuffled once, by the symbol they leave, and held so; levels
+    move only the frontier to them. What is held is a copy of a written table.
     """
-    steps = written(edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line"), "edges")
-    starts = written(starts.select("source", "seed"), "seeds")
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "traverse")
+    steps = scratch.keep(edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line"), "edges")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = steps.repartition(parts, "from_symbol").persist(StorageLevel.DISK_ONLY)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("from_symbol", "string"), ("edge_kind", "string"), ("file_path", "string"), ("line", "int"))]
-    reached = frontier = starts.select("source", "seed", F.col("seed").alias("symbol"), F.lit(0).alias("hops"), F.lit(False).alias("is_sink"), *none)
-    for level in range(1, most + 1):
-        at = frontier.where(~F.col("is_sink")).select("source", "seed", F.col("symbol").alias("_at"))
-        out = at.join(steps, F.col("_at") == F.col("from_symbol")).select("source", "seed", F.struct("from_symbol", "line", "edge_kind", "file_path").alias("e"), F.col("to_symbol").alias("symbol"))
-        out = out.groupBy("source", "seed", "symbol").agg(F.min("e").alias("e"))
-        new = out.join(reached.select("source", "seed", "symbol"), ["source", "seed", "symbol"], "left_anti").select(
-            "source", "seed", "symbol", F.lit(level).alias("hops"), is_sink(F.col("symbol"), sinks).alias("is_sink"),
-            "e.from_symbol", "e.edge_kind", "e.file_path", "e.line",
-        )
-        frontier = written(new, f"level-{level}")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
+    zero = starts.select("source", "seed", F.col("seed").alias("symbol"), F.lit(0).alias("hops"), F.lit(False).alias("is_sink"), *none)
+    reached = frontier = scratch.keep(zero, "level_0")
+    try:
+        for level in range(1, most + 1):
+            at = frontier.where(~F.col("is_sink")).select("source", "seed", F.col("symbol").alias("_at"))
+            out = at.join(held, F.col("_at") == F.col("from_symbol")).select("source", "seed", F.struct("from_symbol", "line", "edge_kind", "file_path").alias("e"), F.col("to_symbol").alias("symbol"))
+            out = out.groupBy("source", "seed", "symbol").agg(F.min("e").alias("e"))
+            new = out.join(reached.select("source", "seed", "symbol"), ["source", "seed", "symbol"], "left_anti").select(
+                "source", "seed", "symbol", F.lit(level).alias("hops"), is_sink(F.col("symbol"), sinks).alias("is_sink"),
+                "e.from_symbol", "e.edge_kind", "e.file_path", "e.line",
+            )
+            told = Observation()
+            frontier = scratch.keep(new.observe(told, F.count_if(~F.col("is_sink")).alias("open"), F.count(F.lit(1)).alias("n")), f"level_{level}")
+            if told.get["n"]:
+                reached = reached.unionByName(frontier)
+            if not told.get["open"]:
+                break
+    finally:
+        held.unpersist()
     return reached.where("hops > 0")
 
 
@@ -83,19 +95,22 @@ def chains(reached: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """One path for each sink reached: parent edges are followed back from the hits only.
 
     Returns ``source``, ``seed``, ``sink``, ``hops`` and ``edges``, an array of
-    structs from the seed to the sink."""
+    structs from the seed to the sink. Steps back are joins of one plan, as many
+    as the longest path needs; a path that has ended takes no part in the next."""
     hop = F.struct("from_symbol", F.col("symbol").alias("to_symbol"), "edge_kind", "file_path", "line")
-    parents = reached.select("source", "seed", F.col("symbol").alias("_at"), F.col("from_symbol").alias("_up"), hop.alias("_hop"))
+    parents = reached.select(F.col("source").alias("_s"), F.col("seed").alias("_d"), F.col("symbol").alias("_at"), F.col("from_symbol").alias("_up"), hop.alias("_hop"))
+    scratch = Scratch(reached.sparkSession, "chains")
     open_ = reached.where("is_sink").select("source", "seed", F.col("symbol").alias("sink"), "hops", F.col("from_symbol").alias("_next"), F.array(hop).alias("edges"))
-    for _ in range(most):
-        ended = F.col("_next") == F.col("seed")
-        more = open_.where(~ended)
-        if more.isEmpty():
-            break
-        step = more.join(parents, (more.source == parents.source) & (more.seed == parents.seed) & (more._next == parents._at))
-        step = step.select(more.source, more.seed, "sink", "hops", parents._up.alias("_next"), F.concat(F.array("_hop"), "edges").alias("edges"))
-        open_ = written(open_.where(ended).unionByName(step), "paths")
-    return open_.drop("_next")
+    open_ = scratch.keep(open_, "hits")
+    longest = open_.agg(F.coalesce(F.max("hops"), F.lit(0))).first()[0]
+    done = open_.where("hops = 1")
+    open_ = open_.where("hops > 1")
+    for step in range(1, min(longest, most)):
+        up = open_.join(parents, (F.col("source") == F.col("_s")) & (F.col("seed") == F.col("_d")) & (F.col("_next") == F.col("_at")))
+        up = up.select("source", "seed", "sink", "hops", F.col("_up").alias("_next"), F.concat(F.array("_hop"), "edges").alias("edges"))
+        open_ = scratch.keep(up, f"step_{step}") if step % 4 == 0 else up
+        done, open_ = done.unionByName(open_.where(F.col("hops") == step + 1)), open_.where(F.col("hops") > step + 1)
+    return done.drop("_next")
 
 
 def on_path(edges: Column, guards: list[str]) -> Column:

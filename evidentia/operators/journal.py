@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The entry's fields in their order, and the hash before the first entry.
+REQUIRED = ["timestamp", "principal", "action", "resource", "cedar_decision", "prev_hash", "entry_hash"]
 FIELDS = ["timestamp", "principal", "action", "resource", "cedar_decision", "envelope_id", "prev_hash", "entry_hash"]
 GENESIS = "0" * 64
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
 
 
 def read_lenient(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of JSON-lines files; lines that are no entry are dropped."""
-    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """Entries of JSON-lines files; lines that are no entry, or lack one of its
+    required fields, are dropped."""
+    rows = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return rows.dropna(subset=REQUIRED)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +34,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parsed(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Lines as entries with ``bad`` for lines that do not parse; blank lines go."""
     rows = lines.where(F.trim("line") != "").withColumn("e", F.from_json("line", SCHEMA, {"mode": "PERMISSIVE"}))
-    rows = rows.select("journal", "ordinal", "line", "e.*", (F.col("e.entry_hash").isNull() | F.col("e.prev_hash").isNull()).alias("bad"))
+    rows = rows.select("journal", "ordinal", "line", "e.*", reduce(lambda a, b: a | b, (F.col(f"e.{f}").isNull() for f in REQUIRED)).alias("bad"))
     return rows if strict else rows.where(~F.col("bad"))
 
 
@@ -52,9 +56,9 @@ def links(entries: DataFrame, by: str = "journal", order: str = "ordinal", body:
 def first_break(checked: DataFrame, by: str = "journal", order: str = "ordinal") -> DataFrame:
     """For each journal the place of its first bad line (null if sound) and the number of entries before it."""
     bad = ~(F.col("link_ok") & F.col("hash_ok"))
-    at = checked.groupBy(by).agg(F.min(F.when(bad, F.col(order))).alias("first_bad"), F.count(F.lit(1)).alias("_n"), F.array_agg(order).alias("_o"))
-    before = F.size(F.filter("_o", lambda o: o < F.col("first_bad")))
-    return at.select(by, "first_bad", F.when(F.col("first_bad").isNull(), F.col("_n")).otherwise(before).cast("long").alias("n_valid"))
+    marked = checked.select(by, F.col(order).alias("_o"), F.min(F.when(bad, F.col(order))).over(Window.partitionBy(by)).alias("_first"))
+    before = F.count_if(F.coalesce(F.col("_o") < F.col("_first"), F.lit(True)))
+    return marked.groupBy(by).agg(F.min("_first").alias("first_bad"), before.alias("n_valid"))
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:

@@ -16,9 +16,17 @@ STAGES = [
 ]
 
 
-def set_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """New verdicts by (engagement_id, id); findings without one stay as they are."""
-    new = verdicts.select("engagement_id", "id", F.col("verdict").alias("_v"))
+def last_of(requests: DataFrame, value: str, order: list[str] | None = None) -> DataFrame:
+    """One request a finding (engagement_id, id): the last in ``order``, by default by
+    column ``at`` where there is one; of equal ones the largest value."""
+    order = order if order is not None else [c for c in ("at",) if c in requests.columns]
+    return requests.groupBy("engagement_id", "id").agg(F.max_by(F.col(value), F.struct(*order, value)).alias(value))
+
+
+def set_verdicts(findings: DataFrame, verdicts: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """New verdicts by (engagement_id, id); findings without one stay as they are, and
+    of several for one finding the last counts (see :func:`last_of`)."""
+    new = last_of(verdicts, "verdict", order).select("engagement_id", "id", F.col("verdict").alias("_v"))
     return findings.join(new, ["engagement_id", "id"], "left").withColumn("advocate_verdict", F.coalesce("_v", "advocate_verdict")).drop("_v").select(*findings.columns)
 
 
@@ -28,17 +36,18 @@ def is_environmental(timed_out: Column, ok: Column, error: Column, exit_code: Co
     return no(timed_out, False) | ~no(ok, False) | error.isNotNull() | ((no(exit_code, 0) != 0) & ~no(reproduced, False))
 
 
-def set_poc_status(findings: DataFrame, requests: DataFrame, citations: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+def set_poc_status(findings: DataFrame, requests: DataFrame, citations: DataFrame, runs: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """Apply requested proof states; ``mutation_error`` says why one was refused.
 
-    ``requests`` has engagement_id, id and new_status. States that begin with
-    ``reproduced`` need an exhibit, a citation of type ``poc``. ``refuted`` makes
+    ``requests`` has engagement_id, id and new_status; of several for one finding
+    the last counts (see :func:`last_of`). States that begin with ``reproduced``
+    need an exhibit, a citation of type ``poc`` of the same engagement. ``refuted`` makes
     the finding a hypothesis, and is refused if the last run of the finding
     (``runs``: finding_id, at, timed_out, ok, error, exit_code, reproduced) was
     environmental."""
-    exhibits = citations.where("citation_type = 'poc'").select(F.col("finding_id").alias("_x")).distinct()
-    asked = requests.select("engagement_id", "id", "new_status")
-    both = findings.join(asked, ["engagement_id", "id"], "left").join(exhibits, F.col("id") == F.col("_x"), "left")
+    exhibits = citations.where("citation_type = 'poc'").select(F.col("engagement_id").alias("_xe"), F.col("finding_id").alias("_x")).distinct()
+    asked = last_of(requests, "new_status", order)
+    both = findings.join(asked, ["engagement_id", "id"], "left").join(exhibits, (F.col("id") == F.col("_x")) & (F.col("engagement_id") == F.col("_xe")), "left")
     if runs is None:
         both = both.withColumn("_env", F.lit(False))
     else:
@@ -56,6 +65,30 @@ def set_poc_status(findings: DataFrame, requests: DataFrame, citations: DataFram
     return out.withColumn("poc_status", F.when(done, s).otherwise(F.col("poc_status"))).select(*findings.columns, "mutation_error")
 
 
+CITATION = "engagement_id string, finding_id string, citation_type string, analyzer_finding string, code_path string, code_line_start int, code_line_end int, hypothesis_id string, intended_poc string"
+
+
+def citation_rows(citations: DataFrame) -> DataFrame:
+    """Citations as rows of finding_citations: of a citation only the columns of its type
+    are kept, the others are null. Citations of an unknown type give none."""
+    own = {"analyzer_finding": "analyzer", "code_path": "code", "code_line_start": "code", "code_line_end": "code", "hypothesis_id": "hypothesis", "intended_poc": "hypothesis"}
+    kinds = dict(c.split() for c in CITATION.split(", "))
+    have = set(citations.columns)
+    known = citations.where(F.col("citation_type").isin("analyzer", "code", "hypothesis"))
+    return known.select(
+        "engagement_id", "finding_id", "citation_type",
+        *(F.when(F.col("citation_type") == kind, F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c, kind in own.items()),
+    )
+
+
+def exhibits(artifacts: DataFrame) -> DataFrame:
+    """Proof artefacts (engagement_id, finding_id, exhibit) as citations of type ``poc``,
+    to be appended to finding_citations."""
+    kinds = dict(c.split() for c in CITATION.split(", "))
+    given = {"engagement_id": F.col("engagement_id"), "finding_id": F.col("finding_id"), "citation_type": F.lit("poc"), "intended_poc": F.col("exhibit")}
+    return artifacts.select(*(given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+
+
 def chain_nodes(chains: DataFrame) -> DataFrame:
     """Nodes of attack chains: one for each finding in order, linked to the next.
 

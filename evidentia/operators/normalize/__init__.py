@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evidentia.operators.normalize import govulncheck, tools
+from evidentia.scratch import Scratch
 
 TOOLS: dict[str, tools.Tool] = {
     "semgrep": tools.semgrep, "semgrep_rust": tools.semgrep, "semgrep_ts": tools.semgrep, "bandit": tools.bandit, "ruff": tools.ruff,
@@ -26,8 +28,17 @@ def register(name: str, normaliser: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def normalise(docs: DataFrame, tool: str = "tool_name") -> DataFrame:
-    """Findings of documents of all tools: ``docs`` has ``tool_name``, ``raw`` and keys. One filtered scan a tool, no shuffle."""
-    parts = [f(docs.where(F.col(tool) == n)) for n, f in NORMALISERS.items()]
+    """Findings of documents of all tools: ``docs`` has ``tool_name``, ``raw`` and keys.
+
+    Documents are read once and dealt to folders by tool, so that each
+    normaliser reads those of its tool alone; there is no shuffle. Documents of
+    unknown tools, or of none, give no findings."""
+    scratch = Scratch(docs.sparkSession, "documents")
+    docs.where(F.col(tool).isin(*NORMALISERS)).write.partitionBy(tool).parquet(f"{scratch.root}/by_tool")
+    rest = [f.name for f in docs.schema if f.name != tool]
+    schema = StructType([docs.schema[c] for c in rest] + [docs.schema[tool]])
+    dealt = docs.sparkSession.read.schema(schema).parquet(f"{scratch.root}/by_tool").select(*docs.columns)
+    parts = [f(dealt.where(F.col(tool) == n)) for n, f in NORMALISERS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -7,6 +7,8 @@ projection that Catalyst can push filters through.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -98,6 +100,24 @@ RULES = [
 ]
 
 
+def rules_from(folder: str) -> list[Rule]:
+    """Rules of the ``.json`` files of a folder, in the order of their names.
+
+    A file has a list of objects: ``id``, ``permit`` (true or false), ``when`` (a SQL
+    condition over attributes; absent: always), and lists ``principals`` and
+    ``actions`` (absent: any). Two rules of one id are an error."""
+    rules: list[Rule] = []
+    for name in sorted(n for n in os.listdir(folder) if n.endswith(".json")):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            for r in json.load(f):
+                condition = lambda of, sql=r.get("when", "true"): F.expr(sql)
+                rules.append(Rule(r["id"], bool(r["permit"]), condition, tuple(r.get("principals", ())), tuple(r.get("actions", ()))))
+    twice = {r.id for r in rules if sum(x.id == r.id for x in rules) > 1}
+    if twice:
+        raise ValueError(f"rules with the same id: {sorted(twice)}")
+    return rules
+
+
 def authorise(requests: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``allowed`` and ``reasons`` for each request row.
 

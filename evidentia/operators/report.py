@@ -5,14 +5,19 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.scalars import SEVERITIES, sarif_level, severity_rank
+from evidentia.functions.scalars import envelope_id, sarif_level
+from evidentia.numbering import number_in_order
 from evidentia.operators import policy, rollups
+from evidentia.scratch import Scratch, written
 
 # Fixed values of the SARIF format.
 SARIF_VERSION = "2.1.0"
@@ -31,7 +36,8 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame, tool: str = "evidentia", version: str = "0.1") -> DataFrame:
-    """A SARIF document for each engagement: a report is read whole, so one row holds it."""
+    """A SARIF document for each engagement as one row, for engagements of a size that a
+    row can hold; :func:`sarif_parts` has no such bound."""
     rows = sarif_results(findings).groupBy("engagement_id").agg(F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["_id"] < b["_id"], -1).when(a["_id"] > b["_id"], 1).otherwise(0)).alias("rs"))
     driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.transform("rs", lambda r: r["rule"]).alias("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.transform("rs", lambda r: r["result"]).alias("results"))
@@ -39,15 +45,68 @@ def sarif(findings: DataFrame, tool: str = "evidentia", version: str = "0.1") ->
     return rows.select("engagement_id", F.to_json(body).alias("sarif"))
 
 
+def sarif_parts(findings: DataFrame, tool: str = "evidentia", version: str = "0.1", rows: int = 5000) -> DataFrame:
+    """A SARIF document for each engagement in parts (``engagement_id``, ``part``,
+    ``text``): the texts of an engagement, in order and one after the other, are the
+    document. A part has at most ``rows`` rules or results, so an engagement may
+    have any number of findings. Findings are in the order of their ids."""
+    scratch = Scratch(findings.sparkSession, "sarif")
+    flat = scratch.keep(sarif_results(findings).select("engagement_id", F.col("r._id").alias("id"), F.to_json("r.rule").alias("rule"), F.to_json("r.result").alias("result")), "results")
+    placed = scratch.keep(number_in_order(flat, ["engagement_id"], ["id", "result"], "place", scratch), "placed")
+    block = F.floor(F.col("place") / rows)
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c]), ",")
+    blocks = placed.groupBy("engagement_id", block.alias("block")).agg(ordered("rule").alias("rule"), ordered("result").alias("result"), F.min("place").alias("least"))
+    glued = lambda c: F.concat(F.when(F.col("least") > 0, ",").otherwise(""), c)
+    head = f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{"name":{json.dumps(tool)},"version":{json.dumps(version)},"rules":['
+    fixed = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(0).cast("long").alias("block"), F.lit(t).alias("text")) for k, t in ((0, head), (2, ']}},"results":['), (4, "]}]}"))))
+    own = F.array(F.struct(F.lit(1).alias("kind"), "block", glued("rule").alias("text")), F.struct(F.lit(3).alias("kind"), "block", glued("result").alias("text")))
+    each = blocks.select("engagement_id", F.explode(F.when(F.col("least") == 0, F.concat(fixed, own)).otherwise(own)).alias("p"))
+    along = Window.partitionBy("engagement_id").orderBy("kind", "block")  # a few rows for each ``rows`` findings
+    return each.select("engagement_id", "p.*").withColumn("part", F.row_number().over(along) - 1).select("engagement_id", "part", "text")
+
+
+SEED_FINDING = [
+    "id", "file_path", "line_start", "line_end", "severity", "cwe", "owasp", "title", "description", "citations", "advocate_verdict", "poc_status",
+    "tool_origin", "evidence_envelope_id",
+]
+SEED_CHAIN = ["id", "stage", "finding_id", "evidence_id", "next_chain_id", "rationale"]
+SEED_TRIPLE = ["id", "subject", "predicate", "object", "confidence", "rationale", "source_phase"]
+
+
+def _entry(df: DataFrame, fields: list[str]) -> Column:
+    have = set(df.columns)
+    return F.to_json(F.struct(*((F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in fields)), {"ignoreNullFields": "false"})
+
+
 def seed(findings: DataFrame, citations: DataFrame) -> DataFrame:
     """Findings that pass the handoff gate, with their citations' types, as JSON entries; the rest with the reasons."""
-    cited = rollups.citation_types(findings, citations)
-    judged = policy.handoff_gate(cited)
-    entry = F.struct(
-        F.col("id"), F.col("title"), F.col("severity"), F.col("cwe"), F.col("file_path"), F.col("line_start"), F.col("line_end"), F.col("advocate_verdict"),
-        F.col("poc_status"), F.col("citations"),
-    )
-    return judged.select("engagement_id", "id", "allowed", "reasons", F.when(F.col("allowed"), F.to_json(entry)).alias("entry"))
+    judged = policy.handoff_gate(rollups.citation_types(findings, citations))
+    return judged.select("engagement_id", "id", "allowed", "reasons", F.when(F.col("allowed"), _entry(judged, SEED_FINDING)).alias("entry"))
+
+
+def seed_document(
+    findings: DataFrame, citations: DataFrame, chains: DataFrame, triples: DataFrame, engagement_id: str, specifier_hash: str,
+    generated_at: datetime | None = None, signer: Signer | None = None,
+) -> tuple[dict, int, int]:
+    """The handoff seed of one engagement, signed where a signer is given: findings that
+    pass the gate, attack chains and knowledge triples, each in the order of ids;
+    with the numbers of findings inside and filtered out. A seed is one document
+    that is signed whole, so it is put together on the driver."""
+    own = lambda df: df.where(F.col("engagement_id") == engagement_id)
+    entries = seed(own(findings), citations).orderBy("id").select("allowed", "entry").toLocalIterator()
+    inside, filtered = [], 0
+    for row in entries:
+        if row.allowed:
+            inside.append(json.loads(row.entry))
+        else:
+            filtered += 1
+    listed = lambda df, fields: [json.loads(r.e) for r in own(df).orderBy("id").select(_entry(df, fields).alias("e")).toLocalIterator()]
+    at = (generated_at or datetime.now(timezone.utc)).astimezone(timezone.utc).isoformat()
+    body = {
+        "engagement_id": engagement_id, "specifier_hash": specifier_hash, "generated_at": at, "findings": inside,
+        "attack_chains": listed(chains, SEED_CHAIN), "knowledge_triples": listed(triples, SEED_TRIPLE),
+    }
+    return {"signature": ""} | signed(body, signer), len(inside), filtered
 
 
 def canonical(data: object) -> bytes:
@@ -68,28 +127,41 @@ def verified(document: dict, verify: Callable[[bytes, str], bool] | None = None)
     return fine and (verify is None or verify(body, document.get("signature", "")))
 
 
-def markdown(findings: DataFrame, chains: DataFrame, engagement_id: str, most_cards: int = 100) -> str:
-    """Summary, chains and cards by severity of one engagement. Counts are aggregates
-    over all rows; cards are a page of the worst ``most_cards`` findings."""
+def card(findings: DataFrame) -> DataFrame:
+    """A Markdown card for each finding, with its bucket's rank: ``severity``, ``id``, ``card``."""
+    none = lambda c: F.coalesce(c, F.lit("none"))
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("### "), "id", F.lit(": "), F.coalesce("title", F.lit(""))), F.lit(""),
+        F.concat(F.lit("- place: `"), "file_path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"), F.lit("`")),
+        F.concat(F.lit("- cwe: "), none("cwe")), F.concat(F.lit("- verdict: "), none("advocate_verdict"), F.lit(", proof: "), none("poc_status")),
+        F.lit(""), F.coalesce("description", F.lit("")), F.lit(""),
+    )
+    return findings.select("engagement_id", "severity", "id", text.alias("card"))
+
+
+def markdown_lines(findings: DataFrame, chains: DataFrame, engagement_id: str) -> Iterator[str]:
+    """Summary, chains and a card for every finding by severity of one engagement, a piece
+    at a time: cards are sorted by the cluster and come a partition at a time."""
     mine = findings.where(F.col("engagement_id") == engagement_id)
-    summary = rollups.verdict_summary(mine).collect()
-    lines = [f"# Audit report {engagement_id}", "", "## Summary", ""]
-    if summary:
-        row = summary[0].asDict()
-        lines += [f"- {k.replace('_', ' ')}: {v}" for k, v in row.items() if k != "engagement_id"]
-    own = chains.where(F.col("engagement_id") == engagement_id)
-    lines += ["", "## Attack chains", ""]
-    stages = own.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).orderBy("stage").collect()
-    lines += [f"- {r.stage}: {r.n} nodes" for r in stages] or ["No chains."]
+    yield from (f"# Audit report {engagement_id}", "", "## Summary", "")
+    for row in rollups.verdict_summary(mine).collect():
+        yield from (f"- {k.replace('_', ' ')}: {v}" for k, v in row.asDict().items() if k != "engagement_id")
+    yield from ("", "## Attack chains", "")
+    stages = chains.where(F.col("engagement_id") == engagement_id).groupBy("stage").agg(F.count(F.lit(1)).alias("n")).orderBy("stage").collect()
+    yield from [f"- {r.stage}: {r.n} nodes" for r in stages] or ["No chains."]
     buckets = {r.severity: r.n for r in rollups.severity_buckets(mine).collect()}
-    cards = mine.orderBy(severity_rank(F.col("severity")).desc(), "id").limit(most_cards).collect()
-    for severity in SEVERITIES:
-        if not buckets.get(severity):
-            continue
-        lines += ["", f"## {severity.capitalize()} ({buckets[severity]})", ""]
-        for r in (r for r in cards if r.severity == severity):
-            lines += [f"### {r.id}: {r.title}", "", f"- place: `{r.file_path}:{r.line_start}-{r.line_end}`", f"- cwe: {r.cwe or 'none'}", f"- verdict: {r.advocate_verdict or 'none'}, proof: {r.poc_status or 'none'}", "", r.description or "", ""]
-    return "\n".join(lines).rstrip() + "\n"
+    shown = None
+    cards = card(rollups.bucketed(mine))
+    for r in cards.toLocalIterator():
+        if r.severity != shown:
+            shown = r.severity
+            yield from ("", f"## {shown.capitalize()} ({buckets[shown]})", "")
+        yield r.card
+
+
+def markdown(findings: DataFrame, chains: DataFrame, engagement_id: str) -> str:
+    """:func:`markdown_lines` as one text."""
+    return "\n".join(markdown_lines(findings, chains, engagement_id)).rstrip() + "\n"
 
 
 def write(root: str, engagement_id: str, files: dict[str, str | bytes], at: datetime | None = None) -> str:
@@ -109,27 +181,35 @@ def write(root: str, engagement_id: str, files: dict[str, str | bytes], at: date
     return folder
 
 
-def evidence(documents: DataFrame, folder: str) -> DataFrame:
-    """Evidence rows for raw documents (``scan_id``, ``tool``, ``raw``): content-addressed, and
-    written as ``<envelope_id>.json`` by the tasks that hold them. A repeated task writes the same bytes."""
-    from pyspark.sql.types import StringType
+EVIDENCE = "envelope_id string, sha256 string, path string, content_type string"
 
-    from evidentia.functions.scalars import envelope_id
 
+def evidence(documents: DataFrame, folder: str) -> DataFrame:
+    """Evidence rows for raw documents (``scan_id``, ``tool``, ``raw``): content-addressed, and
+    written as ``<envelope_id>.json`` below ``folder`` (a URI or path that all
+    executors share). Files are renamed when whole, so a repeated task writes the
+    same bytes again; the rows are a written table, so reading them writes nothing."""
     data = F.encode("raw", "UTF-8")
     rows = documents.select(envelope_id(F.col("scan_id"), F.col("tool"), data).alias("envelope_id"), F.sha2(data, 256).alias("sha256"), "raw")
-
-    @F.udf(StringType())
-    def put(name: str, raw: str) -> str:
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"{name}.json")
-        try:
-            body = json.dumps(json.loads(raw), indent=2, ensure_ascii=False)
-        except ValueError:
-            body = raw
-        with open(f"{path}.{os.getpid()}", "w", encoding="utf-8") as f:
-            f.write(body)
-        os.replace(f"{path}.{os.getpid()}", path)
-        return path
-
-    return rows.select("envelope_id", "sha256", put.asNondeterministic()("envelope_id", "raw").alias("path"), F.lit("application/json").alias("content_type"))
+    target = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(target)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            names, hashes, raws = (batch.column(c) for c in ("envelope_id", "sha256", "raw"))
+            paths = []
+            for name, raw in zip(names.to_pylist(), raws):
+                body = raw.as_py() or ""
+                try:
+                    body = json.dumps(json.loads(body), indent=2, ensure_ascii=False)
+                except ValueError:
+                    pass
+                paths.append(f"{root}/{name}.json")
+                own = f"{paths[-1]}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as f:
+                    f.write(body.encode())
+                store.move(own, paths[-1])
+            yield pa.RecordBatch.from_arrays([names, hashes, pa.array(paths, pa.string()), pa.array(["application/json"] * len(paths), pa.string())], names=["envelope_id", "sha256", "path", "content_type"])
+
+    return written(rows.mapInArrow(put, EVIDENCE), "evidence")

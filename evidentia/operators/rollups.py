@@ -23,17 +23,24 @@ def verdict_summary(findings: DataFrame) -> DataFrame:
 
 
 def severity_buckets(findings: DataFrame) -> DataFrame:
-    """Findings by severity, worst first, with their ids in order; empty buckets don't show."""
+    """Findings by severity, worst first, with their number and smallest id; empty
+    buckets don't show. :func:`bucketed` has the findings themselves."""
     known = findings.where(F.col("severity").isin(SEVERITIES)).groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     return known.withColumn("severity_rank", severity_rank(F.col("severity"))).orderBy(F.desc("severity_rank"), "severity")
 
 
+def bucketed(findings: DataFrame) -> DataFrame:
+    """Findings of known severities in the order of their buckets: worst first, then by id."""
+    return findings.where(F.col("severity").isin(SEVERITIES)).orderBy(severity_rank(F.col("severity")).desc(), "severity", "id")
+
+
 def citation_types(findings: DataFrame, citations: DataFrame, key: str = "finding_id") -> DataFrame:
-    """Every finding with the sorted set of its citations' types; none is an empty list."""
-    types = citations.groupBy(key).agg(F.array_sort(F.collect_set("citation_type")).alias("citations"))
-    return findings.join(types, findings["id"] == types[key], "left").drop(key).withColumn(
-        "citations", F.coalesce("citations", F.array().cast("array<string>"))
-    )
+    """Every finding with the sorted set of its citations' types; none is an empty list.
+    Where both tables have engagements, a citation counts for its own only."""
+    by = [c for c in ("engagement_id",) if c in findings.columns and c in citations.columns]
+    types = citations.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col(key).alias("_id")).agg(F.array_sort(F.collect_set("citation_type")).alias("citations"))
+    on = [F.col("id") == F.col("_id"), *(F.col(c) == F.col(f"_{c}") for c in by)]
+    return findings.join(types, on, "left").drop("_id", *(f"_{c}" for c in by)).withColumn("citations", F.coalesce("citations", F.array().cast("array<string>")))
 
 
 def latest(df: DataFrame, by: str, ts: Column | str, tie: Column | str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import RANKS, cut_chars, severity_rank
+from evidentia.schemas import TABLES
 
 # Path noise, demoted sinks, CWE classes of proofs, page sizes.
 NOISE = ["%/.github/%", ".github/%", "%/internal-docs/%", "internal-docs/%"]
@@ -41,9 +42,27 @@ def of_tool(findings: DataFrame, tool: str | None) -> DataFrame:
     return findings.where(F.col("tool_origin") == tool) if tool else findings
 
 
+# What the enumerated columns of a finding may hold.
+DOMAINS = {
+    "severity": ["critical", "high", "medium", "low", "info"], "confidence": ["high", "medium", "low"],
+    "advocate_verdict": ["confirmed", "rebutted", "uncertain"],
+    "poc_status": ["reproduced", "refuted", "inconclusive", "reproduced_by_citation"],
+}
+
+
+def whole(findings: DataFrame) -> DataFrame:
+    """All columns of the findings table, in its order and types, absent ones as null;
+    ``decode_error`` names the enumerated columns with a value outside their domain."""
+    have = set(findings.columns)
+    kinds = [c.split() for c in TABLES["findings"].split(", ")]
+    wrong = [F.when(~F.col(c).isin(d), F.lit(c)) for c, d in DOMAINS.items() if c in have]
+    error = F.array_join(F.array_compact(F.array(*wrong)), ",") if wrong else F.lit("")
+    return findings.select(*((F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds), F.nullif(error, F.lit("")).alias("decode_error"))
+
+
 def detail(findings: DataFrame, engagement_id: str, finding_id: str) -> DataFrame:
-    """One finding with its whole text."""
-    return findings.where((F.col("engagement_id") == engagement_id) & (F.col("id") == finding_id))
+    """One finding with its whole text and all columns."""
+    return whole(findings.where((F.col("engagement_id") == engagement_id) & (F.col("id") == finding_id)))
 
 
 def compact(findings: DataFrame) -> DataFrame:

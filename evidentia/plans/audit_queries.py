@@ -285,7 +285,7 @@ def job_selection(spark, d):
     return jobs.select_jobs(view(spark, d, "languages"))
 
 
-_CONTROLS = ", ".join(f"('{c}', '{t}', {', '.join(str(x.split()) for x in rest)})" for c, t, *rest in crosswalk.CONTROLS)
+_CONTROLS = ", ".join(f"('{c}', '{t}', {', '.join(map(str, rest))})" for c, t, *rest in crosswalk.CONTROLS)
 
 
 @query(f""", controls(cwe, cwe_title, nist_800_53, owasp_asvs, soc2, iso_27001) AS (VALUES {_CONTROLS})

@@ -5,6 +5,7 @@ import pytest
 from evidentia.operators import crosswalk, dedup, dependencies, graph, intervals, jobs, journal, mutate, policy, report, rollups, text, triage, vector
 from evidentia.operators.normalize import suppress_lit
 from evidentia.functions import scalars as S
+from evidentia.schemas import TABLES
 from pyspark.sql import functions as F
 
 EDGE = "from_symbol string, to_symbol string, edge_kind string, file_path string, line int"
@@ -122,13 +123,19 @@ def test_rules(spark):
 def test_poc_status(spark):
     f = spark.createDataFrame([finding(str(i)) for i in range(6)], FINDING)
     asked = spark.createDataFrame([("e", "0", "reproduced"), ("e", "1", "reproduced"), ("e", "2", "refuted"), ("e", "3", "refuted"), ("e", "4", "odd"), ("e", "5", "inconclusive")], "engagement_id string, id string, new_status string")
-    cites = spark.createDataFrame([("0", "poc"), ("1", "code")], "finding_id string, citation_type string")
+    made = mutate.exhibits(spark.createDataFrame([("e", "0", "{}"), ("other", "1", "{}")], "engagement_id string, finding_id string, exhibit string"))
+    assert made.columns == [c.split()[0] for c in TABLES["finding_citations"].split(", ")] and made.first().intended_poc == "{}"
+    cites = made.unionByName(mutate.citation_rows(spark.createDataFrame([("e", "1", "code", "a.py", "h")], "engagement_id string, finding_id string, citation_type string, code_path string, hypothesis_id string")))
+    assert cites.where("citation_type = 'code'").first().code_path == "a.py" and cites.where("citation_type = 'code'").first().hypothesis_id is None
     runs = spark.createDataFrame([("2", 1, True, True, None, 0, False), ("2", 2, False, True, None, 0, False), ("3", 1, False, True, None, 1, False)], "finding_id string, at int, timed_out boolean, ok boolean, error string, exit_code int, reproduced boolean")
     got = {r.id: (r.status, r.poc_status, r.mutation_error) for r in mutate.set_poc_status(f, asked, cites, runs).collect()}
     assert got == {"0": ("open", "reproduced", None), "1": ("open", None, "no exhibit"), "2": ("hypothesis", "refuted", None), "3": ("open", None, "last run was environmental"), "4": ("open", None, "unknown status"), "5": ("open", "inconclusive", None)}
     assert triage.proof_candidates(f).count() == 6
-    new = spark.createDataFrame([("e", "0", "confirmed")], "engagement_id string, id string, verdict string")
-    assert {r.id: r.advocate_verdict for r in mutate.set_verdicts(f, new).collect()}["0"] == "confirmed"
+    new = spark.createDataFrame([("e", "0", "confirmed", 1), ("e", "0", "rebutted", 3), ("e", "0", "uncertain", 2), ("x", "1", "confirmed", 1)], "engagement_id string, id string, verdict string, at int")
+    after = mutate.set_verdicts(f, new).collect()
+    assert len(after) == 6 and {r.id: r.advocate_verdict for r in after} == {"0": "rebutted", **{str(i): None for i in range(1, 6)}}
+    twice = asked.unionByName(asked)
+    assert mutate.set_poc_status(f, twice, cites, runs).count() == 6
 
 
 def test_chain_nodes_triples_models(spark):
@@ -259,11 +266,80 @@ def test_reports(spark, tmp_path):
     docs = spark.createDataFrame([("S-1", "t", '{"a":1}'), ("S-1", "t", "text")], "scan_id string, tool string, raw string")
     for r in report.evidence(docs, str(tmp_path / "ev")).collect():
         assert (tmp_path / "ev" / f"{r.envelope_id}.json").exists() and r.envelope_id.startswith("S-1-t-") and len(r.envelope_id) == 18
-    paid = crosswalk.payloads(f).collect()
-    assert len(paid) == 1 and json.loads(paid[0].payload)["tags"].startswith("nist_800_53:SI-10,nist_800_53:SI-15,owasp_asvs:V5.3.4")
+    paid = {t: [json.loads(r.payload) for r in crosswalk.payloads(f, t).collect()] for t in crosswalk.TARGETS}
+    assert paid["gapps"] == [{"title": "t", "description": "d", "status": "new", "risk": "low", "priority": "low"}]
+    assert paid["comp"] == [{"title": "t", "description": "d", "category": "technology", "status": "open"}]
+    assert crosswalk.tagged(f).first().tags[:3] == ["nist_800_53:SI-10", "nist_800_53:SI-15", "owasp_asvs:V5.3.4"]
     assert crosswalk.unmapped(f).first().reason == "no cwe"
 
 
+def test_whole_reports(spark):
+    """Documents of any size: SARIF in parts, a card for every finding, the seed."""
+    rows = [finding(f"F-{i:04d}", S.SEVERITIES[i % 5], advocate_verdict="confirmed", engagement_id="e" if i % 3 else "other") for i in range(350)]
+    f = spark.createDataFrame(rows, FINDING)
+    parts = report.sarif_parts(f, rows=40).collect()
+    for e in ("e", "other"):
+        text = "".join(r.text for r in sorted((r for r in parts if r.engagement_id == e), key=lambda r: r.part))
+        assert json.loads(text) == json.loads(report.sarif(f).where(F.col("engagement_id") == e).first().sarif)
+    md = report.markdown(f, spark.createDataFrame([], "engagement_id string, stage string"), "e")
+    assert md.count("### F-") == sum(r[0] == "e" for r in rows) and md.index("## Critical") < md.index("## Info") and "No chains." in md
+    cites = spark.createDataFrame([("e", "F-0001", "code"), ("other", "F-0002", "code")], "engagement_id string, finding_id string, citation_type string")
+    chains = spark.createDataFrame([("e", "AC-2", "gate_evasion", "F-0001", None, None, "why"), ("other", "AC-1", "x", "y", None, None, "")], "engagement_id string, id string, stage string, finding_id string, evidence_id string, next_chain_id string, rationale string")
+    triples = spark.createDataFrame([("e", "1", "a", "b", "c", 0.5)], "engagement_id string, id string, subject string, predicate string, object string, confidence double")
+    seed, inside, filtered = report.seed_document(f, cites, chains, triples, "e", "hash", signer=lambda b: "s")
+    mine = [r for r in rows if r[0] == "e"]
+    assert inside == sum(r[2] not in ("low", "info") for r in mine) and inside + filtered == len(mine) and report.verified(seed)
+    by = {x["id"]: x for x in seed["findings"]}
+    assert by["F-0001"]["citations"] == ["code"] and by["F-0002"]["citations"] == [] and list(by) == sorted(by)
+    assert [c["id"] for c in seed["attack_chains"]] == ["AC-2"] and seed["knowledge_triples"][0]["rationale"] is None and seed["signature"] == "s"
+
+
+def test_ids_by_ranges_of_the_order(spark):
+    rows = [("e" if i % 10 else "o", i * 37 % 1000, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "engagement_id string, a int, b int")
+    got = dedup.numbered(df, F.lit("TC"), ["a", F.col("b")], ["engagement_id"]).collect()
+    for e in "eo":
+        mine = sorted((r.a, r.b, r.id) for r in got if r.engagement_id == e)
+        assert [x[2] for x in mine] == [f"TC-{i:04d}" for i in range(1, len(mine) + 1)]
+    assert dedup.numbered(df.limit(0), F.lit("TC"), ["a"], ["engagement_id"]).collect() == []
+
+
+def test_whole_findings_and_scalars(spark):
+    f = spark.createDataFrame([finding("F-1"), finding("F-2", "odd", poc_status="maybe")], FINDING)
+    got = {r.id: r for r in triage.whole(f).collect()}
+    assert list(got["F-1"].asDict())[:-1] == [c.split()[0] for c in TABLES["findings"].split(", ")] and len(TABLES["findings"].split(", ")) == 22
+    assert got["F-1"].decode_error is None and got["F-2"].decode_error == "severity,poc_status" and triage.detail(f, "e", "F-2").first().rank_score is None
+    paths = spark.createDataFrame([("a/b.PY",), ("x.tsx",), ("Makefile",), (".py",), ("a.tar.gz",), ("m.cjs",), (None,)], "p string")
+    assert [r[0] for r in paths.select(S.sandbox_language(F.col("p"))).collect()] == ["python", "typescript", None, None, None, "javascript", None]
+    args = spark.createDataFrame([("a/b.py", True), ("../x", False), ("/etc", False), ("a/../b", False), ("a/..", False), ("a..b/c", True), ("a b", False), ("a\n", False), (None, False)], "v string, want boolean")
+    assert all(r.got == r.want for r in args.select(S.valid_argument(F.col("v"), "file_path").alias("got"), "want").collect())
+    one = spark.range(1).select(*(S.valid_argument(F.lit(v), k).alias(k) for k, v in {"cwe_id": "CWE-79", "severity_level": "info", "audit_language": "cobol"}.items())).first()
+    assert tuple(one) == (True, True, False)
+    times = spark.createDataFrame([("2026-01-02T03:04:05Z",), ("2026-01-02T03:04:05.25+02:00",), ("2026-01-02",), ("junk",)], "t string")
+    assert [r[0] for r in times.select(S.to_rfc3339(S.from_rfc3339(F.col("t")))).collect()] == ["2026-01-02T03:04:05+00:00", "2026-01-02T01:04:05.250000+00:00", None, None]
+
+
+def test_rules_from_a_folder(spark, tmp_path):
+    (tmp_path / "b.json").write_text(json.dumps([{"id": "no-secrets", "permit": False, "when": "kind = 'secret'"}]))
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "read", "permit": True, "principals": ["reader"], "actions": ["read"]}]))
+    (tmp_path / "c.txt").write_text("not a rule")
+    rules = policy.rules_from(str(tmp_path))
+    assert [r.id for r in rules] == ["read", "no-secrets"]
+    df = spark.createDataFrame([("reader", "read", "page"), ("reader", "read", "secret"), ("other", "read", "page")], "principal string, action string, kind string")
+    assert [(r.allowed, r.reasons) for r in policy.authorise(df, rules).collect()] == [(True, ["read"]), (False, ["no-secrets"]), (False, [])]
+    (tmp_path / "d.json").write_text(json.dumps([{"id": "read", "permit": True}]))
+    with pytest.raises(ValueError):
+        policy.rules_from(str(tmp_path))
+
+
+def test_lenient_journals_drop_what_is_no_entry(spark, tmp_path):
+    path = str(tmp_path / "j.jsonl")
+    journal.append(path, [{"timestamp": "t", "principal": "p", "action": "a", "resource": "r", "cedar_decision": "permit"}])
+    with open(path, "a") as f:
+        f.write('{"foo":1}\nnot json\n')
+    assert journal.read_lenient(spark, path).count() == 1 and journal.verify(spark, path).first().first_bad == 1
+
+
 def test_suppression_counts(spark):
     files = spark.createDataFrame([("a", "import {html} from 'lit-element'"), ("b", "import x from 'lit'\nconst $ = require('jquery')"), ("c", "// import 'lit'")], "path string, text string")
     found = spark.createDataFrame([("semgrep", "x.jquery.y", p) for p in "abc"] + [("semgrep", "other", "a")], "tool string, rule_id string, file_path string")
