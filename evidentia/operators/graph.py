@@ -60,12 +60,13 @@ def traverse(edges: DataFrame, starts: DataFrame, sinks: list[str], most: int =
     tested as sinks, sinks are not left again, and no symbol lies more than
     ``most`` edges away. Levels carry parent edges, not paths; each level is
     a written table, so plans stay small and a lost executor costs a level.
-    Edges are shuffled once, by the symbol they leave, and held so; levels
-    move only the frontier to them. What is held is a copy of a written table.
+    Edges are shuffled once, by the symbol they leave, and held so on disk;
+    levels move only the frontier to them. ``edges`` should be a written table,
+    from which held parts that are lost are read again.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "traverse")
-    steps = scratch.keep(edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line"), "edges")
+    steps = edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = steps.repartition(parts, "from_symbol").persist(StorageLevel.DISK_ONLY)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("from_symbol", "string"), ("edge_kind", "string"), ("file_path", "string"), ("line", "int"))]
@@ -164,6 +165,7 @@ def taint_chains(
     A chain without a guard on its path or in the scope of its first and last
     hop carries the marker ``unguarded``. Ids count chains by seed, sink, hops
     and path. Without guards in the model every chain is unguarded."""
+    edges = written(edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line"), "edges")
     paths = chains(traverse(edges, seeds(edges, sources), sinks, most), most)
     first, last = F.col("edges")[0], F.element_at("edges", -1)
     flat = written(paths.select("*", first["file_path"].alias("source_file"), first["line"].alias("source_line"), last["file_path"].alias("sink_file"), last["line"].alias("sink_line"), on_path(F.col("edges"), guards).alias("_on_path")), "chains")

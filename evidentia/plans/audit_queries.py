@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from evidentia.functions import scalars as S
 from evidentia.operators import crosswalk, dedup, dependencies, graph, intervals, jobs, journal, mutate, policy, rollups, text, triage, vector
 from evidentia.plans.views import view, with_views
+from evidentia.sources import files
+from evidentia.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,11 +86,11 @@ def triage_first(spark, d):
     return triage.page(view(spark, d, "findings").select("id", "tool_origin"), triage.triage_first("purchase"), 0, 100)
 
 
-@query("SELECT id, title, description, engagement_id FROM findings WHERE engagement_id = 'eng-1' AND id IN (SELECT min(id) FROM findings WHERE engagement_id = 'eng-1')", "findings")
+@query("SELECT id, title, description, engagement_id, severity, line_end, CAST(NULL AS VARCHAR) AS owasp, CAST(NULL AS VARCHAR) AS decode_error FROM findings WHERE engagement_id = 'eng-1' AND id IN (SELECT min(id) FROM findings WHERE engagement_id = 'eng-1')", "findings")
 def finding_detail(spark, d):
     f = view(spark, d, "findings")
-    first = f.where("engagement_id = 'eng-1'").agg(F.min("id").alias("id"))
-    return f.join(F.broadcast(first), "id", "left_semi").where("engagement_id = 'eng-1'").select("id", "title", "description", "engagement_id")  # one row
+    first = f.where("engagement_id = 'eng-1'").agg(F.min("id")).first()[0]
+    return triage.detail(f, "eng-1", first).select("id", "title", "description", "engagement_id", "severity", "line_end", "owasp", "decode_error")
 
 
 @query("SELECT id, subject, engagement_id, created_at FROM triples WHERE subject ILIKE '%customer-1%' ORDER BY created_at DESC, engagement_id, id LIMIT 20", "triples")
@@ -129,9 +131,11 @@ def language_sets(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("languages"))
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT CASE WHEN doc_id % 5 = 0 THEN 'python' WHEN doc_id % 5 = 1 THEN 'dockerfile' WHEN doc_id % 5 = 2 THEN 'go' END AS language, count(*) AS n FROM documents GROUP BY 1")
 def language_counts(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("doc_id") % 5
+    path = F.when(n == 0, "a/b.PY").when(n == 1, "x/Dockerfile").when(n == 2, "m.go").when(n == 3, "Makefile").otherwise(".hidden")
+    return table(spark, d, "documents").groupBy(files.language(path).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- aggregates --------------------------------------------------------------------------
@@ -240,7 +244,7 @@ FROM (SELECT *, {ASKED} AS s FROM findings)))""", "findings")
 def poc_status_transition(spark, d):
     f = view(spark, d, "findings")
     asked = f.select("engagement_id", "id", F.expr(ASKED).alias("new_status")).where("new_status IS NOT NULL")
-    exhibits = f.where("user_id % 2 = 0").select(F.col("id").alias("finding_id"), F.lit("poc").alias("citation_type"))
+    exhibits = mutate.exhibits(f.where("user_id % 2 = 0").select("engagement_id", F.col("id").alias("finding_id"), F.lit("{}").alias("exhibit")))
     return mutate.set_poc_status(f, asked, exhibits).select("id", "status", "poc_status", "mutation_error")
 
 
@@ -332,18 +336,34 @@ def sink_expand(spark, d):
 
 @query(REACH_SQL + " SELECT source, seed, node AS symbol, min(h) AS hops FROM walk GROUP BY ALL", "edges")
 def bfs_min_hop(spark, d):
-    e = view(spark, d, "edges")
+    e = written(view(spark, d, "edges"), "edges")
     return graph.traverse(e, graph.seeds(e, SOURCES), SINKS).select("source", "seed", "symbol", "hops")
 
 
 @query(REACH_SQL + f" SELECT source, seed, node AS sink, min(h) AS hops FROM walk WHERE {SINK_SQL} GROUP BY ALL", "edges")
 def reachable_sinks(spark, d):
-    e = view(spark, d, "edges")
+    e = written(view(spark, d, "edges"), "edges")
     paths = graph.chains(graph.traverse(e, graph.seeds(e, SOURCES), SINKS))
     return paths.select("source", "seed", "sink", F.size("edges").alias("hops"))
 
 
-@query()
+def _names_guard(c: str) -> str:
+    return f"(contains({c}, 'Authorize') OR contains({c}, 'n7'))"
+
+
+# The scope of a line of o/build.py: its function of 50 lines and five lines above it; line 0 lies in none.
+_SCOPE = """(%s = 'o/build.py' AND EXISTS (SELECT 1 FROM (SELECT unnest([97, 194, 291, 388, 485]) AS g) WHERE g BETWEEN
+CASE WHEN %s < 1 THEN 1 ELSE greatest(1, (%s - 1) // 50 * 50 - 4) END AND CASE WHEN %s < 1 THEN 8 ELSE (%s - 1) // 50 * 50 + 50 END))"""
+
+
+@query(REACH_SQL + f""", nodes AS (SELECT source, seed, node, min(h) AS h FROM walk GROUP BY ALL),
+up AS (SELECT n.source, n.seed, n.node, n.h, min({{'a': from_symbol, 'b': line, 'c': edge_kind, 'd': file_path}}) AS p FROM nodes n JOIN edges e ON e.to_symbol = n.node
+  LEFT JOIN nodes m ON m.source = n.source AND m.seed = n.seed AND m.node = e.from_symbol WHERE (n.h = 1 AND e.from_symbol = n.seed) OR (m.h = n.h - 1 AND NOT {SINK_SQL.replace('node', 'm.node')}) GROUP BY ALL),
+back AS (SELECT source, seed, node AS sink, h AS hops, p AS last_p, p AS first_p, p.a AS at_, {_names_guard('node')} OR {_names_guard('p.a')} AS g FROM up WHERE {SINK_SQL}
+  UNION ALL SELECT b.source, b.seed, b.sink, b.hops, b.last_p, u.p, u.p.a, b.g OR {_names_guard('u.p.a')} FROM back b JOIN up u ON u.source = b.source AND u.seed = b.seed AND u.node = b.at_ WHERE b.at_ <> b.seed)
+SELECT 'TC-0a1b2c3d-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS id, source_file, source_line, sink_file, sink_line, CAST(hops AS INT) AS hop_count,
+  NOT (g OR {_SCOPE % ('source_file', *['source_line'] * 4)} OR {_SCOPE % ('sink_file', *['sink_line'] * 4)}) AS unguarded
+FROM (SELECT first_p.d AS source_file, first_p.b AS source_line, last_p.d AS sink_file, last_p.b AS sink_line, hops, g, row_number() OVER (ORDER BY seed, sink, hops, source) AS n FROM back WHERE at_ = seed)""", "edges")
 def taint_chains(spark, d):
     e = view(spark, d, "edges")
     lines = spark.createDataFrame([("o/build.py", n, "checked = Authorize(user)" if n % 97 == 0 else "x = y") for n in range(1, 501)], "file_path string, line int, content string")
@@ -380,9 +400,9 @@ def text_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", S.cut_chars(F.col("text"), 600).alias("text"))
 
 
-@query("""SELECT doc_id, length(regexp_extract(hex(encode(text))[1 : 2 * 4096], '^((?:[0-7].|C.[89AB].|D.[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)*)', 1)) / 2 AS n_bytes FROM documents""")
+@query("""SELECT doc_id, decode(unhex(regexp_extract(hex(encode(text))[1 : 2 * 4096], '^((?:[0-7].|C.[89AB].|D.[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)*)', 1))) AS text FROM documents""")
 def byte_truncate(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.octet_length(S.cut_bytes(F.col("text"), 4096)).cast("double").alias("n_bytes"))
+    return table(spark, d, "documents").select("doc_id", S.cut_bytes(F.col("text"), 4096).alias("text"))
 
 
 @query("""SELECT doc_id, coalesce((SELECT string_agg(CAST(i AS VARCHAR) || ': ' || l[i], chr(10) ORDER BY i) FROM (SELECT unnest(range(2, 5)) AS i) WHERE i <= len(l)), '') AS lines
@@ -429,10 +449,3 @@ def knn_each(spark, d):
 @query("SELECT journal, ordinal, prev_hash = coalesce(lag(entry_hash) OVER (PARTITION BY journal ORDER BY ordinal), repeat('0', 64)) AS link_ok FROM journal", "journal")
 def journal_links(spark, d):
     return journal.links(view(spark, d, "journal"), body=F.col("text")).select("journal", "ordinal", "link_ok")
-
-
-@query("""SELECT journal, min(ordinal) FILTER (NOT ok) AS first_bad, CASE WHEN min(ordinal) FILTER (NOT ok) IS NULL THEN count(*) ELSE count(*) FILTER (ordinal < fb) END AS n_valid
-FROM (SELECT *, min(CASE WHEN NOT ok THEN ordinal END) OVER (PARTITION BY journal) AS fb FROM (SELECT journal, ordinal, prev_hash = coalesce(lag(entry_hash) OVER (PARTITION BY journal ORDER BY ordinal), repeat('0', 64)) AS ok FROM journal)) GROUP BY journal""", "journal")
-def journal_first_break(spark, d):
-    checked = journal.links(view(spark, d, "journal"), body=F.col("text")).withColumn("hash_ok", F.lit(True))
-    return journal.first_break(checked)
