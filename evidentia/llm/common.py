@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia import scratch
+from evidentia.numbering import number_within  # noqa: F401  used by the operators here
 
 #: Bytes of an Arrow batch at most.
 BATCH_BYTES = 4 << 20
@@ -89,36 +90,6 @@ def join_by_count(rows: DataFrame, keyed: DataFrame, key: list[str], total: int
     return both.select(*rows.columns, *(F.coalesce(f"_heavy.{v}", f"_light.{v}").alias(v) for v in values))
 
 
-def number_within(df: DataFrame, group: list[str], order: list[str], name: str, scratch: Scratch, rows_a_bucket: int = 50_000) -> DataFrame:
-    """Add ``name``: a gapless number from 0 for the rows of each group.
-
-    No task ever holds a whole group: rows are dealt to hash buckets of
-    ``order``, each bucket is numbered by itself, and the counts of the buckets
-    before it are added. A bucket of the largest group has about
-    ``rows_a_bucket`` rows, or a thousandth of all rows where that is less.
-    ``order`` must tell rows apart for a number that does not depend on the
-    run; rows equal in it are numbered in any order. Groups are not null.
-    ``df`` is read three times, so it should be a written table.
-    """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
-    each = max(200, min(rows_a_bucket, (sizes["all"] or 0) // 1000))
-    buckets = max(1, -(-(sizes["most"] or 0) // each))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = dealt.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*group, "_bucket"]
-    starts = scratch.keep(
-        counts.select(*(F.col(k).alias(f"_s_{k}") for k in keys), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")),
-        f"starts_{name}",
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    numbered = dealt.withColumn("_at", F.row_number().over(inside) - 1)
-    on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_s_{k}") for k in keys))
-    # the starts grow with the rows, so they are merged, along the windows' partitioning, not broadcast
-    found = numbered.join(starts.hint("merge"), on).withColumn(name, F.col("_at") + F.col("_start"))
-    return found.drop("_bucket", "_at", "_start", *(f"_s_{k}" for k in keys))
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
