@@ -62,3 +62,39 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_on_untidy_rows(spark, tmp_path):
+    """Null and repeated ids, null, blank and very long texts, and names that the operators use themselves."""
+    names = ["_score", "_found", "_row", "_id", "_fp", "doc", "row", "found", "kept", "packed"]
+    say = lambda a, b, w="w": " ".join(f"{w}{i}" for i in range(a, b))
+    texts = [
+        (1, say(0, 300)), (2, say(0, 300)), (2, say(500, 700) + " " + say(100, 200)), (2, say(900, 999)), (None, say(2000, 2100)), (None, say(2000, 2100)),
+        (None, None), (3, ""), (4, " \n"), (5, "one"), (6, "long " * 60_000), (7, say(0, 300).upper()), (7, say(900, 999)),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *names) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    empty = {name: stage(spark, docs.limit(0), SF) for name, stage in corpus_pipeline.STAGES}
+    assert all(df.collect() == [] for df in empty.values())
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        kept[name] = out.collect()
+        assert all([r[n] for n in names] == names for r in kept[name])
+    rows = lambda name: sorted(str((r.doc_id, r.text)) for r in kept[name])
+    machine = quality.train(docs, documents(spark, SF, "labels"))
+    assert rows("quality") == sorted(str((d, t)) for d, t in texts if machine.score(t) >= 0.3)
+    groups = {}
+    for i, (d, t) in enumerate(texts):
+        groups.setdefault(brute_print(t), []).append((d is None, d or 0, i))
+    near = lambda p, q: (p ^ q).bit_count() <= 3
+    assert not any(near(p, q) for p in groups for q in groups if p < q)  # no chains here: a fingerprint is a group
+    assert len(kept["near_duplicates"]) == len(groups)
+    assert sorted(str(r.doc_id) for r in kept["near_duplicates"]) == sorted(str(texts[min(g)[2]][0]) for g in groups.values())
+    assert rows("decontamination") == sorted(map(str, texts))
+    cut = sorted(str(x) for x in kept["substrings"])
+    left = {(str(r.doc_id), r.text) for r in kept["substrings"]}
+    assert len(cut) == len(texts) - 2  # the copies of document 1 and of the first text of 900 to 999 are gone
+    assert ("2", say(500, 700)) in left and ("2", say(900, 999)) in left and ("None", None) in left and ("6", "long " * 60_000) in left
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {str(r.doc_id) for r in packed} == {str(d) for d, _ in texts} and sum(r.piece == 0 for r in packed) == len(texts)
