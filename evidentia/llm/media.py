@@ -4,8 +4,8 @@ Texts are stored as 8-bit samples: 64 bytes are one 8 by 8 grey frame of an
 uncompressed video track. The reader is general: it walks nested boxes of any
 ISO media file, decodes the sample tables (durations, sizes, chunks, offsets,
 sync samples) and returns codec, duration and the byte ranges of keyframes
-without touching the payloads. Samples in movie fragments are not decoded: a
-file with fragments is an error, not a file with fewer samples.
+without touching the payloads. Samples of movie fragments (moof, traf, trun)
+follow those of the sample tables, in the order of the fragments.
 """
 
 from __future__ import annotations
@@ -147,29 +147,110 @@ def sample_ranges(data: memoryview, table: dict[bytes, tuple[int, int]]) -> tupl
     return chunks[chunk] + before - before[np.minimum(begins[chunk], n - 1)], lengths
 
 
+#: Fixed by the format: what a track fragment's header and run say, by flag.
+BASE, DESCRIPTION, DURATION, SIZE, FLAGS, FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_AT, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NOT_SYNC = 0x10000
+
+
+def fragment_samples(data: memoryview, start: int, first: int, end: int, defaults: dict[int, tuple[int, int, int]]) -> dict[int, list[np.ndarray]]:
+    """Rows (offset, length, duration, is key) by track of the moof box that begins at
+    ``start``, whose body is ``first`` to ``end``; ``defaults`` are those of trex."""
+    found: dict[int, list[np.ndarray]] = {}
+    previous = start
+    for kind, a, b in boxes(data, first, end):
+        if kind != b"traf":
+            continue
+        track, base, duration, size, flags, at = 0, start, 0, 0, 0, None
+        for inner, x, y in boxes(data, a, b):
+            told = struct.unpack_from(">I", data, x)[0] & 0xFFFFFF
+            if inner == b"tfhd":
+                (track,) = struct.unpack_from(">I", data, x + 4)
+                duration, size, flags = defaults.get(track, (0, 0, 0))
+                p = x + 8
+                base = start if told & FROM_MOOF else previous
+                if told & BASE:
+                    (base,) = struct.unpack_from(">Q", data, p)
+                    p += 8
+                p += 4 * bool(told & DESCRIPTION)
+                if told & DURATION:
+                    (duration,) = struct.unpack_from(">I", data, p)
+                    p += 4
+                if told & SIZE:
+                    (size,) = struct.unpack_from(">I", data, p)
+                    p += 4
+                if told & FLAGS:
+                    (flags,) = struct.unpack_from(">I", data, p)
+            elif inner == b"trun":
+                (n,) = struct.unpack_from(">I", data, x + 4)
+                p, own_first = x + 8, None
+                if told & RUN_AT:
+                    at = base + struct.unpack_from(">i", data, p)[0]
+                    p += 4
+                if told & RUN_FIRST:
+                    (own_first,) = struct.unpack_from(">I", data, p)
+                    p += 4
+                columns = [f for f in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if told & f]
+                if p + 4 * n * len(columns) > y:
+                    raise ValueError("a run of samples is cut off")
+                rows = np.frombuffer(data, ">u4", n * len(columns), p).astype(np.int64).reshape(n, len(columns)) if columns else np.zeros((n, 0), np.int64)
+                of = lambda f, other: rows[:, columns.index(f)] if f in columns else np.full(n, other, np.int64)
+                lengths, marks = of(RUN_SIZE, size), of(RUN_FLAGS, flags).copy()
+                if own_first is not None and n:
+                    marks[0] = own_first
+                offsets = (base if at is None else at) + np.cumsum(lengths) - lengths
+                at = int(offsets[-1] + lengths[-1]) if n else at
+                previous = at if at is not None else previous
+                found.setdefault(track, []).append(np.stack([offsets, lengths, of(RUN_DURATION, duration), (marks & NOT_SYNC) == 0], axis=1))
+    return found
+
+
 def describe(file: bytes) -> list[dict]:
-    """Tracks of an ISO media file; raises ValueError where it is malformed or fragmented."""
+    """Tracks of an ISO media file; raises ValueError where it is malformed."""
     data = memoryview(file)
     tracks: dict[tuple, dict[bytes, tuple[int, int]]] = {}
     try:
+        defaults: dict[int, tuple[int, int, int]] = {}
+        moofs, start = [], 0
+        for kind, a, b in boxes(data, 0, len(data)):
+            if kind == b"moof":
+                moofs.append((start, a, b))
+            start = b
         for path, a, b in walk(data, 0, len(data)):
-            if path[-1][0] == b"moof":
-                raise ValueError("fragmented: samples in moof boxes are not decoded")
             if len(path) > 2 and path[0][0] == b"moov" and path[1][0] == b"trak":
                 tracks.setdefault(path[:2], {})[path[-1][0]] = (a, b)
+            elif [k for k, _ in path] == [b"moov", b"mvex", b"trex"]:
+                track, _, *rest = struct.unpack_from(">5I", data, a + 4)
+                defaults[track] = tuple(rest)
+        parts: dict[int, list[np.ndarray]] = {}
+        for at in moofs:
+            for track, rows in fragment_samples(data, *at, defaults).items():
+                parts.setdefault(track, []).extend(rows)
         out = []
         for found in tracks.values():
             at = found[b"mdhd"][0]
             scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
+            track = None
+            if parts:
+                header = found[b"tkhd"][0]
+                (track,) = struct.unpack_from(">I", data, header + (20 if data[header] else 12))
             offsets, lengths = sample_ranges(data, found)
-            if len(offsets) and (offsets + lengths).max() > len(data):
-                raise ValueError("a sample lies outside the file")
             steps = _table(data, *found[b"stts"], ">u4", 2)
+            length = int((steps[:, 0] * steps[:, 1]).sum())
             keys = _table(data, *found[b"stss"], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(len(offsets))
+            if track in parts:
+                rows = np.concatenate(parts[track])
+                keys = np.concatenate([keys, len(offsets) + np.flatnonzero(rows[:, 3])])
+                offsets, lengths = np.concatenate([offsets, rows[:, 0]]), np.concatenate([lengths, rows[:, 1]])
+                length += int(rows[:, 2].sum())
+            if len(offsets) and offsets.min() < 0:
+                raise ValueError("a sample lies outside the file")
+            if len(offsets) and (offsets + lengths).max() > len(data):
+                raise ValueError("a sample lies outside the file")
             out.append({
                 "handler": bytes(data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12]).decode("latin-1"),
                 "codec": bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1"),
-                "timescale": scale, "duration": int((steps[:, 0] * steps[:, 1]).sum()) or duration,
+                "timescale": scale, "duration": length or duration,
                 "samples": len(offsets), "sample_bytes": int(lengths.sum()), "offsets": offsets, "lengths": lengths,
                 "keyframes": [{"offset": int(offsets[k]), "length": int(lengths[k])} for k in keys],
             })
@@ -217,8 +298,8 @@ def _tables(found: list[dict]) -> list[dict]:
 
 def tracks(file: Column) -> Column:
     """Struct of ``tracks`` and ``error`` for a column of ISO media files. A null,
-    malformed or fragmented file, and one without a track, has no tracks and an
-    error that says why. Payloads are not touched."""
+    malformed file, and one without a track, has no tracks and an error that says
+    why. Payloads are not touched."""
 
     @arrow_udf(f"struct<tracks:array<{TRACK}>,error:string>")
     def of(column: pa.Array) -> pa.Array:

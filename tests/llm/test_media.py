@@ -61,15 +61,38 @@ def test_columns(spark):
     assert media.catalogue(media.store(docs.limit(0), Scratch(spark, "t"))).collect() == []
 
 
-def test_fragmented_files_are_an_error(spark):
+def test_fragments(spark):
+    """Samples of fragments follow those of the tables: offsets from the moof box, by defaults, and run by run."""
     import struct
 
-    box = lambda kind, body=b"": struct.pack(">I4s", 8 + len(body), kind) + body
-    fragment = box(b"moof", box(b"traf")) + box(b"mdat", b"x" * 64)
-    files = [(media.encode(b""), "empty"), (media.encode(b"") + fragment, "cut"), (media.encode(b"y" * 640) + fragment, "cut")]
-    got = spark.createDataFrame(files, "file binary, kind string").select("kind", media.tracks("file").alias("t")).collect()
-    for r in got:
-        assert (r.t.error is None) == (r.kind == "empty") and (r.kind == "empty" or r.t.tracks is None and "fragmented" in r.t.error)
+    full = lambda kind, flags, *numbers: media.full(kind, struct.pack(f">{len(numbers)}I", *numbers), flags=flags)
+
+    def fragment(payload, sizes, last, **how):
+        """A moof with one track fragment in two runs, and its mdat."""
+        half = len(sizes) // 2
+        head = [full(b"tfhd", 0x20000 | 0x8 | 0x20, 1, 5, 0x10000)] if how.get("flags") else [full(b"tfhd", 0x20000, 1)]
+        rows = lambda part: [x for s in part for x in (s,)]
+
+        def moof(at):
+            one = full(b"trun", 0x1 | 0x4 | 0x200, half, at, 0, *rows(sizes[:half]))
+            two = full(b"trun", 0x200, len(sizes) - half, *rows(sizes[half:]))
+            return media.box(b"moof", full(b"mfhd", 0, 1), media.box(b"traf", *head, one, two))
+
+        return moof(len(moof(0)) + 8) + media.box(b"mdat", payload) + last
+
+    whole = media.encode(b"a" * 640)
+    tables = media.describe(whole)[0]
+    body = bytes(range(200))
+    cut = whole + fragment(body, [10, 20, 30, 140], b"", flags=True) + media.box(b"free", b"x")
+    track = media.describe(cut)[0]
+    assert track["samples"] == tables["samples"] + 4 and media.payload_of(cut, track) == b"a" * 640 + body
+    assert track["duration"] == tables["duration"] + 20 and track["keyframes"][: len(tables["keyframes"])] == tables["keyframes"]
+    assert [k["length"] for k in track["keyframes"][len(tables["keyframes"]) :]] == [10]  # of the others the defaults say that they are no key
+    plain = media.describe(whole + fragment(body, [100, 100], b""))[0]
+    assert plain["samples"] == tables["samples"] + 2 and len(plain["keyframes"]) == len(tables["keyframes"]) + 2
+    bad = [whole + fragment(body, [100, 10_000], b""), whole + media.box(b"moof", media.box(b"traf", full(b"tfhd", 0, 1), full(b"trun", 0x200, 9))), cut[:-40]]
+    got = spark.createDataFrame([(f,) for f in bad], "f binary").select(media.tracks("f").alias("t")).collect()
+    assert all(r.t.tracks is None and r.t.error for r in got)
 
 
 def test_catalogue_of_bad_files(spark):
