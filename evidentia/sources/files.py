@@ -6,10 +6,11 @@ import os
 import subprocess
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import cases
+from evidentia.scratch import Scratch
 
 # Folders that are never read, languages by extension, and the names that give tools and frameworks away.
 IGNORED = [
@@ -42,21 +43,53 @@ IAC_NAMES = [
 IAC_FOLDERS = r"^(k8s|kubernetes|helm|manifests|\.github/workflows)/|/(k8s|kubernetes|helm)/"
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """Names and lengths of the files below a root (a URI): ``path`` (relative), ``length``.
+
+    Folders are listed by tasks, a level of the tree at a time; ignored ones
+    are left out before they are entered. The driver sees a number a level."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    ignored = frozenset(IGNORED)
+
+    def below(batches):
+        store, base = fs.FileSystem.from_uri(root)
+        base, local = base.rstrip("/"), isinstance(store, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                found = [f for f in found if f.base_name not in ignored and f.type in (fs.FileType.File, fs.FileType.Directory)]
+                found = [f for f in found if f.type == fs.FileType.File or not (local and os.path.islink(f.path))]  # links may lead back up
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f.path[len(base) + 1 :] for f in found], pa.string()), pa.array([f.size or 0 for f in found], pa.int64()),
+                    pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()),
+                ], names=["path", "length", "folder"])
+
+    scratch = Scratch(spark, "listing")
+    folders, n, parts = spark.createDataFrame([("",)], "path string"), 1, []
+    while n:
+        told = Observation()
+        level = folders.repartition(max(1, min(n // 64, 1000))).mapInArrow(below, "path string, length long, folder boolean")
+        level = scratch.keep(level.observe(told, F.count_if("folder").alias("n")), f"level_{len(parts)}")
+        parts.append(level.where(~F.col("folder")).select("path", "length"))
+        folders, n = level.where("folder").select("path"), told.get["n"] or 0
+    return reduce(DataFrame.unionByName, parts)
+
+
 def scan(spark: SparkSession, root: str, bytes_a_task: int = 64 << 20) -> DataFrame:
     """Files below a root (a path or URI): ``path`` (relative), ``content``, ``length``.
 
     Ignored folders are pruned. Spark's own file sources hide names that begin
-    with ``_`` or ``.``, which source trees need, so names are listed here and
-    tasks read the files of their share."""
+    with ``_`` or ``.``, which source trees need, so names are listed by
+    :func:`listed` and tasks read the files of their share."""
     import pyarrow as pa
     from pyarrow import fs
 
     uri = root if "://" in root else f"file://{os.path.abspath(root)}"
-    store, base = fs.FileSystem.from_uri(uri)
-    base = base.rstrip("/")
-    listed = [(f.path[len(base) + 1 :], f.size) for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
-    names = pruned(spark.createDataFrame(listed, "path string, length long"))
-    tasks = max(1, min(len(listed), -(-sum(n for _, n in listed) // bytes_a_task)))
+    names = listed(spark, uri)
+    n, size = names.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(n, -(-size // bytes_a_task)))
 
     def read(batches):
         own, at = fs.FileSystem.from_uri(uri)

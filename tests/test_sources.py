@@ -116,3 +116,21 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == n
+
+
+def test_listing_prunes_before_it_enters(spark, tmp_path):
+    import os
+
+    for name in ("a.py", "_b/.c/d.rs", "node_modules/deep/e.js", "f/target/g.rs", "f/h"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" * len(name))
+    os.symlink(tmp_path, tmp_path / "f" / "loop")
+    (tmp_path / "node_modules" / "deep").chmod(0)
+    try:
+        got = sorted((r.path, r.length) for r in files.listed(spark, f"file://{tmp_path}").collect())
+    finally:
+        (tmp_path / "node_modules" / "deep").chmod(0o755)
+    assert got == [("_b/.c/d.rs", 10), ("a.py", 4), ("f/h", 3)]
+    (tmp_path / "empty").mkdir()
+    assert files.scan(spark, str(tmp_path / "empty")).collect() == []
