@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, packing, quality, sharding, simhash, substrings, tokencounts, warc
+from . import decontaminate, infill, licenses, media, packing, quality, sharding, simhash, substrings, tokencounts, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc_normaliser": warc.oracle_sql(),
     "op7_substring_dedup": substrings.oracle_sql(),
     "op9_decontaminate": decontaminate.oracle_sql(),
+    "op13_fill_in_middle": infill.oracle_sql(),
 }
