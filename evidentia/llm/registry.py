@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontaminate, infill, licenses, media, packing, quality, sharding, simhash, substrings, tokencounts, warc
+from . import centroids, decontaminate, infill, licenses, media, packing, quality, sharding, simhash, substrings, tokencounts, urls, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_elkan_clusters": centroids.op11_elkan_clusters,
+    "op12_url_filter": urls.op12_url_filter,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": substrings.oracle_sql(),
     "op9_decontaminate": decontaminate.oracle_sql(),
     "op11_elkan_clusters": centroids.oracle_sql(),
+    "op12_url_filter": urls.oracle_sql(),
     "op13_fill_in_middle": infill.oracle_sql(),
 }
