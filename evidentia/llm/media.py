@@ -26,7 +26,7 @@ from .common import Scratch, documents, utf8
 FRAME, CHUNK_FRAMES, KEY_EVERY, TIMESCALE = 64, 16, 16, 25
 #: Fixed by the format: boxes that hold boxes, and 64-bit limits.
 CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"moof", b"traf", b"mvex"])
-SHORT = 1 << 32
+SHORT, LONG = 1 << 32, 1 << 63
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 TRACK = "struct<handler:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,sample_bytes:bigint,keyframes:array<struct<offset:bigint,length:bigint>>>"
 
@@ -118,32 +118,53 @@ def walk(data: memoryview, first: int, end: int, path: tuple = ()) -> Iterator[t
             yield from walk(data, a, b, here)
 
 
+class Room:
+    """How many samples a file can still have. What a table claims is held against the
+    bytes of the file before anything is allocated for it: a sample has a byte
+    of its own, or an entry in a table; samples that share bytes are refused."""
+
+    def __init__(self, size: int) -> None:
+        self.size = self.left = size
+
+    def take(self, samples: int, each: int = 0) -> None:
+        self.left -= samples
+        if self.left < 0 or samples * each > self.size:
+            raise ValueError("more samples than the file has bytes")
+
+
 def _table(data: memoryview, at: int, end: int, kind: str, width: int = 1) -> np.ndarray:
-    """Entries of a table box: a count and rows of ``width`` big-endian numbers."""
+    """Entries of a table box: a count and rows of ``width`` big-endian numbers. Numbers
+    too large for a signed long become the largest one that is safe to add to."""
     (n,) = struct.unpack_from(">I", data, at + 4)
     size = np.dtype(kind).itemsize * width
     if at + 8 + n * size > end:
         raise ValueError("a table is cut off")
-    return np.frombuffer(data, kind, n * width, at + 8).astype(np.int64).reshape(n, width)
+    found = np.frombuffer(data, kind, n * width, at + 8)
+    return np.minimum(found, 1 << 62).astype(np.int64).reshape(n, width) if kind == ">u8" else found.astype(np.int64).reshape(n, width)
 
 
-def sample_ranges(data: memoryview, table: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def sample_ranges(data: memoryview, table: dict[bytes, tuple[int, int]], room: Room) -> tuple[np.ndarray, np.ndarray]:
     """Offset and length of every sample, from the tables of one track."""
     a, end = table[b"stsz"]
     fixed, n = struct.unpack_from(">II", data, a + 4)
+    room.take(n, fixed)
     lengths = np.full(n, fixed, np.int64) if fixed else _table(data, a + 4, end, ">u4")[:, 0]
     wide = b"co64" in table
     chunks = _table(data, *table[b"co64" if wide else b"stco"], ">u8" if wide else ">u4")[:, 0]
     runs = _table(data, *table[b"stsc"], ">u4", 3)
     if not n:
         return lengths, lengths
-    until = np.concatenate([runs[1:, 0] - 1, [len(chunks)]])
-    each = np.repeat(runs[:, 1], until - runs[:, 0] + 1)
-    if each.sum() < n:
+    firsts = runs[:, 0]
+    if not len(runs) or firsts[0] != 1 or (firsts[1:] <= firsts[:-1]).any() or firsts[-1] > len(chunks):
+        raise ValueError("runs of chunks are not in order")
+    until = np.concatenate([firsts[1:] - 1, [len(chunks)]])
+    each = np.minimum(np.repeat(runs[:, 1], until - firsts + 1), n)
+    through = np.cumsum(each)
+    if through[-1] < n:
         raise ValueError("chunks hold fewer samples than there are")
-    chunk = np.repeat(np.arange(len(each)), each)[:n]
+    chunk = np.searchsorted(through, np.arange(n), side="right")
     before = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    begins = np.concatenate([[0], np.cumsum(each)[:-1]])
+    begins = through - each
     return chunks[chunk] + before - before[np.minimum(begins[chunk], n - 1)], lengths
 
 
@@ -153,7 +174,7 @@ RUN_AT, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x10
 NOT_SYNC = 0x10000
 
 
-def fragment_samples(data: memoryview, start: int, first: int, end: int, defaults: dict[int, tuple[int, int, int]]) -> dict[int, list[np.ndarray]]:
+def fragment_samples(data: memoryview, start: int, first: int, end: int, defaults: dict[int, tuple[int, int, int]], room: Room) -> dict[int, list[np.ndarray]]:
     """Rows (offset, length, duration, is key) by track of the moof box that begins at
     ``start``, whose body is ``first`` to ``end``; ``defaults`` are those of trex."""
     found: dict[int, list[np.ndarray]] = {}
@@ -193,21 +214,35 @@ def fragment_samples(data: memoryview, start: int, first: int, end: int, default
                 columns = [f for f in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if told & f]
                 if p + 4 * n * len(columns) > y:
                     raise ValueError("a run of samples is cut off")
+                room.take(n, 0 if RUN_SIZE in columns else size)
                 rows = np.frombuffer(data, ">u4", n * len(columns), p).astype(np.int64).reshape(n, len(columns)) if columns else np.zeros((n, 0), np.int64)
                 of = lambda f, other: rows[:, columns.index(f)] if f in columns else np.full(n, other, np.int64)
                 lengths, marks = of(RUN_SIZE, size), of(RUN_FLAGS, flags).copy()
                 if own_first is not None and n:
                     marks[0] = own_first
-                offsets = (base if at is None else at) + np.cumsum(lengths) - lengths
+                origin = base if at is None else at
+                if n and not 0 <= origin <= len(data):
+                    raise ValueError("a sample lies outside the file")
+                offsets = (origin if n else 0) + np.cumsum(lengths) - lengths
                 at = int(offsets[-1] + lengths[-1]) if n else at
                 previous = at if at is not None else previous
                 found.setdefault(track, []).append(np.stack([offsets, lengths, of(RUN_DURATION, duration), (marks & NOT_SYNC) == 0], axis=1))
     return found
 
 
+def _duration(steps: np.ndarray, more: int) -> int:
+    """The sum of a table of (samples, duration), and more."""
+    total = more + sum(n * step for n, step in steps.tolist())
+    if total >= LONG:
+        raise ValueError("a duration is too large")
+    return total
+
+
 def describe(file: bytes) -> list[dict]:
-    """Tracks of an ISO media file; raises ValueError where it is malformed."""
-    data = memoryview(file)
+    """Tracks of an ISO media file; raises ValueError where it is malformed, and where its
+    tables claim more samples, or samples of more bytes, than the file has. The
+    duration is null where the file says that it is unknown."""
+    data, room = memoryview(file), Room(len(file))
     tracks: dict[tuple, dict[bytes, tuple[int, int]]] = {}
     try:
         defaults: dict[int, tuple[int, int, int]] = {}
@@ -224,29 +259,37 @@ def describe(file: bytes) -> list[dict]:
                 defaults[track] = tuple(rest)
         parts: dict[int, list[np.ndarray]] = {}
         for at in moofs:
-            for track, rows in fragment_samples(data, *at, defaults).items():
+            for track, rows in fragment_samples(data, *at, defaults, room).items():
                 parts.setdefault(track, []).extend(rows)
         out = []
         for found in tracks.values():
             at = found[b"mdhd"][0]
             scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
+            if duration == (1 << 64 if data[at] else SHORT) - 1:
+                duration = None
+            elif duration >= LONG:
+                raise ValueError("a duration is too large")
             track = None
             if parts:
                 header = found[b"tkhd"][0]
                 (track,) = struct.unpack_from(">I", data, header + (20 if data[header] else 12))
-            offsets, lengths = sample_ranges(data, found)
+            offsets, lengths = sample_ranges(data, found, room)
             steps = _table(data, *found[b"stts"], ">u4", 2)
-            length = int((steps[:, 0] * steps[:, 1]).sum())
+            length = _duration(steps, 0)
             keys = _table(data, *found[b"stss"], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(len(offsets))
             if track in parts:
                 rows = np.concatenate(parts[track])
                 keys = np.concatenate([keys, len(offsets) + np.flatnonzero(rows[:, 3])])
                 offsets, lengths = np.concatenate([offsets, rows[:, 0]]), np.concatenate([lengths, rows[:, 1]])
-                length += int(rows[:, 2].sum())
+                length = _duration(steps, int(rows[:, 2].sum()))
             if len(offsets) and offsets.min() < 0:
                 raise ValueError("a sample lies outside the file")
             if len(offsets) and (offsets + lengths).max() > len(data):
                 raise ValueError("a sample lies outside the file")
+            if lengths.sum() > len(data):
+                raise ValueError("samples share bytes")
+            if len(keys) and not 0 <= keys.min() <= keys.max() < len(offsets):
+                raise ValueError("a keyframe is no sample")
             out.append({
                 "handler": bytes(data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12]).decode("latin-1"),
                 "codec": bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1"),
@@ -255,7 +298,7 @@ def describe(file: bytes) -> list[dict]:
                 "keyframes": [{"offset": int(offsets[k]), "length": int(lengths[k])} for k in keys],
             })
         return out
-    except (struct.error, KeyError, IndexError) as e:
+    except (struct.error, KeyError, IndexError, OverflowError, MemoryError) as e:
         raise ValueError(f"malformed: {e!r}") from e
 
 
@@ -299,7 +342,7 @@ def _tables(found: list[dict]) -> list[dict]:
 def tracks(file: Column) -> Column:
     """Struct of ``tracks`` and ``error`` for a column of ISO media files. A null,
     malformed file, and one without a track, has no tracks and an error that says
-    why. Payloads are not touched."""
+    why; so does one whose numbers claim more than it holds. Payloads are not touched."""
 
     @arrow_udf(f"struct<tracks:array<{TRACK}>,error:string>")
     def of(column: pa.Array) -> pa.Array:

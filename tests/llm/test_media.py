@@ -106,3 +106,67 @@ def test_catalogue_of_bad_files(spark):
         else:
             assert r.error and r.track is None and r.payload_sha256 is None and r.tail_crc32 is None
             assert (r.media_sha256 is None) == (r.doc_id == 1)
+
+
+def hostile():
+    """Small files whose numbers claim far more than they hold: (name, bytes)."""
+    top, wide = 2**32 - 1, 2**64 - 1
+
+    def movie(stsz=(4, 2), stsc=((1, 2, 1),), co64=(0,), stts=((2, 1),), stss=None, mdhd=None, extra=b"", traks=1):
+        tables = [
+            media.full(b"stsd", struct.pack(">I", 1), media.box(b"raw ", bytes(78))), media.full(b"stts", struct.pack(">I", len(stts)), *(struct.pack(">II", *x) for x in stts)),
+            media.full(b"stsc", struct.pack(">I", len(stsc)), *(struct.pack(">III", *x) for x in stsc)), media.full(b"stsz", struct.pack(">II", *stsz)),
+            media.full(b"co64", struct.pack(f">I{len(co64)}Q", len(co64), *co64)), *([media.full(b"stss", struct.pack(f">I{len(stss)}I", len(stss), *stss))] if stss else []),
+        ]
+        head = media.full(b"mdhd", struct.pack(">QQIQHH", 0, 0, 25, mdhd or 2, 0, 0), version=1)
+        trak = media.box(b"trak", media.full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, 2)), media.box(b"mdia", head, media.full(b"hdlr", bytes(4), b"vide", bytes(13)), media.box(b"minf", media.box(b"stbl", *tables))))
+        return media.box(b"moov", *[trak] * traks) + extra
+
+    def fragment(base, n, size=0):
+        head = media.full(b"tfhd", struct.pack(">IQI", 1, base, size), flags=0x1 | 0x10)
+        return media.box(b"moof", media.box(b"traf", head, media.full(b"trun", struct.pack(">I", n))))
+
+    good = movie()
+    assert len(media.describe(good)[0]["keyframes"]) == 2
+    return [
+        ("samples of a fixed size", movie(stsz=(1, top))), ("samples of a large fixed size", movie(stsz=(top, 2))), ("samples a chunk", movie(stsc=((1, top, 1),), stsz=(1, top))),
+        ("chunks of a run", movie(stsc=((1, 1, 1), (top, 1, 1)))), ("runs out of order", movie(stsc=((1, 1, 1), (1, 1, 1)))), ("run of no chunk", movie(stsc=((0, 2, 1),))),
+        ("run of samples", good + fragment(0, top)), ("run of sized samples", good + fragment(0, top, 1)), ("many runs", good + fragment(0, 200) * 60), ("base", good + fragment(wide, 1)),
+        ("base of a long", good + fragment(2**63 - 1, 1, 1)), ("chunk offset", movie(co64=(2**63 - 10,), stsz=(100, 1), stsc=((1, 1, 1),))), ("chunk offset beyond a long", movie(co64=(wide,))),
+        ("long durations", movie(stts=((top, top), (top, top)))), ("a duration beyond a long", movie(stts=((0, 0),), mdhd=2**63)), ("key before the first", movie(stss=(0,))),
+        ("key after the last", movie(stss=(3,))), ("overlapping samples", movie(stsz=(0, 0), extra=b"") + fragment(0, 60, 300)), ("tracks that share all bytes", movie(stsz=(1, 2000), stsc=((1, 2000, 1),), traks=40)),
+    ]
+
+
+def test_hostile_files_are_rows_with_an_error(spark):
+    """Each in a process that may not take much memory: 32 GiB are asked for otherwise."""
+    import resource
+
+    def read(rows):
+        limit = resource.getrlimit(resource.RLIMIT_AS)
+        resource.setrlimit(resource.RLIMIT_AS, (3 << 30, limit[1]))
+        try:
+            for name, file in rows:
+                try:
+                    yield name, str(len(media.describe(bytes(file))))
+                except ValueError as e:
+                    yield name, f"error {e}"
+        finally:
+            resource.setrlimit(resource.RLIMIT_AS, limit)
+
+    files = hostile()
+    for name, told in read(files):
+        assert told.startswith("error") and "malformed" not in told, (name, told)
+    stored = spark.createDataFrame([(i, 0, f) for i, (_, f) in enumerate(files)] + [(99, 0, media.encode(b"fine"))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.catalogue(stored).collect()}
+    assert len(got) == len(files) + 1 and got.pop(99).error is None
+    assert all(r.error and r.track is None and r.payload_sha256 is None and r.media_sha256 for r in got.values())
+
+
+def test_unknown_duration_is_null(spark):
+    for version, wide in ((1, True), (0, False)):
+        numbers = struct.pack(">QQIQ", 0, 0, 25, 2**64 - 1) if wide else struct.pack(">IIII", 0, 0, 25, 2**32 - 1)
+        stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 0)), *(media.full(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")), media.full(b"stsz", struct.pack(">II", 0, 0)))
+        file = media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", numbers, bytes(4), version=version), media.full(b"hdlr", bytes(4), b"vide", bytes(13)), media.box(b"minf", stbl))))
+        (row,) = media.catalogue(spark.createDataFrame([(1, 0, file)], "doc_id long, n_bytes long, media binary")).collect()
+        assert row.error is None and row.track.duration is None and row.track.samples == 0 and row.payload_bytes == 0
