@@ -11,7 +11,8 @@ by hash to blocks of about ``most_windows`` words. A benchmark of one block, the
 usual case, is one pass. A larger one is scanned in passes, a block each: only
 one block is on the driver, and only one automaton in a worker, at a time. A
 pass leaves a row for each document with hits (the first one for each with
-words), and these are merged at the end.
+words); hits are united at the end, and places in the original text follow from
+the united ones, so that they don't depend on the number of passes.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from .common import ASCII_WORDS, Scratch, documents, texts_of, utf8
 WINDOW = 13
 WORD = re.compile(rb"[^ ]+")
 SPANS = "array<struct<start:bigint,end:bigint>>"
+SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 RESULT = f"n_words:bigint,n_hit:bigint,items:array<string>,spans:{SPANS},hits:{SPANS}"
 MOST_WINDOWS = 200_000  # of one automaton: 4.3 kB each
 
@@ -140,21 +142,29 @@ def contamination(text: Column, scanner: Scanner) -> Column:
                     "n_words": n, "n_hit": sum(b - a for a, b in ranges), "items": sorted(i for i in ids if i is not None),
                     "spans": [{"start": a, "end": b} for a, b in original_offsets(t, ranges)], "hits": [{"start": a, "end": b} for a, b in ranges],
                 })
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span), ("hits", span)]))
+        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", SPAN_ARROW), ("hits", SPAN_ARROW)]))
 
     return of.asNondeterministic()(text)
 
 
-def _united(ranges: Column) -> Column:
-    """Merged ranges of an array of ranges, sorted by start."""
-    def put(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))
-        return F.when((F.size(done) > 0) & (r["start"] <= F.try_element_at(done, F.lit(-1))["end"]), joined).otherwise(F.concat(done, F.array(r)))
+def placed(text: Column, hits: Column) -> Column:
+    """Struct of ``n_hit``, ``spans`` and ``hits`` for the hit ranges of words that several
+    automata found in a text: they are united first, and spans are taken from
+    the united ones, as one automaton for all would."""
+    kind = pa.struct([("n_hit", pa.int64()), ("spans", SPAN_ARROW), ("hits", SPAN_ARROW)])
 
-    return F.aggregate(F.array_sort(ranges), F.array().cast(SPANS), put)
+    @arrow_udf(f"struct<n_hit:bigint,spans:{SPANS},hits:{SPANS}>")
+    def of(texts: pa.Array, found: pa.Array) -> pa.Array:
+        rows = []
+        for t, some in zip(texts, found):
+            ranges = merged((r["start"], r["end"]) for r in some.as_py() or [])
+            rows.append({
+                "n_hit": sum(b - a for a, b in ranges), "hits": [{"start": a, "end": b} for a, b in ranges],
+                "spans": [{"start": a, "end": b} for a, b in original_offsets(t.as_py() if ranges else None, ranges)],
+            })
+        return pa.array(rows, kind)
+
+    return of.asNondeterministic()(text, hits)
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
@@ -169,15 +179,12 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_win
     parts = []
     for turn, scanner in enumerate(chain([first, second], all_)):
         found = rows.select("row_id", contamination(F.col("doc.text"), scanner).alias("f")).where((F.col("f.n_words") > 0) & ((F.col("f.n_hit") > 0) | F.lit(turn == 0)))
-        parts.append(scratch.keep(found.select("row_id", "f.*"), f"pass_{turn}"))
-    met = reduce(DataFrame.unionByName, parts).groupBy("row_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        _united(F.flatten(F.collect_list("spans"))).alias("spans"), _united(F.flatten(F.collect_list("hits"))).alias("hits"),
+        parts.append(scratch.keep(found.select("row_id", "f.n_words", "f.items", "f.hits"), f"pass_{turn}"))
+    met = reduce(DataFrame.unionByName, parts).groupBy(F.col("row_id").alias("_row")).agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"),
     )
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    met = met.select(F.col("row_id").alias("_row"), F.struct("n_words", hit.alias("n_hit"), "items", "spans", "hits").alias("found"))
-    none = "named_struct('n_words', 0L, 'n_hit', 0L, 'items', array(), 'spans', array(), 'hits', array())"
-    return rows.join(met, rows.row_id == met._row, "left").select("doc", F.coalesce("found", F.expr(f"CAST({none} AS struct<{RESULT}>)")).alias("found"))
+    joined = rows.join(met, rows.row_id == met._row, "left").select("doc", F.coalesce("n_words", F.lit(0).cast("long")).alias("n"), F.coalesce("items", F.array().cast("array<string>")).alias("i"), placed(F.col("doc.text"), F.col("hits")).alias("p"))
+    return joined.select("doc", F.struct(F.col("n").alias("n_words"), "p.n_hit", F.col("i").alias("items"), "p.spans", "p.hits").alias("found"))
 
 
 def is_contaminated(found: Column) -> Column:

@@ -71,6 +71,19 @@ def test_passes_agree(spark):
     assert kept[0] == kept[1]
 
 
+def test_spans_do_not_depend_on_passes(spark):
+    """Items that touch end to start, overlap or repeat give one span however many automata scan."""
+    say = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    items = [(1, say(0, 13)), (2, say(13, 26)), (3, say(30, 43)), (4, say(36, 49)), (5, say(60, 61))]
+    text = say(0, 26) + " -- " + say(26, 30) + "! " + say(30, 80) + ", w60 w60"
+    docs = [(1, text), (2, "\u00fc " * 50 + text), (3, None), (4, (say(0, 26) + " x ") * 300)]
+    a, b = frames(spark, docs, items)
+    got = [{r.doc_id: (r.n_words, r.n_hit, r["items"], r.spans, r.hits) for r in d.scan(a, b, most_windows=n).collect()} for n in (200_000, 30, 3)]
+    assert len(list(d.scanners(b, most_windows=3))) > 5 and got[0] == got[1] == got[2]
+    assert [tuple(h) for h in got[0][1][4]] == [(0, 26), (30, 49), (60, 61), (80, 82)]
+    assert text.encode()[slice(*got[0][1][3][0])].decode() == say(0, 26) and len(got[0][4][4]) == 300
+
+
 def test_clashing_names(spark):
     docs, items = tables(6)
     names = ["_found", "doc", "found", "row_id", "_row"]
