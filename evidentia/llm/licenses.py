@@ -111,6 +111,7 @@ COMMON = frozenset("a an and any are as at be by can for from in is it of on or
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BITS = 63  # template positions of one word of bits
+WHOLE, NEAR, SINGLE = 0, 1, 2  # parts of an island
 
 
 def seeds_of(words: str, exact: bool) -> list[tuple[int, str]]:
@@ -148,7 +149,9 @@ def spans(
     ``coverage``. A phrase is a span where all its words stand consecutively. A
     notice is a span where diagonals at most ``slack`` apart, one of them with at
     least ``least_votes`` votes, together match the share ``coverage`` of its seeds within
-    twice its length. Null and empty texts have no words and no span; repeated
+    twice its length. Where they do not, as beside a phrase that repeats, the
+    strongest diagonal with those at most ``slack`` from it, and each diagonal by
+    itself, are judged in the same way. Null and empty texts have no words and no span; repeated
     rows are scanned each for themselves; a null doc_id is kept as it is.
     """
     spark = docs.sparkSession
@@ -182,9 +185,21 @@ def spans(
     along = Window.partitionBy("row_id", "template").orderBy("diagonal")
     apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > slack)
     islands = known.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("island", F.sum("_new").over(along))
-    # the window has dealt rows by row_id and template; both aggregates below stay within that
-    island = ["row_id", "doc_id", "n_words", "template", "label", "exact", "n_seeds", "island"]
-    met = islands.select(*island, "diagonal", F.size("hits").alias("votes"), F.explode_outer("hits").alias("at"))
+    # An island of several diagonals is judged as a whole, around its strongest diagonal, and diagonal by
+    # diagonal: repeats that chain to a copy make the whole too wide, but not what is near the copy.
+    within = Window.partitionBy("row_id", "template", "island")
+    islands = islands.withColumn("_size", F.count(F.lit(1)).over(within)).withColumn(
+        "_best", F.max_by("diagonal", F.struct(F.size("hits"), -F.col("diagonal"))).over(within)
+    )
+    part = lambda kind, own: F.struct(F.lit(kind).alias("kind"), own.cast("int").alias("own"))
+    near = F.when(F.abs(F.col("diagonal") - F.col("_best")) <= slack, part(NEAR, F.lit(0)))
+    several = ~F.col("exact") & (F.col("_size") > 1)
+    whole = part(WHOLE, F.lit(0))
+    parts = F.when(several, F.array_compact(F.array(whole, near, part(SINGLE, F.col("diagonal"))))).otherwise(F.array(whole))
+    # the window has dealt rows by row_id and template; the aggregates and windows below stay within that
+    island = ["row_id", "doc_id", "n_words", "template", "label", "exact", "n_seeds", "island", "_best", "part"]
+    judged = islands.withColumn("part", F.explode(parts))
+    met = judged.select(*island, "diagonal", F.size("hits").alias("votes"), F.explode_outer("hits").alias("at"))
     words_ = met.groupBy(*island, F.floor(F.col("at") / BITS).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % BITS).cast("int"))).alias("bits"),
         F.max("votes").alias("most"), F.min(F.col("diagonal") + F.col("at")).alias("start"), F.max(F.col("diagonal") + F.col("at") + 2).alias("end"),
@@ -195,7 +210,14 @@ def spans(
     share = F.col("n") / F.col("n_seeds")
     length = F.col("n") + 1
     holds = F.col("exact") | ((F.col("most") >= F.least("n_seeds", F.lit(least_votes))) & (share >= coverage) & (F.col("end") - F.col("start") <= 2 * F.greatest(length, F.col("n_seeds") + 1)))
-    kept = lambda c: F.when(holds, c)
+    # the whole goes before its parts; around the strongest diagonal the group counts if it says more than that diagonal
+    kind, own = F.col("part.kind"), F.col("part.own")
+    merged = merged.withColumn("_holds", holds).withColumn("_first", F.min(F.when(F.col("_holds"), kind)).over(within))
+    merged = merged.withColumn("_more", F.max(F.when(kind == NEAR, F.col("n"))).over(within) > F.max(F.when((kind == SINGLE) & (own == F.col("_best")), F.col("n")).otherwise(0)).over(within))
+    about = F.abs(own - F.col("_best")) <= slack
+    part_told = F.when(kind == NEAR, F.col("_more")).when(kind == SINGLE, ~(about & F.col("_more") & (F.col("_first") == NEAR))).otherwise(True)
+    told = F.col("_holds") & ((F.col("_first") != WHOLE) | (kind == WHOLE)) & part_told
+    kept = lambda c: F.when(told, c)
     return merged.select(
         "row_id", "doc_id", "n_words", kept(F.col("label")).alias("label"), kept(F.col("exact")).alias("exact"),
         kept(F.col("start")).cast("long").alias("start"), kept(F.col("end")).cast("long").alias("end"), kept(share).alias("coverage"),
@@ -244,8 +266,11 @@ s AS (SELECT * FROM d WHERE NOT exact OR len(hits) = n_seeds),
 a AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {slack}
         THEN 1 ELSE 0 END AS fresh FROM s),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM a),
-m AS (SELECT doc_id, template, label, exact, n_seeds, island, len(list_distinct(flatten(list(hits)))) AS n, max(len(hits)) AS most,
-        min(diagonal + hits[1]) AS b, max(diagonal + hits[-1] + 2) AS e FROM i GROUP BY ALL),
+b AS (SELECT *, count(*) OVER j AS size, max_by(diagonal, (len(hits), -diagonal)) OVER j AS best FROM i WINDOW j AS (PARTITION BY doc_id, template, island)),
+c AS (SELECT *, 0 AS kind, 0 AS own FROM b UNION ALL SELECT *, 1, 0 FROM b WHERE NOT exact AND size > 1 AND abs(diagonal - best) <= {slack}
+  UNION ALL SELECT *, 2, diagonal FROM b WHERE NOT exact AND size > 1),
+m AS (SELECT doc_id, template, label, exact, n_seeds, island, kind, own, len(list_distinct(flatten(list(hits)))) AS n, max(len(hits)) AS most,
+        min(diagonal + hits[1]) AS b, max(diagonal + hits[-1] + 2) AS e FROM c GROUP BY ALL),
 k AS (SELECT *, n / n_seeds AS share FROM m WHERE exact OR
         (most >= least(n_seeds, {least_votes}) AND n / n_seeds >= {coverage} AND e - b <= 2 * greatest(n + 1, n_seeds + 1)))
 SELECT w.doc_id, CAST(len(any_value(words)) AS BIGINT) AS n_words,

@@ -74,3 +74,42 @@ def test_empty(spark):
 def test_native_plan(spark):
     plan = licenses.scan(frame(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+CROWDED = {
+    1: "released under the mit license" + " mit license" * 6, 2: "mit license " * 6 + "released under the mit license", 3: "the mit license " * 40,
+    4: "mit license " * 5 + "released today under the mit license" + " mit license" * 5, 5: "license under the " * 30 + "released under the mit license",
+    6: "licensed under " * 20 + "licensed under the apache license version 2 0 " + "apache license version " * 20, 7: "released under the mit license " * 5,
+    8: "released released under under the the mit mit license license", 9: "under the mit license",
+}
+
+
+def test_copies_next_to_repeated_phrases(spark):
+    """A copy is found beside repeats that chain to it, before, after and around it."""
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, CROWDED.items())).collect()}
+    assert {i: got[i].labels for i in (1, 2, 4, 5, 7)} == dict.fromkeys((1, 2, 4, 5, 7), "mit") and got[6].labels == "apache-2.0"
+    assert got[1].score == got[2].score == got[5].score == got[6].score == 1.0 and got[3].labels == ""
+    found = licenses.spans(frame(spark, CROWDED.items())).where("doc_id = 1 AND label IS NOT NULL").collect()
+    assert [(r.label, r.start, r.end) for r in found] == [("mit", 0, 5)]
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    rows = [*CROWDED.items(), *((100 + i, t) for i, t in enumerate(TEXTS))]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = c.execute("SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, labels, round(score, 9) FROM (" + licenses.oracle_sql() + ")").fetchall()
+    got = licenses.scan(frame(spark, rows)).selectExpr("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "round(score, 9)").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_copy_with_words_put_in_beside_repeats(spark):
+    """The group around the strongest diagonal counts where it says more than that diagonal alone."""
+    notice = "licensed under the apache license really version 2 0"
+    for before in ("", "x y z ", "under the apache license " * 15):
+        text = before + notice + " apache license version" * 15
+        (one,) = licenses.spans(frame(spark, [(1, text)])).where("label IS NOT NULL").collect()
+        at = len(before.split())
+        assert one.label == "apache-2.0" and one.start <= at and one.end >= at + 9 and one.coverage == 6 / 7
