@@ -18,10 +18,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from evidentia.scratch import written
+
 from .common import documents, texts_of, utf8
 
 WORDS, RANK = 1 << 15, 8
@@ -29,8 +31,8 @@ BINS = 12
 #: Statistics of :func:`structure`, each cut into ``BINS`` bins.
 STATISTICS = 16
 FEATURES = WORDS + STATISTICS * BINS
-#: Rows of label that learning reads at most.
-MOST_ROWS = 6000
+#: Rows of label that learning reads at most, one an id, and features of all of them together: 12 bytes each on the driver.
+MOST_ROWS, MOST_FEATURES = 6000, 8_000_000
 HELD_OUT = 5
 THRESHOLD = 0.3
 CACHE = 200_000
@@ -144,12 +146,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> Machine:
     """Learn from labelled rows that are not held out.
 
-    At most ``most_rows`` labelled ids, those of the smallest hash, are read;
-    labels of null or of a null id are left out, and of labels that contradict
-    each other the larger one counts.
+    At most ``most_rows`` labelled ids, those of the smallest hash, are read, a row
+    each: of rows that repeat an id the one whose text has the smallest hash, a
+    null text after all others. Of these as many count, in the same order, as
+    have ``most_features`` features together. Labels of null or of a null id are left
+    out, and of labels that contradict each other the larger one counts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -163,7 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
         )
 
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most_rows ids at most
-    got = found.select("doc_id", "quality", vector(F.col("text")).alias("v")).toArrow().sort_by("doc_id")
+    one = F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text")).alias("d")
+    each = found.groupBy("doc_id").agg(F.first("quality").alias("quality"), one)
+    made = written(each.select("doc_id", "quality", vector(F.col("d.text")).alias("v")), "vectors")
+    along = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = made.select("doc_id", F.sum(F.size("v.at")).over(along).alias("n")).where(F.col("n") <= most_features)  # of most_rows rows, without vectors
+    got = made.join(F.broadcast(counted), "doc_id").select("doc_id", "quality", "v").toArrow().sort_by("doc_id")
     vectors = got.column("v").combine_chunks()
     at, x = vectors.field("at"), vectors.field("x")
     ends = at.offsets.to_numpy()  # numbers stay in Arrow's buffers: no Python object for each of them

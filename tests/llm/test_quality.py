@@ -51,3 +51,32 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     turned = labels.withColumn("quality", F.when(q.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
     a, b = q.train(docs, labels), q.train(docs, turned)
     assert a.bias == b.bias and (a.factors == b.factors).all()
+
+
+def seen_by_learn(monkeypatch):
+    seen = []
+    learn = q.learn
+    monkeypatch.setattr(q, "learn", lambda rows, labels, **o: seen.append(rows) or learn(rows, labels, **o))
+    return seen
+
+
+def test_learning_reads_one_row_an_id(spark, monkeypatch):
+    """The bound on rows holds for ids that repeat, whose row does not depend on the run."""
+    seen = seen_by_learn(monkeypatch)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], f"text {i} of one id") for i in range(20_000)] + [(i, f"some words {i}") for i in ids[1:]] + [(ids[1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    a, b = q.train(docs, labels, most_rows=10), q.train(docs.repartition(7, "text"), labels, most_rows=10)
+    assert [len(s) for s in seen] == [10, 10] and a.bias == b.bias and (a.factors == b.factors).all()
+    q.train(docs, labels)
+    assert len(seen[-1]) == len(ids)
+
+
+def test_learning_reads_a_bounded_number_of_features(spark, monkeypatch):
+    seen = seen_by_learn(monkeypatch)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(1000))) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    q.train(docs, labels, most_features=5000)
+    assert 3 <= len(seen[0]) < len(ids) and sum(len(at) for at, _ in seen[0]) <= 5000
