@@ -43,18 +43,22 @@ def set_poc_status(findings: DataFrame, requests: DataFrame, citations: DataFram
     the last counts (see :func:`last_of`). States that begin with ``reproduced``
     need an exhibit, a citation of type ``poc`` of the same engagement. ``refuted`` makes
     the finding a hypothesis, and is refused if the last run of the finding
-    (``runs``: finding_id, at, timed_out, ok, error, exit_code, reproduced) was
-    environmental."""
+    (``runs``: engagement_id, finding_id, at, timed_out, ok, error, exit_code,
+    reproduced) was environmental. A run speaks for its own engagement alone;
+    ``runs`` of one engagement, that of ``findings``, may leave the column out."""
     exhibits = citations.where("citation_type = 'poc'").select(F.col("engagement_id").alias("_xe"), F.col("finding_id").alias("_x")).distinct()
     asked = last_of(requests, "new_status", order)
     both = findings.join(asked, ["engagement_id", "id"], "left").join(exhibits, (F.col("id") == F.col("_x")) & (F.col("engagement_id") == F.col("_xe")), "left")
     if runs is None:
         both = both.withColumn("_env", F.lit(False))
     else:
-        last = latest(runs, "finding_id", "at", "ok").withColumn(
+        key = [c for c in ("engagement_id", "finding_id") if c in runs.columns]
+        last = latest(runs, key, "at", "ok").withColumn(
             "_env", is_environmental(F.col("timed_out"), F.col("ok"), F.col("error"), F.col("exit_code"), F.col("reproduced"))
         )
-        both = both.join(last.select(F.col("finding_id").alias("_f"), "_env"), F.col("id") == F.col("_f"), "left").drop("_f")
+        last = last.select("_env", F.col("finding_id").alias("_f"), *([F.col("engagement_id").alias("_fe")] if len(key) > 1 else []))
+        same = (F.col("id") == F.col("_f")) & (F.col("engagement_id") == F.col("_fe") if len(key) > 1 else F.lit(True))
+        both = both.join(last, same, "left").drop("_f", "_fe")
     s = F.col("new_status")
     error = (
         F.when(s.isNull(), None).when(~s.isin(POC_INPUTS), "unknown status").when(s.startswith("reproduced") & F.col("_x").isNull(), "no exhibit")

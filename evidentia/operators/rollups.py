@@ -43,11 +43,12 @@ def citation_types(findings: DataFrame, citations: DataFrame, key: str = "findin
     return findings.join(types, on, "left").drop("_id", *(f"_{c}" for c in by)).withColumn("citations", F.coalesce("citations", F.array().cast("array<string>")))
 
 
-def latest(df: DataFrame, by: str, ts: Column | str, tie: Column | str) -> DataFrame:
-    """The newest row of each group. ``max_by`` combines before the shuffle, so a group with many rows costs one row a task."""
-    rest = [c for c in df.columns if c != by]
-    newest = df.groupBy(by).agg(F.max_by(F.struct(*rest), F.struct(ts, tie)).alias("_r"))
-    return newest.select(by, *(F.col(f"_r.{c}").alias(c) for c in rest))
+def latest(df: DataFrame, by: str | list[str], ts: Column | str, tie: Column | str) -> DataFrame:
+    """The newest row of each group of ``by``, a column or several. ``max_by`` combines before the shuffle, so a group with many rows costs one row a task."""
+    by = [by] if isinstance(by, str) else by
+    rest = [c for c in df.columns if c not in by]
+    newest = df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(ts, tie)).alias("_r"))
+    return newest.select(*by, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
 def run_counters(rows: DataFrame) -> DataFrame:

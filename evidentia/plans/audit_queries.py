@@ -248,6 +248,21 @@ def poc_status_transition(spark, d):
     return mutate.set_poc_status(f, asked, exhibits).select("id", "status", "poc_status", "mutation_error")
 
 
+@query(f"""SELECT id, engagement_id, CASE WHEN s = 'refuted' AND e IS NULL THEN 'hypothesis' ELSE status END AS status, e AS mutation_error FROM (SELECT *, CASE WHEN s = 'refuted' AND bad THEN 'last run was environmental' END AS e
+FROM (SELECT id, engagement_id, status, ordinal, CASE WHEN ordinal % 2 = 0 THEN 'refuted' END AS s, ordinal % 5 < 2 AS bad FROM findings
+  UNION ALL SELECT id, 'other', status, ordinal, 'refuted', ordinal % 7 < 3 FROM findings))""", "findings")
+def poc_runs_by_engagement(spark, d):
+    """Ids that two engagements share: a run of one says nothing about the other."""
+    f = view(spark, d, "findings")
+    other = f.withColumn("engagement_id", F.lit("other"))
+    both = written(f.unionByName(other), "findings")
+    asked = both.where("engagement_id = 'other' OR ordinal % 2 = 0").select("engagement_id", "id", F.lit("refuted").alias("new_status"))
+    bad = F.when(F.col("engagement_id") == "other", F.col("ordinal") % 7 < 3).otherwise(F.col("ordinal") % 5 < 2)
+    run = lambda at, fails: both.select("engagement_id", F.col("id").alias("finding_id"), F.lit(at).alias("at"), F.lit(False).alias("timed_out"), (~fails).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("exit_code"), F.lit(False).alias("reproduced"))
+    none = mutate.exhibits(both.limit(0).select("engagement_id", F.col("id").alias("finding_id"), F.lit("").alias("exhibit")))
+    return mutate.set_poc_status(both, asked, none, run(1, ~bad).unionByName(run(2, bad))).select("id", "engagement_id", "status", "mutation_error")
+
+
 @query("""SELECT 'AC-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '-' || lpad(CAST(o_custkey % 9000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, f AS finding_id,
 CASE WHEN n < m THEN 'AC-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '-' || lpad(CAST(o_custkey % 9000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(n + 1 AS VARCHAR), 3, '0') END AS next_chain_id
 FROM (SELECT l_orderkey AS o_orderkey, o_custkey, CAST(l_suppkey AS VARCHAR) AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: list[str] = []
+_tables: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _drop(spark: SparkSession, root: str) -> None:
+    for table in _tables.pop(root, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _delete(spark, root)
+
+
 class Scratch:
     """The written tables of one run of an operator. ``free`` deletes tables
     that no later step reads, ``close`` all of them."""
@@ -54,6 +61,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.read(name, df)
 
+    def keep_bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+        """Write ``df`` in buckets of ``keys`` and return a reader of them: a join on these
+        keys moves only its other side. The table is external, in the session's
+        catalogue, and its name goes with :meth:`close` or :func:`release`."""
+        table = f"scratch_{uuid.uuid4().hex}"
+        dealt = df.repartition(buckets, *keys)
+        dealt.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, *keys).saveAsTable(table)
+        _tables.setdefault(self.root, []).append(table)
+        return self.spark.table(table)
+
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
@@ -62,7 +79,7 @@ class Scratch:
             _delete(self.spark, f"{self.root}/{name}")
 
     def close(self) -> None:
-        _delete(self.spark, self.root)
+        _drop(self.spark, self.root)
         if self.root in _roots:
             _roots.remove(self.root)
 
@@ -77,5 +94,5 @@ def release(spark: SparkSession) -> int:
     them are lost. Returns the number of folders deleted."""
     done = len(_roots)
     while _roots:
-        _delete(spark, _roots.pop())
+        _drop(spark, _roots.pop())
     return done

@@ -229,6 +229,15 @@ def test_dependency_merge(spark):
     assert sorted(map(tuple, dependencies.merge(d, lock).collect())) == [("a", "==1", "1.0", "requirements.txt", "direct"), ("b", "", None, "pyproject.toml", "direct"), ("c", "", "3", "poetry.lock", "transitive")]
 
 
+def test_runs_of_one_engagement_do_not_judge_another(spark):
+    f = spark.createDataFrame([("e1", "F1", "open", None), ("e2", "F1", "open", None)], "engagement_id string, id string, status string, poc_status string")
+    asked = spark.createDataFrame([("e1", "F1", "refuted"), ("e2", "F1", "refuted")], "engagement_id string, id string, new_status string")
+    cites = spark.createDataFrame([], "engagement_id string, finding_id string, citation_type string")
+    runs = spark.createDataFrame([("e1", "F1", 1, True, True, None, 0, False)], "engagement_id string, finding_id string, at int, timed_out boolean, ok boolean, error string, exit_code int, reproduced boolean")
+    got = {r.engagement_id: (r.poc_status, r.mutation_error) for r in mutate.set_poc_status(f, asked, cites, runs).collect()}
+    assert got == {"e1": (None, "last run was environmental"), "e2": ("refuted", None)}
+
+
 def test_intervals_across_blocks(spark):
     spans = spark.createDataFrame([("a", 1, 500, "class", "C"), ("a", 60, 70, "function", "f"), ("a", 63, 200, "method", "m"), ("b", 1, 9, "function", "g")], "file_path string, line_start int, line_end int, kind string, name string")
     points = spark.createDataFrame([("a", n) for n in (1, 63, 64, 128, 300)], "file string, line int")
