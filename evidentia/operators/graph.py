@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import eng8, leaf
 from evidentia.operators.dedup import numbered
 from evidentia.operators.intervals import contained
+from evidentia.operators.reach import MOST_EDGES, Graph, Reach
 from evidentia.scratch import Scratch, written
 
-# Edges of a chain at most; lines looked at around a hop; largest file that is read.
-MOST_EDGES = 12
+# Lines looked at around a hop; largest file that is read.
 LOOKBACK, BEFORE, AFTER = 5, 40, 8
 LARGEST_FILE = 4 << 20
 
@@ -51,6 +50,11 @@ def is_sink(symbol: Column, sinks: list[str]) -> Column:
     return out
 
 
+def reached(edges: DataFrame, starts: DataFrame, sinks: list[str], most: int = MOST_EDGES, toward_sinks: bool = False) -> Reach:
+    """What each (source, seed) reaches; see :class:`evidentia.operators.reach.Reach`."""
+    return Reach(Graph(edges, is_sink(F.col("to_symbol"), sinks)), starts, most, toward_sinks)
+
+
 def traverse(edges: DataFrame, starts: DataFrame, sinks: list[str], most: int = MOST_EDGES) -> DataFrame:
     """Breadth-first reach of each (source, seed), one level a step.
 
@@ -58,38 +62,9 @@ def traverse(edges: DataFrame, starts: DataFrame, sinks: list[str], most: int =
     by which the symbol was reached first (``from_symbol``, ``edge_kind``,
     ``file_path``, ``line``; of equal hops the smallest edge). Seeds are not
     tested as sinks, sinks are not left again, and no symbol lies more than
-    ``most`` edges away. Levels carry parent edges, not paths; each level is
-    a written table, so plans stay small and a lost executor costs a level.
-    Edges are shuffled once, by the symbol they leave, and held so on disk;
-    levels move only the frontier to them. ``edges`` should be a written table,
-    from which held parts that are lost are read again.
-    """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "traverse")
-    steps = edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    held = steps.repartition(parts, "from_symbol").persist(StorageLevel.DISK_ONLY)
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("from_symbol", "string"), ("edge_kind", "string"), ("file_path", "string"), ("line", "int"))]
-    zero = starts.select("source", "seed", F.col("seed").alias("symbol"), F.lit(0).alias("hops"), F.lit(False).alias("is_sink"), *none)
-    reached = frontier = scratch.keep(zero, "level_0")
-    try:
-        for level in range(1, most + 1):
-            at = frontier.where(~F.col("is_sink")).select("source", "seed", F.col("symbol").alias("_at"))
-            out = at.join(held, F.col("_at") == F.col("from_symbol")).select("source", "seed", F.struct("from_symbol", "line", "edge_kind", "file_path").alias("e"), F.col("to_symbol").alias("symbol"))
-            out = out.groupBy("source", "seed", "symbol").agg(F.min("e").alias("e"))
-            new = out.join(reached.select("source", "seed", "symbol"), ["source", "seed", "symbol"], "left_anti").select(
-                "source", "seed", "symbol", F.lit(level).alias("hops"), is_sink(F.col("symbol"), sinks).alias("is_sink"),
-                "e.from_symbol", "e.edge_kind", "e.file_path", "e.line",
-            )
-            told = Observation()
-            frontier = scratch.keep(new.observe(told, F.count_if(~F.col("is_sink")).alias("open"), F.count(F.lit(1)).alias("n")), f"level_{level}")
-            if told.get["n"]:
-                reached = reached.unionByName(frontier)
-            if not told.get["open"]:
-                break
-    finally:
-        held.unpersist()
-    return reached.where("hops > 0")
+    ``most`` edges away. Where parent edges are not needed, or only those of
+    paths to sinks, :func:`reached` is cheaper."""
+    return reached(edges, starts, sinks, most).with_parents()
 
 
 def chains(reached: DataFrame, most: int = MOST_EDGES) -> DataFrame:
@@ -165,8 +140,8 @@ def taint_chains(
     A chain without a guard on its path or in the scope of its first and last
     hop carries the marker ``unguarded``. Ids count chains by seed, sink, hops
     and path. Without guards in the model every chain is unguarded."""
-    edges = written(edges.select("from_symbol", "to_symbol", "edge_kind", "file_path", "line"), "edges")
-    paths = chains(traverse(edges, seeds(edges, sources), sinks, most), most)
+    graph = Graph(edges, is_sink(F.col("to_symbol"), sinks))
+    paths = Reach(graph, seeds(graph.rows, sources), most).chains()
     first, last = F.col("edges")[0], F.element_at("edges", -1)
     flat = written(paths.select("*", first["file_path"].alias("source_file"), first["line"].alias("source_line"), last["file_path"].alias("sink_file"), last["line"].alias("sink_line"), on_path(F.col("edges"), guards).alias("_on_path")), "chains")
     ends = flat.select(F.col("source_file").alias("file"), F.col("source_line").alias("line")).unionByName(

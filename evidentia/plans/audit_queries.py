@@ -351,17 +351,32 @@ def sink_expand(spark, d):
 
 @query(REACH_SQL + " SELECT source, seed, node AS symbol, min(h) AS hops FROM walk GROUP BY ALL", "edges")
 def bfs_min_hop(spark, d):
-    e = written(view(spark, d, "edges"), "edges")
-    return graph.traverse(e, graph.seeds(e, SOURCES), SINKS).select("source", "seed", "symbol", "hops")
+    g = graph.Graph(view(spark, d, "edges"), graph.is_sink(F.col("to_symbol"), SINKS))
+    return graph.Reach(g, graph.seeds(g.rows, SOURCES)).rows().select("source", "seed", "symbol", "hops")
 
 
 @query(REACH_SQL + f" SELECT source, seed, node AS sink, min(h) AS hops FROM walk WHERE {SINK_SQL} GROUP BY ALL", "edges")
 def reachable_sinks(spark, d):
-    e = written(view(spark, d, "edges"), "edges")
-    paths = graph.chains(graph.traverse(e, graph.seeds(e, SOURCES), SINKS))
+    g = graph.Graph(view(spark, d, "edges"), graph.is_sink(F.col("to_symbol"), SINKS))
+    paths = graph.Reach(g, graph.seeds(g.rows, SOURCES)).chains()
     return paths.select("source", "seed", "sink", F.size("edges").alias("hops"))
 
 
+@query(REACH_SQL + f" SELECT source, seed, node AS sink, min(h) AS hops FROM walk WHERE {SINK_SQL} GROUP BY ALL", "edges")
+def reach_toward_sinks(spark, d):
+    """The sinks alone, by a frontier that drops what cannot lead to one."""
+    g = graph.Graph(view(spark, d, "edges"), graph.is_sink(F.col("to_symbol"), SINKS))
+    return graph.Reach(g, graph.seeds(g.rows, SOURCES), toward_sinks=True).sinks()
+
+
+@query(f""", back AS (SELECT DISTINCT to_symbol AS node, 0 AS dist FROM edges WHERE {SINK_SQL.replace('node', 'to_symbol')}
+  UNION SELECT from_symbol, dist + 1 FROM back JOIN edges ON to_symbol = node WHERE dist < 12 AND NOT (dist > 0 AND {SINK_SQL}))
+SELECT node AS symbol, min(dist) AS dist FROM back GROUP BY ALL""", "edges")
+def sink_distance(spark, d):
+    g = graph.Graph(view(spark, d, "edges"), graph.is_sink(F.col("to_symbol"), SINKS))
+    return g.to_sinks().select("symbol", "dist")
+
+
 def _names_guard(c: str) -> str:
     return f"(contains({c}, 'Authorize') OR contains({c}, 'n7'))"
 
