@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import eng8, leaf
 from evidentia.operators.dedup import numbered
-from evidentia.operators.intervals import contained
+from evidentia.operators.intervals import holding
 from evidentia.operators.reach import MOST_EDGES, Graph, Reach
 from evidentia.scratch import Scratch, written
 
@@ -116,7 +116,7 @@ def guarded_scopes(hops: DataFrame, symbols: DataFrame, lines: DataFrame, guards
     The scope is the innermost function or method around the line and the five
     lines above it, or else 40 lines before and 8 after. Files that cannot be
     read have no guard. Lines that hold a guard are few, so they are found
-    first and joined to scopes by blocks of lines."""
+    first; a scope asks whether it holds one by its dyadic pieces."""
     from evidentia.operators.intervals import enclosing_function
 
     hops = hops.select("file", "line").distinct()
@@ -127,8 +127,7 @@ def guarded_scopes(hops: DataFrame, symbols: DataFrame, lines: DataFrame, guards
         F.coalesce(F.col("line_end"), F.col("line") + AFTER).alias("line_end"),
     )
     marked = lines.where(_any_contains(F.col("content"), guards)).select(F.col("file_path").alias("guard_file"), F.col("line").alias("guard_line"))
-    found = contained(marked, scopes, "guard_file", "guard_line")
-    return found.select(F.col("guard_file").alias("file"), F.col("hop_line").alias("line")).distinct()
+    return holding(scopes, marked, "guard_file", "guard_line").select(F.col("file_path").alias("file"), F.col("hop_line").alias("line"))
 
 
 def taint_chains(

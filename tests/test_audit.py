@@ -238,6 +238,32 @@ def test_runs_of_one_engagement_do_not_judge_another(spark):
     assert got == {"e1": (None, "last run was environmental"), "e2": ("refuted", None)}
 
 
+def test_dyadic_pieces(spark):
+    rows = [(a, b) for a in range(-9, 20) for b in range(-10, 40)] + [(0, 10**9), (-(2**31), 2**31 - 1), (5, None), (None, 5)]
+    got = spark.createDataFrame(rows, "a int, b int").select("a", "b", intervals.pieces(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        if r.a is None or r.b is None or r.b < r.a:
+            assert not r.p
+            continue
+        assert len(r.p) <= 2 * max(1, math.log2(r.b - r.a + 1)) + 1
+        spans = sorted((x.at << x.level, ((x.at + 1) << x.level) - 1) for x in r.p)
+        assert spans[0][0] == r.a and spans[-1][1] == r.b and all(x[1] + 1 == y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_long_spans_and_crowded_lines(spark):
+    """A span of 10^9 lines is a few pieces; a line with most of the points is one probe."""
+    spans = [("a", 1, 10**9, "class", "all"), ("a", 1, 2**31 - 1, "function", "bad_end"), ("a", 7, 7, "method", "m"), ("b", 5, 4, "function", "inverted"), (None, 1, 9, "function", "none")]
+    symbols = spark.createDataFrame(spans, "file_path string, line_start int, line_end int, kind string, name string")
+    points = spark.range(200_000).selectExpr("id", "'a' AS file", "IF(id < 199990, 7, CAST(id * 5000 AS INT)) AS line").unionByName(spark.createDataFrame([(-1, "b", 5), (-2, None, 1), (-3, "a", None), (-4, "a", 0)], "id long, file string, line int"))
+    inner = intervals.enclosing_function(points, symbols, ["id"]).groupBy("name").count().collect()
+    assert {r.name: r["count"] for r in inner} == {"m": 199_990, "bad_end": 10}
+    small = intervals.smallest_symbol(points, symbols, ["id"]).groupBy("name").count().collect()
+    assert {r.name: r["count"] for r in small} == {"m": 199_990, "all": 10}
+    pairs = intervals.contained(points.where("id >= 199990"), symbols, "file", "line")
+    assert pairs.count() == 20 and "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.name for r in intervals.holding(symbols, points.where("line > 7"), "file", "line").collect()) == ["all", "bad_end"]
+
+
 def test_intervals_across_blocks(spark):
     spans = spark.createDataFrame([("a", 1, 500, "class", "C"), ("a", 60, 70, "function", "f"), ("a", 63, 200, "method", "m"), ("b", 1, 9, "function", "g")], "file_path string, line_start int, line_end int, kind string, name string")
     points = spark.createDataFrame([("a", n) for n in (1, 63, 64, 128, 300)], "file string, line int")
