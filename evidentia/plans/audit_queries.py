@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
-from evidentia.operators import crosswalk, dedup, dependencies, graph, intervals, jobs, journal, mutate, policy, rollups, text, triage, vector
+from evidentia.operators import crosswalk, dedup, dependencies, graph, intervals, jobs, journal, mutate, patterns, policy, rollups, text, triage, vector
 from evidentia.plans.views import view, with_views
 from evidentia.sources import files
 from evidentia.scratch import written
@@ -377,6 +377,47 @@ def sink_distance(spark, d):
     return g.to_sinks().select("symbol", "dist")
 
 
+_ASKED = """(SELECT 'eng-' || CAST(n_nationkey % 3 AS VARCHAR) AS engagement_id, unnest([{'p': '%' || lower(substr(n_name, 1, 3)) || '_%', 'k': 'like'}, {'p': 'Brand#' || CAST(n_nationkey AS VARCHAR), 'k': 'contains'},
+  {'p': lower(substr(n_name, 2, 2)), 'k': 'contains'}, {'p': '%' || CAST(n_regionkey AS VARCHAR), 'k': 'like'}]) AS a FROM nation)"""
+
+
+@query(f"""SELECT DISTINCT engagement_id, symbol, a.p AS pattern, a.k AS kind FROM (SELECT 'eng-' || CAST(p_partkey % 3 AS VARCHAR) AS engagement_id, p_name || ':' || p_brand AS symbol FROM part)
+JOIN {_ASKED} USING (engagement_id) WHERE CASE a.k WHEN 'like' THEN symbol ILIKE a.p ELSE contains(symbol, a.p) END""")
+def patterns_by_engagement(spark, d):
+    """Each engagement's own patterns against its symbols: long ones, ones of two letters, and ones of one digit."""
+    eng = lambda c: F.concat(F.lit("eng-"), (F.col(c) % 3).cast("string")).alias("engagement_id")
+    symbols = table(spark, d, "part").select(eng("p_partkey"), F.concat("p_name", F.lit(":"), "p_brand").alias("symbol"))
+    one = lambda p, kind: F.struct(p.alias("pattern"), F.lit(kind).alias("kind"))
+    forms = F.array(
+        one(F.concat(F.lit("%"), F.lower(F.substring("n_name", 1, 3)), F.lit("_%")), "like"), one(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")), "contains"),
+        one(F.lower(F.substring("n_name", 2, 2)), "contains"), one(F.concat(F.lit("%"), F.col("n_regionkey").cast("string")), "like"),
+    )
+    asked = table(spark, d, "nation").select(eng("n_nationkey"), F.explode(forms).alias("f")).select("engagement_id", "f.*")
+    return patterns.matches(symbols, asked, ["engagement_id"])
+
+
+_SINK_OF = "CASE engagement_id WHEN 'eng-0' THEN contains(node, 'EUROPE') ELSE contains(node, 'ASIA') END"
+
+
+@query(f""", every AS (SELECT * FROM edges, (SELECT unnest(['eng-0', 'eng-1']) AS engagement_id)),
+asked AS (SELECT 'eng-' || CAST(n_nationkey % 2 AS VARCHAR) AS engagement_id, 'web.cust' || CAST(n_nationkey AS VARCHAR) AS source, 'cust' || CAST(n_nationkey AS VARCHAR) AS leaf FROM nation),
+seeds AS (SELECT DISTINCT engagement_id, source, from_symbol AS seed FROM every JOIN asked USING (engagement_id) WHERE from_symbol ILIKE '%' || source || '%' OR from_symbol ILIKE '%:' || leaf),
+walk AS (SELECT s.engagement_id, source, seed, to_symbol AS node, 1 AS h FROM seeds s JOIN every e ON from_symbol = seed AND e.engagement_id = s.engagement_id WHERE to_symbol <> seed
+  UNION SELECT w.engagement_id, source, seed, to_symbol, h + 1 FROM walk w JOIN every e ON from_symbol = node AND e.engagement_id = w.engagement_id WHERE NOT {_SINK_OF.replace('engagement_id', 'w.engagement_id')} AND h < 12 AND to_symbol <> seed)
+SELECT engagement_id, source, seed, node AS sink, min(h) AS hops FROM walk WHERE {_SINK_OF} GROUP BY ALL""", "edges")
+def reach_by_engagement(spark, d):
+    """Sources and sinks that differ by engagement, in one traversal."""
+    by = ["engagement_id"]
+    edges = view(spark, d, "edges").select("*", F.explode(F.array(F.lit("eng-0"), F.lit("eng-1"))).alias("engagement_id"))
+    n = table(spark, d, "nation")
+    sources = n.select(F.concat(F.lit("eng-"), (F.col("n_nationkey") % 2).cast("string")).alias("engagement_id"), F.concat(F.lit("web.cust"), F.col("n_nationkey").cast("string")).alias("pattern"))
+    sinks = spark.createDataFrame([("eng-0", "EUROPE"), ("eng-1", "db.ASIA")], "engagement_id string, pattern string")
+    held = written(edges, "edges")
+    ends = patterns.holding(held.select(*by, F.col("to_symbol").alias("symbol")), sinks, by, leaves=True)
+    g = graph.Graph(held, ends, by)
+    return graph.Reach(g, patterns.seeds(g.rows, sources, by)).sinks()
+
+
 def _names_guard(c: str) -> str:
     return f"(contains({c}, 'Authorize') OR contains({c}, 'n7'))"
 
