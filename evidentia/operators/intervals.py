@@ -43,27 +43,27 @@ def _salts(level: Column) -> Column:
 
 
 def _indexed(spans: DataFrame) -> DataFrame:
-    """``spans`` with ``_level`` and ``_at``, a row a piece."""
-    return spans.withColumn("_piece", F.explode(pieces(F.col("line_start"), F.col("line_end")))).select("*", F.col("_piece.level").alias("_level"), F.col("_piece.at").alias("_at")).drop("_piece")
+    """``spans`` with ``_dy_level`` and ``_dy_at``, a row a piece."""
+    return spans.withColumn("_dy_piece", F.explode(pieces(F.col("line_start"), F.col("line_end")))).select("*", F.col("_dy_piece.level").alias("_dy_level"), F.col("_dy_piece.at").alias("_dy_at")).drop("_dy_piece")
 
 
 def _levels(index: DataFrame) -> list[int]:
     """Levels in use: 64 at most."""
-    return sorted(r[0] for r in index.select("_level").distinct().collect())
+    return sorted(r[0] for r in index.select("_dy_level").distinct().collect())
 
 
 def _probes(points: DataFrame, line: str, levels: list[int]) -> DataFrame:
-    """``points`` once for each of ``levels``, with ``_l``, ``_a`` and ``_salt``."""
-    each = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    at = F.call_function("shiftright", F.col(line).cast("long"), F.col("_l"))
-    return each.withColumn("_a", at).withColumn("_salt", F.pmod(F.xxhash64(line), _salts(F.col("_l"))).cast("int"))
+    """``points`` once for each of ``levels``, with ``_dy_l``, ``_dy_a`` and ``_dy_salt``."""
+    each = points.withColumn("_dy_l", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    at = F.call_function("shiftright", F.col(line).cast("long"), F.col("_dy_l"))
+    return each.withColumn("_dy_a", at).withColumn("_dy_salt", F.pmod(F.xxhash64(line), _salts(F.col("_dy_l"))).cast("int"))
 
 
 def _met(points: DataFrame, index: DataFrame, file: str, line: str) -> DataFrame:
-    """Probes of ``points`` joined to a written ``index`` (``file_path``, ``_level``, ``_at`` and more)."""
-    dealt = index.withColumnRenamed("file_path", "_span_file").withColumn("_s", F.explode(F.sequence(F.lit(0), _salts(F.col("_level")) - 1)))
-    on = (F.col(file) == F.col("_span_file")) & (F.col("_l") == F.col("_level")) & (F.col("_a") == F.col("_at")) & (F.col("_salt") == F.col("_s"))
-    return _probes(points, line, _levels(index)).join(dealt, on).drop("_l", "_a", "_salt", "_s", "_level", "_at", "_span_file")
+    """Probes of ``points`` joined to a written ``index`` (``file_path``, ``_dy_level``, ``_dy_at`` and more)."""
+    dealt = index.withColumnRenamed("file_path", "_dy_span_file").withColumn("_dy_s", F.explode(F.sequence(F.lit(0), _salts(F.col("_dy_level")) - 1)))
+    on = (F.col(file) == F.col("_dy_span_file")) & (F.col("_dy_l") == F.col("_dy_level")) & (F.col("_dy_a") == F.col("_dy_at")) & (F.col("_dy_salt") == F.col("_dy_s"))
+    return _probes(points, line, _levels(index)).join(dealt, on).drop("_dy_l", "_dy_a", "_dy_salt", "_dy_s", "_dy_level", "_dy_at", "_dy_span_file")
 
 
 def contained(points: DataFrame, spans: DataFrame, point_file: str, point_line: str) -> DataFrame:
@@ -76,10 +76,10 @@ def holding(spans: DataFrame, points: DataFrame, point_file: str, point_line: st
     """The rows of ``spans`` that hold at least one of ``points``, each once; pairs are never made."""
     scratch = Scratch(spans.sparkSession, "holding")
     numbered = scratch.keep(spans.withColumn("_row", F.monotonically_increasing_id()), "spans")
-    index = scratch.keep(_indexed(numbered.select("_row", "file_path", "line_start", "line_end")).select("_row", "file_path", "_level", "_at"), "pieces")
+    index = scratch.keep(_indexed(numbered.select("_row", "file_path", "line_start", "line_end")).select("_row", "file_path", "_dy_level", "_dy_at"), "pieces")
     distinct = points.select(F.col(point_file).alias("_pf"), F.col(point_line).alias("_pl")).distinct()
-    marked = _probes(distinct, "_pl", _levels(index)).select("_pf", "_l", "_a").distinct()
-    hits = index.join(marked, (F.col("file_path") == F.col("_pf")) & (F.col("_level") == F.col("_l")) & (F.col("_at") == F.col("_a")), "left_semi")
+    marked = _probes(distinct, "_pl", _levels(index)).select("_pf", "_dy_l", "_dy_a").distinct()
+    hits = index.join(marked, (F.col("file_path") == F.col("_pf")) & (F.col("_dy_level") == F.col("_dy_l")) & (F.col("_dy_at") == F.col("_dy_a")), "left_semi")
     return numbered.join(hits.select("_row").distinct(), "_row", "left_semi").drop("_row")
 
 
@@ -87,9 +87,9 @@ def _best(points: DataFrame, spans: DataFrame, key: list[str], file: str, line:
     """The span of the smallest ``order`` around each point: the best of each piece, then the
     best of the pieces around each line that has a point, then those of the points."""
     scratch = Scratch(points.sparkSession, "best")
-    one = lambda c: F.min_by(F.struct(F.col("_o"), F.col("_s")), F.col("_o")).alias(c)
-    index = _indexed(spans.where(F.col("file_path").isNotNull())).select("file_path", "_level", "_at", order.alias("_o"), F.struct(*keep).alias("_s"))
-    index = scratch.keep(index.groupBy("file_path", "_level", "_at").agg(one("_b")), "pieces")
+    one = lambda c: F.min_by(F.struct("_o", "_s"), F.col("_o")).alias(c)
+    index = _indexed(spans.where(F.col("file_path").isNotNull())).select("file_path", "_dy_level", "_dy_at", order.alias("_o"), F.struct(*keep).alias("_s"))
+    index = scratch.keep(index.groupBy("file_path", "_dy_level", "_dy_at").agg(one("_b")), "pieces")
     given = scratch.keep(points.select(*dict.fromkeys([*key, file, line])).where(F.col(file).isNotNull() & F.col(line).isNotNull()), "points")
     lines = given.groupBy(file, line).agg(F.count(F.lit(1)).alias("n"))
     probed = _met(lines, index, file, line).groupBy(file, line, "n").agg(F.min_by("_b", "_b._o").alias("_b"))
