@@ -39,6 +39,20 @@ def _same(columns: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, (F.col(c) == F.col(f"{prefix}{c}") for c in columns))
 
 
+def exploded(rows: DataFrame) -> DataFrame:
+    """A row for each of the ``bits``, with its place as ``bit``."""
+    each = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit(F.col("bits"), b) == 1)
+    return rows.withColumn("bit", F.explode(each)).drop("bits")
+
+
+def named(rows: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
+    """``source`` and ``seed`` for rows of ``by``, ``block`` and ``bit``. One seed may have most of the rows, so
+    seeds, which are few, are there once for each salt."""
+    salt = F.pmod(F.xxhash64("symbol"), F.lit(SALTS)).cast("int")
+    known = seeds.select(*(F.col(c).alias(f"_n_{c}") for c in (*by, "block", "bit")), "source", "seed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_n__salt"))
+    return rows.withColumn("_salt", salt).join(known, _same([*by, "block", "bit", "_salt"], "_n_")).drop("_salt", *(c for c in known.columns if c.startswith("_n_")))
+
+
 class Graph:
     """Edges laid out for traversal.
 
@@ -159,15 +173,10 @@ class Reach:
                 break
 
     def _exploded(self, rows: DataFrame) -> DataFrame:
-        each = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit(F.col("bits"), b) == 1)
-        return rows.withColumn("bit", F.explode(each)).drop("bits")
+        return exploded(rows)
 
     def _named(self, rows: DataFrame) -> DataFrame:
-        """``source`` and ``seed`` for rows of ``by``, ``block`` and ``bit``. One seed may have most of the rows, so
-        seeds, which are few, are there once for each salt."""
-        salt = F.pmod(F.xxhash64("symbol"), F.lit(SALTS)).cast("int")
-        seeds = self.seeds.select(*(F.col(c).alias(f"_n_{c}") for c in (*self.by, "block", "bit")), "source", "seed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_n__salt"))
-        return rows.withColumn("_salt", salt).join(seeds, _same([*self.by, "block", "bit", "_salt"], "_n_")).drop("_salt", *(c for c in seeds.columns if c.startswith("_n_")))
+        return named(rows, self.seeds, self.by)
 
     def _all(self) -> DataFrame:
         """All levels so far, in one scan, with ``hops``."""

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
 from evidentia.operators import crosswalk, dedup, dependencies, graph, intervals, jobs, journal, mutate, patterns, policy, rollups, text, triage, vector
+from evidentia.operators.maintained import MaintainedReach
 from evidentia.plans.views import view, with_views
 from evidentia.sources import files
-from evidentia.scratch import written
+from evidentia.scratch import Scratch, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -369,6 +370,16 @@ def reach_toward_sinks(spark, d):
     return graph.Reach(g, graph.seeds(g.rows, SOURCES), toward_sinks=True).sinks()
 
 
+@query(REACH_SQL + f" SELECT source, seed, node AS symbol, min(h) AS hops, {SINK_SQL} AS is_sink FROM walk GROUP BY ALL", "edges")
+def reach_in_batches(spark, d):
+    """The same reach, kept while the edges come in three batches."""
+    kept = MaintainedReach(spark, f"{Scratch(spark, 'maintained').root}/reach", lambda e: graph.seeds(e, SOURCES), lambda s: graph.is_sink(s, SINKS), buckets=64)
+    edges = view(spark, d, "edges")
+    for batch in range(3):
+        kept.insert(edges.where(F.pmod(F.xxhash64("from_symbol", "to_symbol"), F.lit(3)) == batch))
+    return kept.rows()
+
+
 @query(f""", back AS (SELECT DISTINCT to_symbol AS node, 0 AS dist FROM edges WHERE {SINK_SQL.replace('node', 'to_symbol')}
   UNION SELECT from_symbol, dist + 1 FROM back JOIN edges ON to_symbol = node WHERE dist < 12 AND NOT (dist > 0 AND {SINK_SQL}))
 SELECT node AS symbol, min(dist) AS dist FROM back GROUP BY ALL""", "edges")
