@@ -1,4 +1,10 @@
-"""Hash-chained append-only journals: reading, verifying, appending."""
+"""Hash-chained append-only journals: reading, verifying, appending.
+
+A journal may be larger than a task. Files are read in byte ranges that Spark
+cuts at line ends; lines are numbered by the counts of the ranges before them.
+Links are checked inside pieces of ``PIECE`` places; the first entry of a piece is
+held against the last one of the pieces before, of which there is one row each.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +15,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia.scratch import written
+
 # The entry's fields in their order, and the hash before the first entry.
 REQUIRED = ["timestamp", "principal", "action", "resource", "cedar_decision", "prev_hash", "entry_hash"]
 FIELDS = ["timestamp", "principal", "action", "resource", "cedar_decision", "envelope_id", "prev_hash", "entry_hash"]
 GENESIS = "0" * 64
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
+#: Places of a journal in a piece.
+PIECE = 100_000
 
 
 def read_lenient(spark: SparkSession, path: str) -> DataFrame:
@@ -26,9 +36,17 @@ def read_lenient(spark: SparkSession, path: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines with ``journal`` (the file) and 0-based ``ordinal``, blank lines counted.
 
-    Whole files are read, as the order of lines is the chain; each file is one row until it is split."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("journal"), "value")
-    return whole.select("journal", F.posexplode(F.split("value", "\n")).alias("ordinal", "line"))
+    A file is read in ranges of ``spark.sql.files.maxPartitionBytes`` at most. Within one, lines have consecutive numbers as they are
+    read, so the range's smallest number and the lines before the range give the
+    ordinal. The text is read twice, once to count; no line is shuffled unless
+    there are more ranges than a broadcast holds. Empty files have no lines."""
+    text = spark.read.text(path, lineSep="\n")
+    placed = text.select(F.col("_metadata.file_path").alias("journal"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    ranges = placed.groupBy("journal", "range").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("journal").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written(ranges.select(F.col("journal").alias("_journal"), F.col("range").alias("_range"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("_shift")), "ranges")
+    both = placed.join(starts, (F.col("journal") == F.col("_journal")) & (F.col("range") == F.col("_range")))
+    return both.select("journal", (F.col("place") + F.col("_shift")).alias("ordinal"), "line")
 
 
 def parsed(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -43,27 +61,56 @@ def body_of(line: Column) -> Column:
     return F.regexp_replace(line, r'"entry_hash":"[^"]*"', '"entry_hash":""')
 
 
-def links(entries: DataFrame, by: str = "journal", order: str = "ordinal", body: Column | None = None) -> DataFrame:
-    """``link_ok`` (the previous hash is that of the entry before, or genesis),
-    ``hash_ok`` (the own hash is that of previous hash, a bar and the body) for each entry."""
-    along = Window.partitionBy(by).orderBy(order)
-    before = F.coalesce(F.lag("entry_hash").over(along), F.lit(GENESIS))
+def _false(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def hashed(entries: DataFrame, body: Column | None = None) -> DataFrame:
+    """``hash_ok``: the own hash is that of previous hash, a bar and the body."""
     own = F.sha2(F.concat("prev_hash", F.lit("|"), body if body is not None else body_of(F.col("line"))), 256)
-    false = lambda c: F.coalesce(c, F.lit(False))
-    return entries.withColumn("link_ok", false(F.col("prev_hash") == before)).withColumn("hash_ok", false(own == F.col("entry_hash")))
+    return entries.withColumn("hash_ok", _false(own == F.col("entry_hash")))
+
+
+def linked(entries: DataFrame, by: str = "journal", order: str = "ordinal", piece: int = PIECE) -> DataFrame:
+    """``link_ok``: the previous hash is that of the entry before, or genesis for a journal's first entry.
+
+    ``order`` is a whole number that tells the entries of a journal apart, and may have gaps. ``entries`` is read
+    twice: once for the last hash of each piece."""
+    cut = entries.withColumn("_piece", F.floor(F.col(order) / piece))
+    inside = Window.partitionBy(by, "_piece").orderBy(order)
+    last = cut.groupBy(by, "_piece").agg(F.max_by("entry_hash", order).alias("_last"))
+    ends = last.select(F.col(by).alias("_by"), F.col("_piece").alias("_at"), F.lag("_last").over(Window.partitionBy(by).orderBy("_piece")).alias("_end"))
+    rows = cut.withColumn("_n", F.row_number().over(inside)).withColumn("_lag", F.lag("entry_hash").over(inside))
+    both = rows.join(ends, F.col(by).eqNullSafe(F.col("_by")) & F.col("_piece").eqNullSafe(F.col("_at")))
+    before = F.coalesce(F.when(F.col("_n") == 1, F.col("_end")).otherwise(F.col("_lag")), F.lit(GENESIS))
+    return both.withColumn("link_ok", _false(F.col("prev_hash") == before)).drop("_piece", "_n", "_lag", "_by", "_at", "_end")
 
 
-def first_break(checked: DataFrame, by: str = "journal", order: str = "ordinal") -> DataFrame:
-    """For each journal the place of its first bad line (null if sound) and the number of entries before it."""
+def links(entries: DataFrame, by: str = "journal", order: str = "ordinal", body: Column | None = None, piece: int = PIECE) -> DataFrame:
+    """``link_ok`` and ``hash_ok`` for each entry; see :func:`linked` and :func:`hashed`."""
+    return linked(hashed(entries, body), by, order, piece)
+
+
+def first_break(checked: DataFrame, by: str = "journal", order: str = "ordinal", piece: int = PIECE) -> DataFrame:
+    """For each journal the place of its first bad line (null if sound) and the number of entries before it.
+
+    Each piece is judged by itself; a journal's pieces, a row each, are then put together."""
     bad = ~(F.col("link_ok") & F.col("hash_ok"))
-    marked = checked.select(by, F.col(order).alias("_o"), F.min(F.when(bad, F.col(order))).over(Window.partitionBy(by)).alias("_first"))
-    before = F.count_if(F.coalesce(F.col("_o") < F.col("_first"), F.lit(True)))
-    return marked.groupBy(by).agg(F.min("_first").alias("first_bad"), before.alias("n_valid"))
+    cut = checked.select(by, F.col(order).alias("_o"), F.floor(F.col(order) / piece).alias("_piece"), bad.alias("_bad"))
+    marked = cut.withColumn("_first", F.min(F.when(F.col("_bad"), F.col("_o"))).over(Window.partitionBy(by, "_piece")))
+    sound = F.count_if(F.coalesce(F.col("_o") < F.col("_first"), F.lit(True)))
+    pieces = marked.groupBy(by, "_piece").agg(F.min("_first").alias("_first"), sound.alias("_sound"))
+    broken = F.min(F.when(F.col("_first").isNotNull(), F.col("_piece"))).over(Window.partitionBy(by))
+    counted = pieces.withColumn("_broken", broken).where("_broken IS NULL OR _piece <= _broken")
+    return counted.groupBy(by).agg(F.min("_first").alias("first_bad"), F.sum("_sound").alias("n_valid"))
 
 
-def verify(spark: SparkSession, path: str) -> DataFrame:
-    """Verdict on every journal file: ``first_bad`` line and ``n_valid`` entries."""
-    return first_break(links(parsed(read_lines(spark, path))))
+def verify(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """Verdict on every journal file: ``first_bad`` line and ``n_valid`` entries.
+
+    Lines are parsed and hashed as they are read; hashes and places alone are written and checked further."""
+    entries = hashed(parsed(read_lines(spark, path))).select("journal", "ordinal", "prev_hash", "entry_hash", "hash_ok")
+    return first_break(linked(written(entries, "entries"), piece=piece), piece=piece)
 
 
 def entry_line(entry: dict, prev_hash: str) -> str:
@@ -74,18 +121,26 @@ def entry_line(entry: dict, prev_hash: str) -> str:
     return json.dumps(body | {"entry_hash": own}, separators=(",", ":"), ensure_ascii=False)
 
 
+def _last_line(path: str, step: int = 1 << 16) -> bytes:
+    """The last line of a file that is not blank, read from its end."""
+    with open(path, "rb") as f:
+        at, tail = f.seek(0, 2), b""
+        while at and b"\n" not in tail.strip():
+            size = min(step, at)
+            at = f.seek(at - size)
+            tail = f.read(size) + tail
+    return tail.strip().rsplit(b"\n", 1)[-1]
+
+
 def append(path: str, entries: list[dict]) -> str:
     """Append entries to one journal file in order, and return the last hash.
 
-    A chain is a fold over its order, so this runs on the driver, one writer a file."""
-    last = GENESIS
+    A chain is a fold over its order, so this runs on the driver, one writer a file; of what the file has, the end is read."""
     try:
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                if line.strip():
-                    last = json.loads(line)["entry_hash"]
+        last_line = _last_line(path)
     except FileNotFoundError:
-        pass
+        last_line = b""
+    last = json.loads(last_line)["entry_hash"] if last_line else GENESIS
     with open(path, "a", encoding="utf-8") as f:
         for entry in entries:
             line = entry_line(entry, last)

@@ -290,7 +290,7 @@ chain AS (SELECT conv_id, k, repeat('0', 64) AS prev, sha256(repeat('0', 64) ||
 UNION ALL SELECT c.conv_id, c.k, own, sha256(own || '|' || {_BODY % "own"}) FROM chain JOIN c ON c.conv_id = chain.conv_id AND c.k = chain.k + 1)
 SELECT conv_id AS journal, CAST(k AS INT) AS ordinal, own AS entry_hash, true AS link_ok, NOT (conv_id % 5 = 0 AND k = 1) AS hash_ok FROM chain""")
 def journal_hashes(spark, d):
-    return journal.links(journal.parsed(_journals(spark, d))).select("journal", "ordinal", "entry_hash", "link_ok", "hash_ok")
+    return journal.links(journal.parsed(_journals(spark, d))).select("journal", F.col("ordinal").cast("int").alias("ordinal"), "entry_hash", "link_ok", "hash_ok")
 
 
 @query("""SELECT conv_id AS journal, CASE WHEN conv_id % 5 = 0 AND count(*) > 1 THEN 1 END AS first_bad, CASE WHEN conv_id % 5 = 0 THEN 1 ELSE count(*) END AS n_valid FROM conversations GROUP BY conv_id""")
@@ -299,7 +299,7 @@ def journal_verdicts(spark, d):
 
 
 def _journals(spark, d):
-    """Journals rendered entry by entry, and one body in five tampered with."""
+    """Journals rendered entry by entry, one body in five tampered with, written as files and read back."""
     import pandas as pd
 
     def render(pdf):
@@ -311,7 +311,11 @@ def _journals(spark, d):
         return pd.DataFrame(out, columns=["journal", "ordinal", "line"])
 
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
-    return written(turns.groupBy("conv_id").applyInPandas(render, "journal long, ordinal int, line string"), "journals")
+    at = f"{Scratch(spark, 'journals').root}/files"
+    rendered = turns.groupBy("conv_id").applyInPandas(render, "journal long, ordinal int, line string")
+    rendered.sortWithinPartitions("journal", "ordinal").select("journal", "line").write.partitionBy("journal").text(at)
+    lines = journal.read_lines(spark, at)
+    return lines.withColumn("journal", F.regexp_extract("journal", "/journal=([0-9]+)/", 1).cast("long"))
 
 
 # --- findings, mutations, rules -----------------------------------------------------------------
