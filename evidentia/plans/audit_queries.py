@@ -373,7 +373,7 @@ def reach_toward_sinks(spark, d):
 @query(REACH_SQL + f" SELECT source, seed, node AS symbol, min(h) AS hops, {SINK_SQL} AS is_sink FROM walk GROUP BY ALL", "edges")
 def reach_in_batches(spark, d):
     """The same reach, kept while the edges come in three batches."""
-    kept = MaintainedReach(spark, f"{Scratch(spark, 'maintained').root}/reach", lambda e: graph.seeds(e, SOURCES), lambda s: graph.is_sink(s, SINKS), buckets=64)
+    kept = MaintainedReach(spark, f"{Scratch(spark, 'maintained').root}/reach", lambda e: graph.seeds(e, SOURCES), lambda s: graph.is_sink(s, SINKS), buckets=8)
     edges = view(spark, d, "edges")
     for batch in range(3):
         kept.insert(edges.where(F.pmod(F.xxhash64("from_symbol", "to_symbol"), F.lit(3)) == batch))

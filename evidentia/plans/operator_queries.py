@@ -254,7 +254,7 @@ def requirements(spark, d):
 @query("SELECT engagement_id, id, severity, title FROM findings WHERE engagement_id <> 'eng-1' UNION ALL SELECT 'eng-1', id, 'info', title FROM findings WHERE engagement_id = 'eng-1' AND ordinal % 2 = 0", "findings")
 def store_round_trip(spark, d):
     """Append, insert-or-ignore of the same rows, and the overwrite of one engagement."""
-    store, f = Store(spark, f"{Scratch(spark, 'store').root}/evidence"), view(spark, d, "findings")
+    store, f = Store(spark, f"{Scratch(spark, 'store').root}/evidence", buckets=16), view(spark, d, "findings")
     store.append("findings", f.where("ordinal % 3 = 0"))
     store.insert_or_ignore("findings", f, ["created_at"])
     mine = store.read("findings", "eng-1").join(f.where("ordinal % 2 = 0").select("id"), "id", "left_semi")

@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.schemas import KEYS, TABLES, empty
+from evidentia.sources.dealt import BUCKETS
+from evidentia.sources.keys import KeyIndex
 
 
 class Store:
     """Tables under a root path. Reads of a table that was never written are empty."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        """``buckets``: folders of a table's key index."""
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def open(self) -> Store:
         """Register every table as a temporary view of its name."""
@@ -44,11 +47,22 @@ class Store:
             out = out.partitionBy("engagement_id")
         out.parquet(f"{self.root}/{table}")
 
+    def keys(self, table: str) -> KeyIndex:
+        return KeyIndex(self.spark, f"{self.root}/keys_of_{table}", f"{self.root}/{table}", TABLES[table], KEYS[table], self.buckets)
+
     def insert_or_ignore(self, table: str, rows: DataFrame, order: list[str] | None = None) -> None:
-        """Append the rows whose key is new; of rows of one key the first in ``order``."""
-        from evidentia.operators.dedup import new_rows
+        """Append the rows whose key is new; of rows of one key the first in ``order``.
+
+        Of what is stored, the files that came since the last insertion are read, for their
+        keys, and the touched buckets of the key index. Null is a key like any other."""
+        from evidentia.operators.dedup import first_of
+        from evidentia.scratch import Scratch
 
-        self.append(table, new_rows(self._conformed(table, rows), self.read(table), KEYS[table], order or KEYS[table]))
+        index, scratch = self.keys(table), Scratch(self.spark, "insert")
+        index.catch_up(self.read(table))
+        first = first_of(self._conformed(table, rows), list(KEYS[table]), order or KEYS[table])
+        self.append(table, index.new(first, scratch))
+        scratch.close()
 
     def overwrite_engagement(self, table: str, engagement_id: str, rows: DataFrame) -> None:
         """Replace one engagement's partition; ``rows`` may be derived from it."""
