@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import scalars as S
 from evidentia.operators import crosswalk, dedup, dependencies, graph, intervals, jobs, journal, mutate, patterns, policy, rollups, text, triage, vector
 from evidentia.operators.maintained import MaintainedReach
+from evidentia.operators.paging import SortedRun
 from evidentia.plans.views import view, with_views
 from evidentia.sources import files
 from evidentia.scratch import Scratch, written
@@ -61,6 +62,16 @@ def findings_compact(spark, d):
     return triage.page(triage.compact(view(spark, d, "findings")), [F.col("id").asc()], 1, 1000)
 
 
+@query("SELECT id, engagement_id, severity FROM findings WHERE id > 'F-p' ORDER BY id, engagement_id LIMIT 250", "findings")
+def pages_by_key(spark, d):
+    """Two pages that follow a key, the second from the last key of the first."""
+    run = SortedRun(view(spark, d, "findings").select("id", "engagement_id", "severity"), ["id", "engagement_id"], 1000)
+    first = run.after(("F-p",), 125)
+    last = first.orderBy(F.desc("id"), F.desc("engagement_id"), F.desc(run.tie)).first()
+    pages = first if last is None else first.unionByName(run.after(run.cursor(last), 125))
+    return pages.drop(run.tie)
+
+
 @query("SELECT 60 AS first_row, 2 AS page, 30 AS page_size, count(*) AS total, least(30, greatest(0, count(*) - 60)) AS returned, count(*) > 90 AS has_more FROM findings WHERE tool_origin = 'click'", "findings")
 def page_envelope(spark, d):
     page = triage.envelope(triage.compact(triage.of_tool(view(spark, d, "findings"), "click")), triage.by_priority(), 2)
