@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from evidentia.scratch import Scratch
+
+#: Bytes of the queries that a pass holds.
+QUERY_BYTES = 256 << 20
+
 SCHEMA = "id string, kind string, engagement_id string, text string, vector array<float>"
 
 
@@ -76,15 +82,29 @@ def nearest(rows: DataFrame, query: list[float], k: int, where: Column | None =
     return pool.withColumn("distance", squared_l2(F.col(vector), q)).orderBy("distance", key).limit(k)
 
 
-def nearest_each(rows: DataFrame, queries: DataFrame, k: int, dim: int, vector: str = "vector", key: str = "id", query_key: str = "query_id", block: int = 512) -> DataFrame:
+def nearest_each(rows: DataFrame, queries: DataFrame, k: int, dim: int, vector: str = "vector", key: str = "id", query_key: str = "query_id", block: int = 512, most_bytes: int = QUERY_BYTES) -> DataFrame:
     """The ``k`` nearest rows to every row of ``queries``: a stated query set
     against all rows, in blocks. Each task scans its rows against a block of
-    queries and keeps k a query; the k best are then merged by key."""
+    queries and keeps k a query; the k best are then merged by key.
+
+    Queries of more than ``most_bytes`` together are dealt to passes by their key; what a pass
+    finds is a written table, so one pass at a time is in memory."""
+    queries = queries.select(query_key, vector)
+    passes = -(-queries.count() * dim * 8 // most_bytes)
+    if passes <= 1:
+        return _nearest_pass(rows, queries, k, dim, vector, key, query_key, block)
+    scratch, found = Scratch(rows.sparkSession, "nearest"), []
+    dealt = scratch.keep(queries.withColumn("_pass", F.pmod(F.xxhash64(query_key), F.lit(passes))), "queries")
+    for at in range(passes):
+        mine = dealt.where(F.col("_pass") == at).drop("_pass")
+        found.append(scratch.keep(_nearest_pass(rows, mine, k, dim, vector, key, query_key, block), f"pass_{at}"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest_pass(rows: DataFrame, queries: DataFrame, k: int, dim: int, vector: str, key: str, query_key: str, block: int) -> DataFrame:
+    """Queries that a worker holds at once, against all rows."""
     import numpy as np
 
-    size = queries.count()
-    if size * dim * 8 > 256 << 20:
-        raise ValueError("too many queries for one pass; split them")
     held = queries.select(query_key, F.col(vector).cast("array<double>").alias("v")).toPandas()
     ids, matrix = held[query_key].to_numpy(), np.array(held["v"].tolist(), np.float64).reshape(-1, dim)
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
