@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,37 +19,45 @@ EXTRACTORS: dict[str, Extractor] = {"python": python_source.extract}
 for _language in brace_source.LANGUAGES:
     EXTRACTORS[_language] = lambda file, text, language=_language: (*brace_source.extract(file, text, language), [])
 
-_COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
+#: What :func:`facts` calls in their place for symbols alone, as long as they are not replaced.
+_SYMBOLS: dict[Extractor, Extractor] = {EXTRACTORS["python"]: lambda file, text: (python_source.symbols(text), [], [])}
+for _language in brace_source.LANGUAGES:
+    _SYMBOLS[EXTRACTORS[_language]] = lambda file, text, language=_language: (brace_source.symbols(text, language), [], [])
+
+_TYPES = {"string": pa.string(), "int": pa.int32()}
+_COLUMNS = {name: _TYPES[kind] for name, kind in (c.split() for c in FACTS.split(", "))}
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, symbols_only: bool = False) -> DataFrame:
     """Tagged rows (symbol, edge, route) of source files (``path``, ``language``, ``text``).
 
     Text goes to Python once, in Arrow batches; what is extracted carries the
     ordinal of its place in the file, so later choices do not depend on the run.
-    A file that an extractor fails on gives one row, tagged ``error``, with what
+    With ``symbols_only`` statements and expressions are not read, and there are
+    only rows of symbols and errors. A file that an extractor fails on gives one row, tagged ``error``, with what
     was wrong as ``name``."""
-    extractors = dict(EXTRACTORS)
+    extractors = {language: _SYMBOLS.get(extract, extract) if symbols_only else extract for language, extract in EXTRACTORS.items()}
 
     def read(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for path, language, text in zip(pdf["path"], pdf["language"], pdf["text"]):
+            for path, language, text in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "text"))):
                 try:
                     symbols, edges, routes = extractors[language](path, text or "")
                 except Exception as e:  # source is not ours: any file may hold anything
-                    symbols = edges = routes = []
+                    symbols = edges = routes = ()
                     rows.append(("error", path, language, 0, type(e).__name__, str(e)[:200], None, None, None, None, None, None, None))
                 for n, (kind, name, first, last) in enumerate(symbols):
                     rows.append(("symbol", path, language, n, kind, name, first, last, None, None, None, None, None))
-                for n, (source, target, kind, line) in enumerate(edges):
+                for n, (source, target, kind, line) in enumerate(() if symbols_only else edges):
                     rows.append(("edge", path, language, n, kind, None, line, line, source, target, None, None, None))
-                for n, (method, route, handler, framework, line) in enumerate(routes):
+                for n, (method, route, handler, framework, line) in enumerate(() if symbols_only else routes):
                     rows.append(("route", path, language, n, None, handler, line, line, None, None, method, route, framework))
-            yield pd.DataFrame(rows, columns=_COLUMNS).astype({"ordinal": "Int32", "line_start": "Int32", "line_end": "Int32"})
+            columns = zip(*rows) if rows else ((),) * len(_COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _COLUMNS.values())], names=list(_COLUMNS))
 
     known = files.where(F.col("language").isin(*extractors)).select("path", "language", "text")
-    return known.mapInPandas(read, FACTS)
+    return known.mapInArrow(read, FACTS)
 
 
 def errors(found: DataFrame, engagement_id: str) -> DataFrame:

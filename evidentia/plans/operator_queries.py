@@ -237,7 +237,7 @@ def source_symbols(spark, d):
     all_ = None
     for language in _SOURCES:
         all_ = _sources(spark, d, language) if all_ is None else all_.unionByName(_sources(spark, d, language))
-    return symbol_rows(source_facts(all_), "e").select("language", "kind", "name")
+    return symbol_rows(source_facts(all_, symbols_only=True), "e").select("language", "kind", "name")
 
 
 @query("""SELECT 's/' || CAST(o_orderkey AS VARCHAR) AS source_file, 'p' || CAST(o_custkey AS VARCHAR) AS name, '>=' || CAST(o_orderkey % 9 AS VARCHAR) || '.1' AS version_spec, 1 AS ordinal FROM orders

@@ -1,4 +1,5 @@
 import pytest
+from evidentia.operators import extract
 from evidentia.operators.extract import brace_source, edges, facts, python_source, routes, symbols
 
 
@@ -107,3 +108,25 @@ def test_facts(spark):
     assert sorted((r.file_path, r.name) for r in symbols(found, "e").collect()) == [("a.py", "f"), ("b.go", "g"), ("d.py", "h")]
     assert sorted((r.from_symbol, r.line) for r in edges(found, "e").collect()) == [("a.py:f:x", 2), ("a.py:f:x", 3), ("b.go:g:b", 1)]
     assert [r.handler_symbol for r in routes(found, "e").collect()] == ["h"]
+
+
+def test_symbols_alone_are_those_of_the_whole_file():
+    import ast
+
+    sources = [*((language, text) for language, text, *_ in [*CASES, *LITERALS]), ("php", "<?php # function no() {\nfunction yes() {\n} /* { */"), ("go", "func (s *S) M() {\n}\n// func no() {"), ("java", "record P(int x) {\n void m() {\n new Q() {\n int n() { } } } }\n")]
+    sources += [("typescript", "class A {\n m(a: B): C {\n }\n}\nconst g = async (x) => {\n}\nrun(function no() {})\nfunction h() {} // `"), ("javascript", "b.c = (x) => {}\nfunction h(")]
+    sources += [(language, junk) for language in brace_source.LANGUAGES for junk in ("", "{{{", ")]}", '"unclosed', "fn", "a = ", "((", "class {", "class A {\n\n", "function f() {\n'")]
+    for language, text in sources:
+        assert brace_source.symbols(text, language) == brace_source.extract("t", text, language)[0], (language, text)
+    for text in (ast.__doc__, "def (", "class A:\n def m(self):\n  try:\n   def a(): pass\n  except E:\n   class B: pass\n  else:\n   async def c(): pass\nmatch x:\n case 1:\n  def d(): pass\nfor i in x:\n pass\nelse:\n def e(): pass\n"):
+        assert python_source.symbols(text) == py(text)[0]
+
+
+def test_facts_of_symbols_alone(spark, monkeypatch):
+    text = "class A {\n int m(int a) {\n b = a; return b; } }"
+    files = spark.createDataFrame([("a.py", "python", "def f(x):\n    y = x\n"), ("b.java", "java", text), ("c.go", "go", "func g() { a := b }"), ("d.md", None, "x"), ("e.rust", "rust", None)], "path string, language string, text string")
+    monkeypatch.setitem(extract.EXTRACTORS, "go", lambda file, text: ([("function", "own", 1, 1)], [("a", "b", "assign", 1)], []))
+    whole, alone = facts(files), facts(files, symbols_only=True)
+    assert {r.tag for r in alone.collect()} == {"symbol"} and alone.schema == whole.schema
+    found = sorted(map(tuple, symbols(alone, "e").collect()))
+    assert found == sorted(map(tuple, symbols(whole, "e").collect())) and [x[5] for x in found] == ["f", "A", "m", "own"]
