@@ -27,24 +27,24 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str,
     return _numbered(df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets))), group, order, name, scratch)
 
 
-def number_in_order(df: DataFrame, group: list[str], order: list[str], name: str, scratch: Scratch, rows_a_range: int = 1_000_000) -> DataFrame:
+def number_in_order(df: DataFrame, group: list[str], order: list[str], name: str, scratch: Scratch, rows_a_range: int = 1_000_000, total: str | None = None) -> DataFrame:
     """Add ``name``: the place, from 0, of each row in the ``order`` (columns,
     ascending) of its group. Rows are dealt to ranges of (group, order), each
     range is numbered by itself, and what lies before it in the group is added.
-    ``df`` should be a written table, as ranges are sampled from it."""
+    ``total`` names a column for the size of the group. ``df`` should be a written table, as ranges are sampled from it."""
     n = df.count()
     spark = df.sparkSession
     ranges = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000) or 1), -(-n // rows_a_range), 1)
     dealt = df.repartitionByRange(ranges, *group, *order).withColumn("_bucket", F.spark_partition_id())
-    return _numbered(scratch.keep(dealt, f"ranges_{name}"), group, order, name, scratch)
+    return _numbered(scratch.keep(dealt, f"ranges_{name}"), group, order, name, scratch, total)
 
 
-def _numbered(dealt: DataFrame, group: list[str], order: list[str], name: str, scratch: Scratch) -> DataFrame:
+def _numbered(dealt: DataFrame, group: list[str], order: list[str], name: str, scratch: Scratch, total: str | None = None) -> DataFrame:
     counts = dealt.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     keys = [*group, "_bucket"]
     starts = scratch.keep(
-        counts.select(*(F.col(k).alias(f"_s_{k}") for k in keys), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")),
+        counts.select(*(F.col(k).alias(f"_s_{k}") for k in keys), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *([F.sum("_n").over(Window.partitionBy(*group)).alias(total)] if total else [])),
         f"starts_{name}",
     )
     inside = Window.partitionBy(*keys).orderBy(*order)

@@ -21,6 +21,7 @@ from evidentia.scratch import Scratch, written
 
 # Fixed values of the SARIF format.
 SARIF_VERSION = "2.1.0"
+SARIF_BETWEEN = ']}},"results":['  # from the rules to the results
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 Signer = Callable[[bytes], str]
@@ -52,17 +53,48 @@ def sarif_parts(findings: DataFrame, tool: str = "evidentia", version: str = "0.
     have any number of findings. Findings are in the order of their ids."""
     scratch = Scratch(findings.sparkSession, "sarif")
     flat = scratch.keep(sarif_results(findings).select("engagement_id", F.col("r._id").alias("id"), F.to_json("r.rule").alias("rule"), F.to_json("r.result").alias("result")), "results")
-    placed = scratch.keep(number_in_order(flat, ["engagement_id"], ["id", "result"], "place", scratch), "placed")
+    placed = scratch.keep(number_in_order(flat, ["engagement_id"], ["id", "result"], "place", scratch, total="total"), "placed")
     block = F.floor(F.col("place") / rows)
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c]), ",")
-    blocks = placed.groupBy("engagement_id", block.alias("block")).agg(ordered("rule").alias("rule"), ordered("result").alias("result"), F.min("place").alias("least"))
+    blocks = placed.groupBy("engagement_id", block.alias("block")).agg(ordered("rule").alias("rule"), ordered("result").alias("result"), F.min("place").alias("least"), F.ceil(F.max("total") / rows).alias("blocks"))
     glued = lambda c: F.concat(F.when(F.col("least") > 0, ",").otherwise(""), c)
     head = f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{"name":{json.dumps(tool)},"version":{json.dumps(version)},"rules":['
-    fixed = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(0).cast("long").alias("block"), F.lit(t).alias("text")) for k, t in ((0, head), (2, ']}},"results":['), (4, "]}]}"))))
-    own = F.array(F.struct(F.lit(1).alias("kind"), "block", glued("rule").alias("text")), F.struct(F.lit(3).alias("kind"), "block", glued("result").alias("text")))
-    each = blocks.select("engagement_id", F.explode(F.when(F.col("least") == 0, F.concat(fixed, own)).otherwise(own)).alias("p"))
-    along = Window.partitionBy("engagement_id").orderBy("kind", "block")  # a few rows for each ``rows`` findings
-    return each.select("engagement_id", "p.*").withColumn("part", F.row_number().over(along) - 1).select("engagement_id", "part", "text")
+    part = lambda place, text: F.struct(place.cast("int").alias("part"), text.alias("text"))
+    n, at = F.col("blocks"), F.col("block")
+    fixed = F.array(part(F.lit(0), F.lit(head)), part(n + 1, F.lit(SARIF_BETWEEN)), part(2 * n + 2, F.lit("]}]}")))
+    own = F.array(part(at + 1, glued("rule")), part(n + at + 2, glued("result")))
+    return blocks.select("engagement_id", F.explode(F.when(F.col("least") == 0, F.concat(fixed, own)).otherwise(own)).alias("p")).select("engagement_id", "p.*")
+
+
+SARIF_RESULT = "ruleId string, level string, locations array<struct<physicalLocation:struct<region:struct<startLine:int>>>>"
+
+
+def sarif_from_parts(parts: DataFrame, result: str = SARIF_RESULT) -> DataFrame:
+    """The results of documents that :func:`sarif_parts` wrote, with their places from 0
+    (``engagement_id``, ``place``, ``result`` with the given fields). Each part is
+    parsed by itself, so no task holds a document; what is no JSON, isn't joined
+    by commas or lacks its frame or a part is an error."""
+    scratch = Scratch(parts.sparkSession, "sarif-read")
+    listed = (F.col("part") > 0) & ~F.col("text").startswith("]")
+    items = F.from_json(F.concat(F.lit("["), F.when(F.col("text").startswith(","), F.expr("substring(text, 2)")).otherwise(F.col("text")), F.lit("]")), f"array<struct<{result}>>", {"mode": "FAILFAST"})
+    read = scratch.keep(
+        parts.select("engagement_id", "part", F.when(~listed, F.col("text")).alias("frame"), F.col("text").startswith(",").alias("goes_on"), F.when(listed, items).alias("rs")), "parts"
+    )
+    # a short row for each part: whether the results have begun, and how many items of its list come before
+    sizes = read.select(F.col("engagement_id").alias("_e"), F.col("part").alias("_p"), "frame", F.coalesce(F.size("rs"), F.lit(0)).alias("n"))
+    along = Window.partitionBy("_e").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("in_results", F.coalesce(F.max(F.col("frame") == SARIF_BETWEEN).over(along), F.lit(False)))
+    before = Window.partitionBy("_e", "in_results").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    fixed = F.collect_list(F.when(F.col("frame").isNotNull(), F.struct("_p", "frame")))  # leaves out nulls
+    frames = sizes.groupBy("_e").agg(F.array_join(F.transform(F.array_sort(fixed), lambda x: x["frame"]), "").alias("text"), (F.count(F.lit(1)) <= F.max("_p")).alias("gap"))
+    empty = F.from_json("text", "version string, runs array<struct<results:array<string>>>")
+    broken = frames.where(F.col("gap") | F.coalesce(F.size(empty["runs"][0]["results"]) != 0, F.lit(True))).select("_e").limit(1).collect()
+    if broken:
+        raise ValueError(f"parts of {broken[0][0]!r} make no document")
+    starts = sizes.where("frame IS NULL AND in_results").select("_e", "_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    found = read.join(starts, (F.col("engagement_id") == F.col("_e")) & (F.col("part") == F.col("_p")))
+    joined = F.when(F.col("goes_on") == (F.col("_start") > 0), F.col("rs")).otherwise(F.raise_error(F.lit("parts that no comma joins")).cast(found.schema["rs"].dataType))
+    return found.select("engagement_id", "_start", F.posexplode(joined).alias("_at", "result")).select("engagement_id", (F.col("_start") + F.col("_at")).alias("place"), "result")
 
 
 SEED_FINDING = [

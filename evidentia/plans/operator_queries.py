@@ -438,12 +438,9 @@ def tool_rules(spark, d):
 @query("""SELECT engagement_id, id AS rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, greatest(line_start, 1) AS start_line,
 row_number() OVER (PARTITION BY engagement_id ORDER BY id) - 1 AS place FROM findings""", "findings")
 def sarif_documents(spark, d):
-    """The documents put together from their parts and read back."""
-    parts = report.sarif_parts(view(spark, d, "findings"), rows=500)
-    whole = parts.groupBy("engagement_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("doc"))
-    schema = "runs array<struct<results:array<struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<region:struct<startLine:int>>>>>>>>"
-    read = whole.select("engagement_id", F.posexplode(F.from_json("doc", schema)["runs"][0]["results"]).alias("place", "r"))
-    return read.select("engagement_id", F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.locations")[0]["physicalLocation"]["region"]["startLine"].alias("start_line"), "place")
+    """The documents written in parts and read back part by part."""
+    read = report.sarif_from_parts(report.sarif_parts(view(spark, d, "findings"), rows=500))
+    return read.select("engagement_id", F.col("result.ruleId").alias("rule_id"), "result.level", F.col("result.locations")[0]["physicalLocation"]["region"]["startLine"].alias("start_line"), "place")
 
 
 @query("""SELECT id, coalesce(advocate_verdict, '') IN ('confirmed', 'uncertain') AND coalesce(poc_status, '') <> 'refuted' AND severity NOT IN ('low', 'info')
